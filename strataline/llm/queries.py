@@ -6,6 +6,7 @@ import importlib
 
 #: Query names by module; each query is the module's function of that name, its SQL the module's ORACLE.
 MODULES = {
+    "op5_near_duplicates": "minhash_dedup",
     "op7_quality_rules": "quality_rules",
     "op8_exact_dedup": "exact_dedup",
 }
