@@ -7,6 +7,7 @@ import importlib
 #: Query names by module; each query is the module's function of that name, its SQL the module's ORACLE.
 MODULES = {
     "op1_toxicity": "toxicity",
+    "op3_lm_scoring": "lm_scoring",
     "op4_packing": "packing",
     "op5_near_duplicates": "minhash_dedup",
     "op7_quality_rules": "quality_rules",
