@@ -12,6 +12,7 @@ MODULES = {
     "op5_near_duplicates": "minhash_dedup",
     "op7_quality_rules": "quality_rules",
     "op8_exact_dedup": "exact_dedup",
+    "op9_html_extraction": "html_extraction",
     "op10_pii": "pii",
 }
 
