@@ -7,9 +7,11 @@ import importlib
 #: Query names by module; each query is the module's function of that name, its SQL the module's ORACLE.
 MODULES = {
     "op1_toxicity": "toxicity",
+    "op2_chat_format": "chat_format",
     "op3_lm_scoring": "lm_scoring",
     "op4_packing": "packing",
     "op5_near_duplicates": "minhash_dedup",
+    "op6_sentencepiece": "sentencepiece_codec",
     "op7_quality_rules": "quality_rules",
     "op8_exact_dedup": "exact_dedup",
     "op9_html_extraction": "html_extraction",
