@@ -28,7 +28,7 @@ from strataline.llm.packing import byte_bpe, byte_bpe_path
 BOS, EOS, OPEN, CLOSE = "<s>", "</s>", "[INST]", "[/INST]"
 CONTROLS = (BOS, EOS, OPEN, CLOSE)
 _CONTROL = re.compile(r"\\|" + "|".join(map(re.escape, CONTROLS)))
-_ESCAPED = re.compile(r"\\([\;])")
+_ESCAPED = re.compile(r"\\([\\;])")
 _TURN = re.compile(re.escape(OPEN) + r"(.*?)\n(.*?)" + re.escape(CLOSE), re.S)
 
 BUDGET, HISTORY_TURNS, HISTORY_BUDGET = 1024, 2, 256
@@ -38,7 +38,7 @@ WINDOW = "conv_id long, window_no long, formatted string, loss_spans array<struc
 
 def escape(text: str) -> str:
     r"""Doubles backslashes and breaks control strings after their first character by \; ."""
-    return _CONTROL.sub(lambda m: "\\\\" if m[0] == "\\" else f"{m[0][0]}\;{m[0][1:]}", text)
+    return _CONTROL.sub(lambda m: "\\\\" if m[0] == "\\" else m[0][0] + "\\;" + m[0][1:], text)
 
 
 def unescape(text: str) -> str:
@@ -50,7 +50,7 @@ def _escaped_role(role: str) -> str:
 
 
 def _unescaped_role(role: str) -> str:
-    return re.sub(r"\\([\;n])", lambda m: {"\\": "\\", ";": "", "n": "\n"}[m[1]], role)
+    return re.sub(r"\\([\\;n])", lambda m: {"\\": "\\", ";": "", "n": "\n"}[m[1]], role)
 
 
 class _Windows:

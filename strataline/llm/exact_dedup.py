@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataline.llm.storage import deleted, written
+from strataline.llm.storage import deleted, small_or_shuffled, written
 
 BLOCK_CHARS = 2048
 
@@ -96,6 +96,19 @@ def exact_dedup(docs: DataFrame, *, block_chars: int = BLOCK_CHARS, id_col: str
     return joined.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256")
 
 
+def distinct_documents(docs: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, text and any others), one of each group of equal texts: that with the smallest id."""
+    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.struct("*").alias("doc")), "dedup-documents")
+    named, old = identities(rows.select("row", normalised(F.col("doc.text").cast("string")).alias("text")))
+    ids = written(named.join(rows.select("row", "doc_id").hint("merge"), "row"), "dedup-identities")
+    deleted(*old)
+    # a null id is the last of its group
+    first = ids.groupBy("n", "name").agg(F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row")).alias("first"))
+    dropped = written(ids.select("row").join(first.select("first.row").hint("merge"), "row", "left_anti"), "dedup-dropped")
+    deleted(ids)
+    return rows.join(small_or_shuffled(dropped), "row", "left_anti").select("doc.*")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

@@ -30,16 +30,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataline.llm.graph import connected_components
-from strataline.llm.storage import deleted, written
+from strataline.llm.storage import deleted, small_or_shuffled, written
 from strataline.llm.text_arrays import chunks, mix, mix_int, shingles
 
 COORDINATES, TREES, LEVELS, MAX_LEVELS = 64, 12, 3, 40
 #: Chance of a second coordinate at a node: on average 1 / 0.85 coordinates in all.
 SECOND = 0.18
-#: Of 64 sketch bytes, how many must agree for a pair to be compared in full; five standard deviations below the threshold.
-SKETCH_AGREE = 40
-#: Tables of at most so many (id, key) rows of 16 bytes are broadcast.
-BROADCAST_ROWS = 500_000
 
 _MULTIPLIERS = mix(np.arange(101, 101 + COORDINATES, dtype=np.uint64)) | np.uint64(1)
 
@@ -166,13 +162,20 @@ def _edge_batches(found: Iterator[tuple[list[int], list[int]]]) -> Iterator[pa.R
     yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
-def _compare_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def found():
-        for rows in _groups(batches):
-            x = _matrix(rows.column("sketch"))
-            yield _stars(rows.column("cid").to_numpy(), lambda i, left, x=x: (x[left] == x[i]).sum(axis=1) >= SKETCH_AGREE)
+def _compare_sketches(percent: int):
+    # how many sketch bytes must agree for a pair to be compared in full: five standard deviations below the threshold
+    t = percent / 100
+    least = int(COORDINATES * (t - 5 * (t * (1 - t) / COORDINATES) ** 0.5))
 
-    yield from _edge_batches(found())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found():
+            for rows in _groups(batches):
+                x = _matrix(rows.column("sketch"))
+                yield _stars(rows.column("cid").to_numpy(), lambda i, left, x=x: (x[left] == x[i]).sum(axis=1) >= least)
+
+        yield from _edge_batches(found())
+
+    return run
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,12 +246,6 @@ def _leaves(classes: DataFrame, node_rows: int) -> tuple[DataFrame, list[DataFra
     return out.select("node", "cid", "sketch"), old
 
 
-def _of_ids(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """docs (doc_id, text) of the ids in keys: broadcast while keys are known to be few, else shuffled."""
-    small = keys.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(keys) if small else keys.hint("merge"), docs.doc_id == keys.cid).select("cid", "keys", "text")
-
-
 def near_duplicates(docs: DataFrame, *, percent: int = 85, node_rows: int = 512, component_rows: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row: components of links with 100 * intersection >= percent * union."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -258,14 +255,15 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, node_rows: int = 512,
         sets.filter("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("cid"), F.first("sketch").alias("sketch"), F.first("nodes").alias("nodes")), "shingle-classes"
     )
     leaves, old = _leaves(classes.filter("cid is not null"), node_rows)
-    likely = connected_components(leaves.repartition("node").sortWithinPartitions("node").mapInArrow(_compare_sketches, _EDGES))
+    likely = connected_components(leaves.repartition("node").sortWithinPartitions("node").mapInArrow(_compare_sketches(percent), _EDGES))
     sizes = written(likely.groupBy("component").count(), "component-sizes")
     likely = written(likely.join(sizes.hint("merge"), "component").select(F.col("id").alias("cid"), "component", "count"), "likely-components")
     by_component = likely.filter(F.col("count") <= component_rows).select("cid", F.array("component").alias("keys"))
     large = likely.filter(F.col("count") > component_rows)
     by_node = leaves.select("node", "cid").join(large.select("cid", "component").hint("merge"), "cid").groupBy("cid").agg(F.collect_set(F.xxhash64("node", "component")).alias("keys"))
     keys = written(by_component.unionByName(by_node), "comparison-keys")
-    rows = _of_ids(docs, keys).mapInArrow(_full_sets, "cid long, keys array<long>, items binary").select(F.explode("keys").alias("key"), "cid", "items")
+    chosen = docs.join(small_or_shuffled(keys), docs.doc_id == keys.cid).select("cid", "keys", "text")
+    rows = chosen.mapInArrow(_full_sets, "cid long, keys array<long>, items binary").select(F.explode("keys").alias("key"), "cid", "items")
     linked = connected_components(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_compare_sets(percent), _EDGES))
     deleted(*old)
     members = written(classes.select(*same, "cid").join(linked.select(F.col("id").alias("cid"), "component").hint("merge"), "cid", "left").select(*same, F.coalesce("component", "cid").alias("component")), "class-components")
@@ -274,6 +272,13 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, node_rows: int = 512,
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, *, percent: int = 80) -> DataFrame:
+    """The rows of docs (doc_id, text and any others) but those that have a near duplicate with a smaller id."""
+    found = near_duplicates(docs.select("doc_id", "text"), percent=percent)
+    dropped = written(found.filter("not kept").select("doc_id").distinct(), "near-copies")
+    return docs.join(small_or_shuffled(dropped), "doc_id", "left_anti").select(*docs.columns)
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

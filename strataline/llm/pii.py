@@ -240,6 +240,16 @@ def redacted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("text", F.when(F.size("spans") > 0, new).otherwise(F.col("text")))
 
 
+def without_pii(docs: DataFrame) -> DataFrame:
+    """docs with the spans found in text replaced, and n_chars, if there is one, counted again; null texts stay."""
+    found = redacted(find_pii(docs.select(F.struct("*").alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))))
+    changed = F.size("spans") > 0
+    new = {"text": F.when(changed, F.col("text")).otherwise(F.col("doc.text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(changed, F.length("text").cast("long")).otherwise(F.col("doc.n_chars"))
+    return found.select(*[new.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns])
+
+
 def pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, counts of base spans, base_sha256 and spans for each row of docs."""
     found = find_pii(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")))

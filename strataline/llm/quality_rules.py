@@ -149,31 +149,45 @@ def measures(t: Texts, min_repeat: int) -> dict[str, np.ndarray]:
     return out
 
 
-def quality_rules(
-    docs: DataFrame, *, min_repeat: int = 8, max_covered: float = 0.4, max_longest: float = 0.2, longest_floor: int = 50, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """One row for each row of docs, in SCHEMA, with the verdict in ``kept``.
+MIN_REPEAT, MAX_COVERED, MAX_LONGEST, LONGEST_FLOOR = 8, 0.4, 0.2, 50
+
+
+def verdicts(texts: pa.Array, min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED, max_longest: float = MAX_LONGEST, longest_floor: int = LONGEST_FLOOR) -> dict[str, np.ndarray]:
+    """The counts of some texts with base_failed and kept.
 
     A text is kept if it has at least 50 words, at most half of them in repeated three-word
     windows, at most max_covered of them in repeated substrings of min_repeat words or more, and
     no repeated substring longer than both longest_floor words and max_longest of the text.
     """
+    parts = [measures(t, min_repeat) for t in chunks(texts)] or [measures(Texts(np.zeros(0, np.uint8), np.zeros(1, np.int64), 0), min_repeat)]
+    m = {k: np.concatenate([p[k] for p in parts]).astype(np.int64) for k in parts[0]}
+    n = m["n_words"]
+    m["base_failed"] = (n < 50) | (100 * m["n_repeat_words"] > 50 * n)
+    m["kept"] = ~m["base_failed"] & (m["covered_words"] <= max_covered * n) & (m["longest_repeat"] <= np.maximum(longest_floor, max_longest * n))
+    return m
+
+
+def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **limits: float) -> DataFrame:
+    """One row for each row of docs, in SCHEMA; limits are those of verdicts()."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in SCHEMA.split(", ")]
         for batch in batches:
-            parts = [measures(t, min_repeat) for t in chunks(batch.column(1))]
-            if not parts:
-                continue
-            m = {k: np.concatenate([p[k] for p in parts]).astype(np.int64) for k in parts[0]}
-            n = m["n_words"]
-            failed = (n < 50) | (100 * m["n_repeat_words"] > 50 * n)
-            kept = ~failed & (m["covered_words"] <= max_covered * n) & (m["longest_repeat"] <= np.maximum(longest_floor, max_longest * n))
-            columns = {"doc_id": batch.column(0), **m, "base_failed": failed, "kept": kept}
-            names = [x.split()[0] for x in SCHEMA.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[k]) if k != "doc_id" else columns[k] for k in names], names)
+            columns = {k: pa.array(v) for k, v in verdicts(batch.column(1), **limits).items()} | {"doc_id": batch.column(0)}
+            yield pa.RecordBatch.from_arrays([columns[k] for k in names], names)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(rows, SCHEMA)
 
 
+def good_documents(docs: DataFrame, *, text_col: str = "text", **limits: float) -> DataFrame:
+    """The rows of docs whose text is kept, with all their columns."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(verdicts(batch.column(text_col), **limits)["kept"]))
+
+    return docs.mapInArrow(rows, docs.schema)
+
+
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
     return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -9,13 +9,14 @@ next to that encoding's last piece, that is, if merging the two texts in the ord
 vocabulary leaves the two pieces as they are. Merging gives every prefix exactly one encoding, so
 this finds the same pieces as merging itself. Characters without a piece become byte pieces.
 
-Words are encoded once in a task (up to ``CACHED`` are kept); texts then are rows of word numbers.
+Words are encoded once in a worker (up to ``CACHED`` are kept); texts then are rows of word numbers.
 No shuffle, memory bounded by a batch. Null texts count as empty and have no ids. Decoding gives
-the text back exactly, for any text.
+the text back exactly, but that a literal space mark (U+2581) comes back as a space, as the format has it.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MARK = "▁"
-CACHED = 300_000
+CACHED = 800_000
 SCHEMA = "doc_id long, n_ids long, ids_crc32 long, n_chars long, decoded_same boolean"
 
 
@@ -53,7 +54,11 @@ class Vocabulary:
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.longest = max(map(len, self.ids))
         self.prefix = model.normalizer_spec.add_dummy_prefix
-        self.neighbours: dict[tuple[int, int], bool] = {}
+        self.neighbours: dict[int, bool] = {}
+        # Single characters come before all merges; the others are merged in the order of their scores.
+        by = sorted(self.ids.values(), key=lambda i: (len(self.pieces[i]) > 1, -self.scores[i], i))
+        self.rank = {i: r for r, i in enumerate(by)}
+        self.halves: dict[int, tuple[int, int]] = {}
         self._points = {i: np.array([*map(ord, p)], np.uint32) for p, i in self.ids.items()}
 
     def normalise(self, text: str) -> str:
@@ -73,13 +78,47 @@ class Vocabulary:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ids.get(p, p) for p in parts]
 
+    def _halves(self, k: int) -> tuple[int, int]:
+        """The pieces whose merge made piece k; k itself for a single character."""
+        found = self.halves.get(k)
+        if found is None:
+            word, found = self.pieces[k], (k, k)
+            for i in range(1, len(word)):
+                left, right = self.ids.get(word[:i]), self.ids.get(word[i:])
+                if left is not None and right is not None and self.merged(word[:i]) == [left] and self.merged(word[i:]) == [right] and self._apart(left, right, self.rank[k]):
+                    found = left, right
+                    break
+            self.halves[k] = found
+        return found
+
+    def _apart(self, left: int, right: int, limit: int) -> bool:
+        """Whether no merge before the one of rank limit reaches across the two pieces: walks back
+        through the merges that made them, latest first, looking at what touches the boundary."""
+        pieces, ids, rank = self.pieces, self.ids, self.rank
+        while True:
+            both = ids.get(pieces[left] + pieces[right])
+            if both is not None and rank[both] < limit:
+                return False
+            a, b = rank[left], rank[right]
+            inner_left, inner_right = self._halves(left)[1], self._halves(right)[0]
+            if inner_left == left and inner_right == right:
+                return True
+            if inner_right == right or (inner_left != left and a > b):
+                limit, left = min(limit, a), inner_left
+            else:
+                limit, right = min(limit, b + 1), inner_right
+
     def stand(self, left: int, right: int) -> bool:
         """Whether two pieces next to each other stay as they are."""
-        known = self.neighbours.get((left, right))
+        key = left << 20 | right
+        known = self.neighbours.get(key)
         if known is None:
-            known = self.merged(self.pieces[left] + self.pieces[right]) == [left, right]
+            if set(self.pieces[left] + self.pieces[right]) == {MARK}:  # runs of marks have equal scores
+                known = self.merged(self.pieces[left] + self.pieces[right]) == [left, right]
+            else:
+                known = self._apart(left, right, len(self.rank) + 1)
             if len(self.neighbours) < 2_000_000:
-                self.neighbours[left, right] = known
+                self.neighbours[key] = known
         return known
 
 
@@ -128,12 +167,27 @@ def occurrences(points: np.ndarray, order: np.ndarray, pieces: list[np.ndarray])
     return bound(False), bound(True)
 
 
+def _ragged(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """begins[0], begins[0] + 1, ... (sizes[0] of them), begins[1], ..."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(begins - before, sizes) + np.arange(int(sizes.sum()))
+
+
 class Encoder:
     def __init__(self, path: str):
         self.v = Vocabulary(path)
         self.order = sorted(self.v.ids.values())
         self.points = [self.v._points[i] for i in self.order]
-        self.known: dict[str, np.ndarray] = {}
+        self.cut = _cutter(self.v.ids)
+        raw = [bytes([self.v.byte_of[i]]) if i in self.v.byte_of else p.replace(MARK, " ").encode() for i, p in enumerate(self.v.pieces)]
+        self.raw, self.raw_sizes = np.frombuffer(b"".join(raw), np.uint8), np.array([*map(len, raw)])
+        self.raw_begins = np.cumsum(self.raw_sizes) - self.raw_sizes
+        self._forget()
+
+    def _forget(self) -> None:
+        """Known words: their number in index, and ids in flat from begins, sizes many."""
+        self.index: dict[str, int] = {}
+        self.flat, self.begins, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _learn(self, words: list[str]) -> None:
         """Encodes distinct words through one index text."""
@@ -153,77 +207,107 @@ class Encoder:
             begin = order[np.repeat(low - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(int(counts.sum()))]
             sizes = np.array([len(p) for _, p in usable])[which]
             ids = np.array([i for i, _ in usable])[which]
-            by = np.lexsort((-sizes, begin + sizes))
-            edges = [begin[by], (begin + sizes)[by], ids[by]]
-        begins, ends, pieces = (x.tolist() for x in edges) if edges else ([], [], [])
-        stand, at, last, back = v.stand, 0, {}, {}
-        start, n_edges = 0, len(begins)
-        for word in words:
-            stop = start + len(word)
-            # last[p]: the last piece of the encoding of the word up to p (a negative number: a character without a piece)
-            last, back = {start: None}, {}
-            for p in range(start + 1, stop + 1):
-                while at < n_edges and ends[at] <= p:
-                    b = begins[at]
-                    if ends[at] == p and p not in last and b in last:
-                        left = last[b]
-                        if left is None or left < 0 or stand(left, pieces[at]):
-                            last[p], back[p] = pieces[at], b
-                    at += 1
-                if p not in last and text[p - 1] not in v.ids:
-                    last[p], back[p] = -1, p - 1
+            edges = [begin, begin + sizes, ids]
+        lengths = np.array([*map(len, words)])
+        starts = np.cumsum(lengths + 1) - lengths - 1
+        self._relax(words, points, starts, lengths, edges)
+
+    def _relax(self, words: list[str], points: np.ndarray, starts: np.ndarray, lengths: np.ndarray, edges: list[np.ndarray]) -> None:
+        """Edges sorted by how far into their word they end, all words' edges of one end at once."""
+        v, n = self.v, len(points)
+        inside = np.repeat(np.arange(len(words)), lengths + 1)[:n]
+        offset = np.arange(n) - starts[inside]
+        begins, ends, pieces = edges if edges else [np.zeros(0, np.int64)] * 3
+        depth = offset[ends - 1] + 1 if len(ends) else ends
+        by = np.argsort(depth, kind="stable")
+        begins, ends, pieces, depth = begins[by], ends[by], pieces[by], depth[by]
+        without = ~np.isin(points, np.array([ord(p) for p in v.ids if len(p) == 1], np.uint32))
+        lone = np.flatnonzero(without & (offset < lengths[inside]))
+        lone = lone[np.argsort(offset[lone], kind="stable")]
+        lone_depth = offset[lone] + 1
+        # last[p]: last piece of the encoding of a word up to p (-1: a character without a piece, -2: none, -3: the word's begin)
+        last, back = np.full(n + 1, -2, np.int64), np.zeros(n + 1, np.int64)
+        last[starts] = -3
+        for d in range(1, int(lengths.max(initial=0)) + 1):
+            a, b = np.searchsorted(depth, [d, d + 1])
+            left, right = last[begins[a:b]], pieces[a:b]
+            good = (left == -1) | (left == -3)
+            ask = np.flatnonzero(left >= 0)
+            if len(ask):
+                keys, where = np.unique(left[ask] << 20 | right[ask], return_inverse=True)
+                answers = np.array([v.stand(k >> 20, k & 0xFFFFF) for k in keys.tolist()], bool)
+                good[ask] = answers[where]
+            to = ends[a:b][good]
+            last[to], back[to] = right[good], begins[a:b][good]
+            c, e = np.searchsorted(lone_depth, [d, d + 1])
+            last[lone[c:e] + 1], back[lone[c:e] + 1] = -1, lone[c:e]
+        at, low, found, sizes_out = (starts + lengths).tolist(), starts.tolist(), [], []
+        last_list, back_list = last.tolist(), back.tolist()
+        for word, p, start in zip(words, at, low, strict=True):
             out: list[int] = []
-            p = stop
             while p > start:
-                b = back[p]
-                if last[p] < 0:
-                    out.extend(v.bytes[x] for x in reversed(text[b:p].encode()))
+                b = back_list[p]
+                if last_list[p] < 0:
+                    out.extend(v.bytes[x] for x in reversed(chr(points[b]).encode()))
                 else:
-                    out.append(last[p])
+                    out.append(last_list[p])
                 p = b
-            self.known[word] = np.array(out[::-1], np.int32)
-            start = stop + 1
-            while at < n_edges and ends[at] <= start:
-                at += 1
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [_words(self.v.normalise(t)) for t in texts]
-        fresh = {w for ws in cut for w in ws}.difference(self.known)
-        if len(self.known) + len(fresh) > CACHED:
-            self.known = {}
+            found.extend(out[::-1])
+            sizes_out.append(len(out))
+            self.index[word] = len(self.index)
+        sizes = np.array(sizes_out, np.int64)
+        self.begins = np.concatenate((self.begins, len(self.flat) + np.cumsum(sizes) - sizes))
+        self.sizes = np.concatenate((self.sizes, sizes))
+        self.flat = np.concatenate((self.flat, np.array(found, np.int32)))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and where each text's begin."""
+        cut = [self.cut(self.v.normalise(t)) for t in texts]
+        fresh = {w for ws in cut for w in ws}.difference(self.index)
+        if self.index and len(self.index) + len(fresh) > CACHED:
+            self._forget()
             fresh = {w for ws in cut for w in ws}
-        self._learn(sorted(fresh))
-        known, none = self.known, np.zeros(0, np.int32)
-        return [np.concatenate([known[w] for w in ws]) if ws else none for ws in cut]
-
-    def decode(self, ids: np.ndarray) -> str:
-        v, out = self.v, bytearray()
-        for i in ids.tolist():
-            b = v.byte_of.get(i)
-            if b is None:
-                out += v.pieces[i].encode()
-            else:
-                out.append(b)
-        text = out.decode().replace(MARK, " ")
-        return text[1:] if v.prefix and text else text
-
-
-def _words(text: str) -> list[str]:
-    """Cut before each run of marks: no piece but runs of marks has a mark after its first character."""
-    if not text:
-        return []
-    parts = text.split(MARK)
-    out = [parts[0]] if parts[0] else []
-    marks = 0
-    for p in parts[1:]:
-        marks += 1
-        if p:
-            # pieces of several marks hold nothing else, so the last mark goes with the word if it isn't alone
-            out.append(MARK * marks + p)
-            marks = 0
-    if marks:
-        out.append(MARK * marks)
-    return out
+        if fresh:
+            self._learn(sorted(fresh))
+        index = self.index
+        numbers = np.array([index[w] for ws in cut for w in ws], np.int64)
+        sizes = self.sizes[numbers]
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        return self.flat[_ragged(self.begins[numbers], sizes)], ends[np.concatenate(([0], np.cumsum([*map(len, cut)], dtype=np.int64)))]
+
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """The UTF-8 of each text."""
+        sizes = self.raw_sizes[ids]
+        data = self.raw[_ragged(self.raw_begins[ids], sizes)].tobytes()
+        at = np.concatenate(([0], np.cumsum(sizes)))[offsets].tolist()
+        skip = int(self.v.prefix)
+        return [data[a + skip : b] if b > a else b"" for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def _cutter(ids: dict[str, int]):
+    """A function that cuts a text where no piece can reach across: before runs of marks, around
+    characters without a piece, and before signs that no piece has after anything but marks and such signs."""
+    single = {p for p in ids if len(p) == 1}
+    signs = {c for c in single if not c.isalnum() and c != MARK}
+    while True:
+        kept = {c for c in signs if all(x == MARK or x in signs for p in ids for x, y in zip(p, p[1:]) if y == c)}
+        if kept == signs:
+            break
+        signs = kept
+    # pieces with a mark after another character hold nothing but marks, so marks go with what follows them
+    assert all(not set(p[1:]) & {MARK} or set(p) == {MARK} for p in ids)
+    chosen = "".join(map(re.escape, sorted(signs)))
+    return re.compile(rf"\n|{MARK}*[^{MARK}\n{chosen}]+|{MARK}*[{chosen}][^{MARK}\n]*|{MARK}+").findall if "\n" not in single else re.compile(rf"{MARK}*[^{MARK}]+|{MARK}+").findall
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """Kept in the worker process: words learnt by one task serve the next."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def encode_table(docs: DataFrame, *, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -232,21 +316,23 @@ def encode_table(docs: DataFrame, *, path: str | None = None, id_col: str = "doc
     schema = SCHEMA + ", ids array<int>" * with_ids
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        codec = encoder(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 2500):
                 part = batch.slice(at, 2500)
                 texts = pc.fill_null(part.column(1), "").to_pylist()
-                ids = encoder.encode(texts)
+                ids, offsets = codec.encode(texts)
+                raw = ids.astype("<u4").tobytes()
+                cuts = offsets.tolist()
                 columns = [
                     part.column(0),
-                    pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()),
+                    pa.array(np.diff(offsets)),
+                    pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.int64()),
                     pa.array([len(t) for t in texts], pa.int64()),
-                    pa.array([encoder.decode(x) == t.replace(MARK, " ") for x, t in zip(ids, texts, strict=True)]),
+                    pa.array([x == t.replace(MARK, " ").encode() for x, t in zip(codec.decode(ids, offsets), texts, strict=True)]),
                 ]
                 if with_ids:
-                    columns.append(pa.array(ids, pa.list_(pa.int32())))
+                    columns.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids)))
                 yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in schema.split(", ")])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(rows, schema)

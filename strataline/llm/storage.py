@@ -33,3 +33,14 @@ def deleted(*tables: DataFrame) -> None:
         for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Tables of at most so many rows of ids are broadcast (8 or 16 bytes each).
+BROADCAST_ROWS = 500_000
+
+
+def small_or_shuffled(keys: DataFrame) -> DataFrame:
+    """A written table of ids, for a join: broadcast if its row count says it is small, else sort-merge joined."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys.hint("merge")
