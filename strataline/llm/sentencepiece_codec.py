@@ -289,10 +289,11 @@ def _cutter(ids: dict[str, int]):
     characters without a piece, and before signs that no piece has after anything but marks and such signs."""
     single = {p for p in ids if len(p) == 1}
     signs = {c for c in single if not c.isalnum() and c != MARK}
-    while True:
-        kept = {c for c in signs if all(x == MARK or x in signs for p in ids for x, y in zip(p, p[1:]) if y == c)}
-        if kept == signs:
-            break
+    before: dict[str, set[str]] = {}
+    for p in ids:
+        for x, y in zip(p, p[1:], strict=False):
+            before.setdefault(y, set()).add(x)
+    while (kept := {c for c in signs if before.get(c, set()) <= signs | {MARK}}) != signs:
         signs = kept
     # pieces with a mark after another character hold nothing but marks, so marks go with what follows them
     assert all(not set(p[1:]) & {MARK} or set(p) == {MARK} for p in ids)
