@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MARK = "▁"
-CACHED = 800_000
+CACHED, NEIGHBOURS, INDEX_CHARS = 500_000, 1_000_000, 1_000_000
 SCHEMA = "doc_id long, n_ids long, ids_crc32 long, n_chars long, decoded_same boolean"
 
 
@@ -117,7 +117,7 @@ class Vocabulary:
                 known = self.merged(self.pieces[left] + self.pieces[right]) == [left, right]
             else:
                 known = self._apart(left, right, len(self.rank) + 1)
-            if len(self.neighbours) < 2_000_000:
+            if len(self.neighbours) < NEIGHBOURS:
                 self.neighbours[key] = known
         return known
 
@@ -204,9 +204,9 @@ class Encoder:
             low, high = occurrences(points, order, [p for _, p in usable])
             counts = high - low
             which = np.repeat(np.arange(len(usable)), counts)
-            begin = order[np.repeat(low - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(int(counts.sum()))]
-            sizes = np.array([len(p) for _, p in usable])[which]
-            ids = np.array([i for i, _ in usable])[which]
+            begin = order.astype(np.int32)[np.repeat(low - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(int(counts.sum()))]
+            sizes = np.array([len(p) for _, p in usable], np.int32)[which]
+            ids = np.array([i for i, _ in usable], np.int32)[which]
             edges = [begin, begin + sizes, ids]
         lengths = np.array([*map(len, words)])
         starts = np.cumsum(lengths + 1) - lengths - 1
@@ -217,7 +217,7 @@ class Encoder:
         v, n = self.v, len(points)
         inside = np.repeat(np.arange(len(words)), lengths + 1)[:n]
         offset = np.arange(n) - starts[inside]
-        begins, ends, pieces = edges if edges else [np.zeros(0, np.int64)] * 3
+        begins, ends, pieces = edges if edges else [np.zeros(0, np.int32)] * 3
         depth = offset[ends - 1] + 1 if len(ends) else ends
         by = np.argsort(depth, kind="stable")
         begins, ends, pieces, depth = begins[by], ends[by], pieces[by], depth[by]
@@ -226,7 +226,7 @@ class Encoder:
         lone = lone[np.argsort(offset[lone], kind="stable")]
         lone_depth = offset[lone] + 1
         # last[p]: last piece of the encoding of a word up to p (-1: a character without a piece, -2: none, -3: the word's begin)
-        last, back = np.full(n + 1, -2, np.int64), np.zeros(n + 1, np.int64)
+        last, back = np.full(n + 1, -2, np.int32), np.zeros(n + 1, np.int32)
         last[starts] = -3
         for d in range(1, int(lengths.max(initial=0)) + 1):
             a, b = np.searchsorted(depth, [d, d + 1])
@@ -234,7 +234,7 @@ class Encoder:
             good = (left == -1) | (left == -3)
             ask = np.flatnonzero(left >= 0)
             if len(ask):
-                keys, where = np.unique(left[ask] << 20 | right[ask], return_inverse=True)
+                keys, where = np.unique(left[ask].astype(np.int64) << 20 | right[ask], return_inverse=True)
                 answers = np.array([v.stand(k >> 20, k & 0xFFFFF) for k in keys.tolist()], bool)
                 good[ask] = answers[where]
             to = ends[a:b][good]
@@ -264,16 +264,27 @@ class Encoder:
         """Ids of all texts, and where each text's begin."""
         cut = [self.cut(self.v.normalise(t)) for t in texts]
         fresh = {w for ws in cut for w in ws}.difference(self.index)
-        if self.index and len(self.index) + len(fresh) > CACHED:
-            self._forget()
-            fresh = {w for ws in cut for w in ws}
-        if fresh:
-            self._learn(sorted(fresh))
+        words, size = [], 0
+        for w in sorted(fresh):
+            words.append(w)
+            size += len(w)
+            if size > INDEX_CHARS:
+                self._learn(words)
+                words, size = [], 0
+        if words:
+            self._learn(words)
         index = self.index
         numbers = np.array([index[w] for ws in cut for w in ws], np.int64)
         sizes = self.sizes[numbers]
         ends = np.concatenate(([0], np.cumsum(sizes)))
-        return self.flat[_ragged(self.begins[numbers], sizes)], ends[np.concatenate(([0], np.cumsum([*map(len, cut)], dtype=np.int64)))]
+        ids = self.flat[_ragged(self.begins[numbers], sizes)]
+        if len(index) > CACHED:  # the words learnt first, so the common ones, stay
+            for w in fresh:
+                if index[w] >= CACHED:
+                    del index[w]
+            self.flat = self.flat[: self.begins[CACHED]].copy()
+            self.begins, self.sizes = self.begins[:CACHED].copy(), self.sizes[:CACHED].copy()
+        return ids, ends[np.concatenate(([0], np.cumsum([*map(len, cut)], dtype=np.int64)))]
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         """The UTF-8 of each text."""
