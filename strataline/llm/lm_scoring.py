@@ -271,7 +271,30 @@ def _look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             c = np.where(found, counts[at] if len(words) else 0, 0)
             base, known = np.bincount(owner, times * np.log10(c + 0.5)), np.bincount(owner, times * found)
             touched = np.unique(owner)
-            yield pa.RecordBatch.from_arrays([pa.array(start + touched), pa.array(base[touched]), pa.array(known[touched].astype(np.int64))], ["row_key", "more_base", "more_known"])
+            packed = (touched.astype(np.uint32), base[touched], known[touched].astype(np.uint32))
+            yield pa.RecordBatch.from_arrays([pa.array([start]), *(pa.array([x.tobytes()], pa.binary()) for x in packed)], ["row_key", "rows", "base", "known"])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed sums of all groups for a scored batch (rows sorted by its first key) to a row for each text."""
+
+    def row_batch(start: int, base: np.ndarray, known: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(start + np.arange(len(base))), pa.array(base), pa.array(known)], ["row_key", "more_base", "more_known"])
+
+    now, base, known = None, np.zeros(0), np.zeros(0, np.int64)
+    for batch in batches:
+        for start, rows, more, seen in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if start != now:
+                if now is not None:
+                    yield row_batch(now, base, known)
+                now, base, known = start, np.zeros(0), np.zeros(0, np.int64)
+            at = np.frombuffer(rows, np.uint32)
+            if len(base) <= at.max():
+                base, known = (np.concatenate((x, np.zeros(int(at.max()) + 1 - len(x), x.dtype))) for x in (base, known))
+            base[at] += np.frombuffer(more, float)
+            known[at] += np.frombuffer(seen, np.uint32)
+    if now is not None:
+        yield row_batch(now, base, known)
 
 
 def _frequent(least: int):
@@ -306,7 +329,8 @@ def lm_scores(docs: DataFrame, *, max_filter_bytes: int = MAX_FILTER_BYTES, id_c
     known = table.select(group.alias("shard"), F.lit(0).cast("long").alias("row_key"), "words", F.lit(None).cast("binary").alias("rows"), F.col("word_counts").alias("times"))
     asked = scored.filter("shard is not null").select("shard", "row_key", "words", "rows", "times")
     both = known.unionByName(asked).repartition(groups, "shard").sortWithinPartitions("shard", F.col("rows").isNotNull())
-    sums = both.mapInArrow(_look_up, "row_key long, more_base double, more_known long").groupBy("row_key").agg(F.sum("more_base").alias("more_base"), F.sum("more_known").alias("more_known"))
+    parts = both.mapInArrow(_look_up, "row_key long, rows binary, base binary, known binary").repartition("row_key").sortWithinPartitions("row_key")
+    sums = parts.mapInArrow(_added, "row_key long, more_base double, more_known long")
     out = scored.filter("shard is null").select("row_key", "doc_id", "n_tokens", "base", "known", "score").join(sums.hint("merge"), "row_key", "left")
     return out.select(
         "doc_id",
