@@ -75,7 +75,9 @@ def identities(texts: DataFrame, size: int = BLOCK_CHARS) -> tuple[DataFrame, li
         )
         pairs = written(pairs, "block-pairs")
         old.append(pairs)
-        level = written(pairs.join(_named(pairs, "a", "b").hint("merge"), ["pos", "a", "b"]).select("row", "n", "pos", "name"), "block-level")
+        names = written(_named(pairs, "a", "b"), "pair-names")
+        old.append(names)
+        level = written(pairs.join(names.hint("merge"), ["pos", "a", "b"]).select("row", "n", "pos", "name"), "block-level")
         width *= 2
     out = done[0]
     for x in done[1:]:
@@ -91,7 +93,8 @@ def exact_dedup(docs: DataFrame, *, block_chars: int = BLOCK_CHARS, id_col: str
     named, old = identities(rows.select("row", "text"), block_chars)
     named = written(named.join(rows.select("row", "doc_id", "text_sha256").hint("merge"), "row"), "dedup-identities")
     deleted(rows, *old)
-    groups = named.groupBy("n", "name").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    # written, so that the join has an exchange of its own on each side, whose hot keys Spark can split
+    groups = written(named.groupBy("n", "name").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "dedup-groups")
     joined = named.join(groups.hint("merge"), ["n", "name"])
     return joined.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256")
 
