@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from strataline.llm.graph import connected_components
 from strataline.llm.storage import deleted, small_or_shuffled, written
-from strataline.llm.text_arrays import chunks, mix, mix_int, shingles
+from strataline.llm.text_arrays import chunks, mix, mix_int, release, shingles
 
 COORDINATES, TREES, LEVELS, MAX_LEVELS = 64, 12, 3, 40
 #: Chance of a second coordinate at a node: on average 1 / 0.85 coordinates in all.
@@ -91,6 +91,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ],
             ["doc_id", "n_shingles", "fp1", "fp2", "sketch", "nodes"],
         )
+        release()
 
 
 def _matrix(column: pa.Array) -> np.ndarray:

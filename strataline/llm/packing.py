@@ -28,6 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataline.llm.text_arrays import release
+
 #: Fixed value: the token that ends a document.
 END_ID = 1
 #: The smallest class takes documents of at most capacity / MOST tokens, MOST to a bin.
@@ -146,7 +148,7 @@ def pack(docs: DataFrame, *, path: str | None = None, capacity: int = 2048, with
     schema = SCHEMA + ", ids array<int>" * with_ids
 
     def table(pieces: list[tuple], task: int) -> pa.RecordBatch:
-        ids = [np.array(p[2], np.uint32) for p in pieces]
+        ids = [p[2] for p in pieces]
         longs = [
             [p[0] for p in pieces],
             [p[1] for p in pieces],
@@ -164,10 +166,16 @@ def pack(docs: DataFrame, *, path: str | None = None, capacity: int = 2048, with
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, packer, task = byte_bpe(path), Packer(capacity), TaskContext.get().partitionId()
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                ids = encode(pc.fill_null(part.column(1), "").to_pylist())
-                yield table(list(packer.add([(k, [*x, END_ID]) for k, x in zip(part.column(0).to_pylist(), ids, strict=True)])), task)
+            docs = []
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
+                # lists of ids take nine times as much memory as arrays, so few texts have them at once
+                ids = [np.array([*x, END_ID], np.uint32) for x in encode(pc.fill_null(part.column(1), "").to_pylist())]
+                docs.extend(zip(part.column(0).to_pylist(), ids, strict=True))
+                if len(docs) >= 2000 or at + 100 >= batch.num_rows:
+                    yield table(list(packer.add(docs)), task)
+                    docs = []
+            release()
         yield table(list(packer.finish()), task)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(rows, schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataline.llm.text_arrays import Texts, chunks, mix
+from strataline.llm.text_arrays import Texts, chunks, mix, release
 
 SYMBOLS = b"[#*$%&|<>]"[1:-1]
 
@@ -184,7 +184,11 @@ def good_documents(docs: DataFrame, *, text_col: str = "text", **limits: float)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(verdicts(batch.column(text_col), **limits)["kept"]))
+            # in parts: a batch of whole documents and its copy would be large
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                yield part.filter(pa.array(verdicts(part.column(text_col), **limits)["kept"]))
+            release()
 
     return docs.mapInArrow(rows, docs.schema)
 

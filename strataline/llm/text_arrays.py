@@ -11,6 +11,8 @@ computes the same values.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -94,6 +96,13 @@ class Texts:
         return sums[self.offsets[1:]] - sums[self.offsets[:-1]]
 
 
+def release() -> None:
+    """Gives memory that earlier batches used back to the system: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; a null counts as an empty text."""
     if isinstance(column, pa.ChunkedArray):
