@@ -234,7 +234,7 @@ def _leaves(classes: DataFrame, node_rows: int) -> tuple[DataFrame, list[DataFra
             # the rest agree almost everywhere: blocks of the node, each with one member that stands in all
             stands = large.groupBy("node").agg(F.min("cid").alias("cid"), (F.floor(F.first("count") / node_rows) + 1).cast("int").alias("blocks"))
             blocks = large.join(stands.select("node", "blocks").hint("merge"), "node").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")))
-            every = large.join(stands.hint("merge"), ["node", "cid"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).cast("long"))
+            every = large.join(stands.hint("merge"), ["node", "cid"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
             leaves.append(blocks.unionByName(every).select(F.xxhash64("node", "block").alias("node"), "cid", "sketch", "count").distinct())
             break
         rows = written(_counted(large.select("node", "cid", "sketch").mapInArrow(_deeper, "node long, cid long, sketch binary")), "node-rows")
