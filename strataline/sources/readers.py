@@ -26,7 +26,7 @@ def numstat(spark: SparkSession, path: str, marker: str = "@@") -> DataFrame:
 
     A header holds for the lines below it in its file, so files are read whole and cut into numbered lines.
     """
-    files = spark.read.option("wholetext", True).text(path).withColumn("file", F.input_file_name())
+    files = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
     lines = files.select("file", F.posexplode(F.split("value", "\n")).alias("at", "line")).withColumn("head", F.col("line").startswith(marker))
     w = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     held = lines.withColumns({"commit_no": F.sum(F.col("head").cast("int")).over(w), "header": F.last(F.when(F.col("head"), F.col("line")), ignorenulls=True).over(w)})
@@ -44,7 +44,7 @@ def renamed(path):
 
 def json_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Objects written one after the other with no separator: cut where a closing brace at the start of a line meets an opening one."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     objects = files.select(F.explode(F.split("value", r"(?<=\})\s*(?=\{)")).alias("one"))
     return objects.select(F.from_json("one", schema).alias("o")).filter("o is not null").select("o.*")
 
@@ -52,7 +52,7 @@ def json_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def clone_pairs(spark: SparkSession, path: str) -> DataFrame:
     """format, span, a_file, a_from, a_to, b_file, b_from, b_to from a header and two location lines."""
     pattern = r"Clone found \(([^)]*)\)[^\n]*\n\s*-?\s*(\S+) \[(\d+):\d+ - (\d+):\d+\][^\n]*\n\s*-?\s*(\S+) \[(\d+):\d+ - (\d+):\d+\]"
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     found = files.select(F.explode(F.regexp_extract_all("value", F.lit(pattern), F.lit(0))).alias("m"))
     group = lambda i: F.regexp_extract("m", pattern, i)
     rows = found.select(group(1).alias("format"), group(2).alias("a_file"), group(3).cast("int").alias("a_from"), group(4).cast("int").alias("a_to"), group(5).alias("b_file"), group(6).cast("int").alias("b_from"), group(7).cast("int").alias("b_to"))
