@@ -61,13 +61,16 @@ def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
 def cascade(edges: DataFrame, start: DataFrame, src: str, dst: str, key: str) -> DataFrame:
     """All keys reachable from start along src -> dst, start included: frontiers with an anti join, until none is new."""
     ready(edges.sparkSession)
+    links = edges.select(F.col(src).alias(key), F.col(dst).alias("_next")).distinct().checkpoint()
     found = start.select(F.col(key)).distinct().checkpoint()
-    front = found
+    front, rounds = found, 0
     while True:
-        front = edges.join(front, edges[src] == front[key]).select(F.col(dst).alias(key)).distinct().join(found, key, "left_anti").checkpoint()
+        front = links.join(front, key).select(F.col("_next").alias(key)).distinct().join(found, key, "left_anti").checkpoint()
         if front.isEmpty():
             return found
-        found = found.unionByName(front).checkpoint()
+        found, rounds = found.unionByName(front), rounds + 1
+        if rounds % 8 == 0:  # few enough parts to scan, few enough rounds to lose
+            found = found.coalesce(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))).checkpoint()
 
 
 def canonical_cycles(cycles: DataFrame, members: str) -> DataFrame:
