@@ -34,6 +34,8 @@ from strataline.llm.storage import deleted, small_or_shuffled, written
 from strataline.llm.text_arrays import chunks, mix, mix_int, release, shingles
 
 COORDINATES, TREES, LEVELS, MAX_LEVELS = 64, 12, 3, 40
+#: Levels below a large node that are computed at once.
+STRIDE = 6
 #: Chance of a second coordinate at a node: on average 1 / 0.85 coordinates in all.
 SECOND = 0.18
 
@@ -44,14 +46,14 @@ def _minwise(s: np.ndarray) -> np.ndarray:
     return ((s[:, None] * _MULTIPLIERS) >> np.uint64(32)).min(axis=0) if len(s) < 4096 else np.array([((s * m) >> np.uint64(32)).min() for m in _MULTIPLIERS])
 
 
-def _branch(rows: np.ndarray, paths: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The children of (row, path) nodes, from values (rows by coordinates)."""
+def _branch(rows: np.ndarray, paths: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The children of (row, path) nodes as row, path, parent, from values (rows by coordinates)."""
     first = mix(paths + np.uint64(1))
     second = mix(paths + np.uint64(2))
-    more = (second >> np.uint64(40)).astype(float) < SECOND * 2**24
+    more = ((second >> np.uint64(40)).astype(float) < SECOND * 2**24) & (second % np.uint64(COORDINATES) != first % np.uint64(COORDINATES))
     coordinates = np.concatenate((first % np.uint64(COORDINATES), second[more] % np.uint64(COORDINATES)))
     rows, paths = np.concatenate((rows, rows[more])), np.concatenate((paths, paths[more]))
-    return rows, mix(paths * np.uint64(0x9E3779B97F4A7C15) + mix(values[rows, coordinates.astype(np.int64)].astype(np.uint64) + (coordinates << np.uint64(40))))
+    return rows, mix(paths * np.uint64(0x9E3779B97F4A7C15) + mix(values[rows, coordinates.astype(np.int64)].astype(np.uint64) + (coordinates << np.uint64(40)))), paths
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,7 +75,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tree in range(TREES):
             rows, paths = full, np.full(len(full), mix_int(tree + 1000), np.uint64)
             for _ in range(LEVELS):
-                rows, paths = _branch(rows, paths, values)
+                rows, paths, _ = _branch(rows, paths, values)
             owners.append(rows)
             nodes.append(paths)
         owner, node = np.concatenate(owners), np.concatenate(nodes)
@@ -99,13 +101,18 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """node, cid, sketch one level on."""
+    """node, cid, sketch to the same of the next STRIDE levels, with each node's parent and how many levels it is down."""
     for batch in batches:
         if batch.num_rows:
-            paths = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            rows, paths = _branch(np.arange(batch.num_rows), paths, _matrix(batch.column(2)))
-            taken = batch.take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([pa.array(paths.view(np.int64)), taken.column(1), taken.column(2)], ["node", "cid", "sketch"])
+            values = _matrix(batch.column(2))
+            rows, paths = np.arange(batch.num_rows), batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            for down in range(1, STRIDE + 1):
+                rows, paths, parents = _branch(rows, paths, values)
+                taken = batch.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(paths.view(np.int64)), taken.column(1), taken.column(2), pa.array(parents.view(np.int64)), pa.array(np.full(len(rows), down, np.int32))],
+                    ["node", "cid", "sketch", "parent", "down"],
+                )
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -221,6 +228,19 @@ def _counted(rows: DataFrame) -> DataFrame:
     return rows.join(sizes.hint("merge"), "node")
 
 
+def _next_levels(large: DataFrame, node_rows: int) -> DataFrame:
+    """node, cid, sketch, count of the nodes below large ones: the first small one of each path, and large ones of the last level.
+
+    A small node's own descendants are not wanted, so a node needs a large parent.
+    """
+    deep = large.mapInArrow(_deeper, "node long, cid long, sketch binary, parent long, down int")
+    sizes = written(deep.groupBy("node").agg(F.count("*").alias("count"), F.first("parent").alias("parent"), F.first("down").alias("down")).filter("count > 1"), "node-sizes")
+    above = sizes.filter(F.col("count") > node_rows).select(F.col("node").alias("parent"))
+    below = sizes.filter("down > 1").join(above, "parent", "left_semi").unionByName(sizes.filter("down = 1"))
+    wanted = below.filter((F.col("count") <= node_rows) | (F.col("down") == STRIDE)).select("node", "count")
+    return deep.select("node", "cid", "sketch").join(wanted.hint("merge"), "node")
+
+
 def _leaves(classes: DataFrame, node_rows: int) -> tuple[DataFrame, list[DataFrame]]:
     """(node, cid, sketch) of all nodes that are small enough to be compared."""
     shared = written(_counted(classes.select(F.explode("nodes").alias("node"), "cid")), "shared-nodes")
@@ -230,17 +250,17 @@ def _leaves(classes: DataFrame, node_rows: int) -> tuple[DataFrame, list[DataFra
         large = rows.filter(F.col("count") > node_rows)
         if large.isEmpty():
             break
-        if level == MAX_LEVELS:
+        if level >= MAX_LEVELS:
             # the rest agree almost everywhere: blocks of the node, each with one member that stands in all
             stands = large.groupBy("node").agg(F.min("cid").alias("cid"), (F.floor(F.first("count") / node_rows) + 1).cast("int").alias("blocks"))
             blocks = large.join(stands.select("node", "blocks").hint("merge"), "node").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")))
             every = large.join(stands.hint("merge"), ["node", "cid"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
             leaves.append(blocks.unionByName(every).select(F.xxhash64("node", "block").alias("node"), "cid", "sketch", "count").distinct())
             break
-        rows = written(_counted(large.select("node", "cid", "sketch").mapInArrow(_deeper, "node long, cid long, sketch binary")), "node-rows")
+        rows = written(_next_levels(large.select("node", "cid", "sketch"), node_rows), "node-rows")
         old.append(rows)
         leaves.append(rows.filter(F.col("count") <= node_rows))
-        level += 1
+        level += STRIDE
     out = leaves[0]
     for x in leaves[1:]:
         out = out.unionByName(x)
