@@ -19,6 +19,12 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return after
 
 
+def _stars_only(edges: DataFrame) -> bool:
+    """Whether each u has one edge and no v is a u: nothing is left to join."""
+    ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return not ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up + down > 1 AND up > 0").agg(F.count("*")).first()[0]
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(u, v) to (id, component): the smallest id that each id with an edge can reach.
 
@@ -27,13 +33,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     neighbours is pre-aggregated and joined by a sort-merge join that Spark can split.
     """
     now = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct(), "star-edges")
-    state = None
-    while True:
-        found = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if tuple(found) == state or not found[0]:
-            return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
-        state = tuple(found)
+    while not _stars_only(now):
         half = _star(now, large=True)
         deleted(now)
         now = _star(half, large=False)
         deleted(half)
+    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
