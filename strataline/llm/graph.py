@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataline.llm.storage import deleted, written
+from strataline.llm.storage import deleted, small_or_shuffled, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One half-step: (u, v) with u > v in and out; neighbours of u are joined to its smallest one."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
     least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "star-least")
-    joined = both.join(least.hint("merge"), "u")
+    joined = both.join(small_or_shuffled(least), "u")
     moved = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")) if large else joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     after = written(moved.filter("u > v").distinct(), "star-edges")
     deleted(least)
@@ -30,7 +30,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps: the edges shrink to one star for each component
     in a number of rounds that grows with the logarithm of its size. A vertex with very many
-    neighbours is pre-aggregated and joined by a sort-merge join that Spark can split.
+    neighbours is pre-aggregated and joined with a broadcast if few vertices are left, else by a sort-merge join that Spark can split.
     """
     now = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct(), "star-edges")
     while not _stars_only(now):

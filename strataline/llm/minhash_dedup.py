@@ -225,7 +225,7 @@ def _compare_sets(percent: int):
 def _counted(rows: DataFrame) -> DataFrame:
     """(node, cid) of nodes that several share, with the node's size."""
     sizes = written(rows.groupBy("node").count().filter("count > 1"), "node-sizes")
-    return rows.join(sizes.hint("merge"), "node")
+    return rows.join(small_or_shuffled(sizes), "node")
 
 
 def _next_levels(large: DataFrame, node_rows: int) -> DataFrame:
@@ -238,14 +238,14 @@ def _next_levels(large: DataFrame, node_rows: int) -> DataFrame:
     above = sizes.filter(F.col("count") > node_rows).select(F.col("node").alias("parent"))
     below = sizes.filter("down > 1").join(above, "parent", "left_semi").unionByName(sizes.filter("down = 1"))
     wanted = below.filter((F.col("count") <= node_rows) | (F.col("down") == STRIDE)).select("node", "count")
-    return deep.select("node", "cid", "sketch").join(wanted.hint("merge"), "node")
+    return deep.select("node", "cid", "sketch").join(small_or_shuffled(wanted, sizes), "node")
 
 
 def _leaves(classes: DataFrame, node_rows: int) -> tuple[DataFrame, list[DataFrame]]:
     """(node, cid, sketch) of all nodes that are small enough to be compared."""
-    shared = written(_counted(classes.select(F.explode("nodes").alias("node"), "cid")), "shared-nodes")
+    shared = _counted(classes.select(F.explode("nodes").alias("node"), "cid"))
     rows = written(shared.join(classes.select("cid", "sketch").hint("merge"), "cid").select("node", "cid", "sketch", "count"), "node-rows")
-    leaves, old, level = [rows.filter(F.col("count") <= node_rows)], [shared, rows], LEVELS
+    leaves, old, level = [rows.filter(F.col("count") <= node_rows)], [rows], LEVELS
     while True:
         large = rows.filter(F.col("count") > node_rows)
         if large.isEmpty():
@@ -278,17 +278,17 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, node_rows: int = 512,
     leaves, old = _leaves(classes.filter("cid is not null"), node_rows)
     likely = connected_components(leaves.repartition("node").sortWithinPartitions("node").mapInArrow(_compare_sketches(percent), _EDGES))
     sizes = written(likely.groupBy("component").count(), "component-sizes")
-    likely = written(likely.join(sizes.hint("merge"), "component").select(F.col("id").alias("cid"), "component", "count"), "likely-components")
+    likely = written(likely.join(small_or_shuffled(sizes), "component").select(F.col("id").alias("cid"), "component", "count"), "likely-components")
     by_component = likely.filter(F.col("count") <= component_rows).select("cid", F.array("component").alias("keys"))
     large = likely.filter(F.col("count") > component_rows)
-    by_node = leaves.select("node", "cid").join(large.select("cid", "component").hint("merge"), "cid").groupBy("cid").agg(F.collect_set(F.xxhash64("node", "component")).alias("keys"))
+    by_node = leaves.select("node", "cid").join(small_or_shuffled(large.select("cid", "component"), likely), "cid").groupBy("cid").agg(F.collect_set(F.xxhash64("node", "component")).alias("keys"))
     keys = written(by_component.unionByName(by_node), "comparison-keys")
     chosen = docs.join(small_or_shuffled(keys), docs.doc_id == keys.cid).select("cid", "keys", "text")
     rows = chosen.mapInArrow(_full_sets, "cid long, keys array<long>, items binary").select(F.explode("keys").alias("key"), "cid", "items")
     linked = connected_components(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_compare_sets(percent), _EDGES))
     deleted(*old)
     members = written(classes.select(*same, "cid").join(linked.select(F.col("id").alias("cid"), "component").hint("merge"), "cid", "left").select(*same, F.coalesce("component", "cid").alias("component")), "class-components")
-    out = sets.select("doc_id", *same).join(members.hint("merge"), same, "left")
+    out = sets.select("doc_id", *same).join(small_or_shuffled(members), same, "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
 

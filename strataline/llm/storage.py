@@ -35,12 +35,12 @@ def deleted(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Tables of at most so many rows of ids are broadcast (8 or 16 bytes each).
+#: Tables of at most so many rows of ids and counts are broadcast (8 to 40 bytes each).
 BROADCAST_ROWS = 500_000
 
 
-def small_or_shuffled(keys: DataFrame) -> DataFrame:
-    """A written table of ids, for a join: broadcast if its row count says it is small, else sort-merge joined."""
+def small_or_shuffled(keys: DataFrame, part_of: DataFrame | None = None) -> DataFrame:
+    """A written table of ids, or some rows of one (part_of), for a join: broadcast if its row count says it is small, else sort-merge joined."""
     from pyspark.sql import functions as F
 
-    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys.hint("merge")
+    return F.broadcast(keys) if (keys if part_of is None else part_of).count() <= BROADCAST_ROWS else keys.hint("merge")
