@@ -114,3 +114,9 @@ def rename_closure(renames: DataFrame, old: str, new: str, seq: str, most: int =
         if walk.join(ahead, "next").filter(~F.array_contains("seen", F.col("next"))).isEmpty():
             break
     return walk.filter(F.col("name") != F.col("next")).select("name", F.col("next").alias("final"))
+
+
+def completeness(txns: DataFrame, at: str, merge: Column) -> DataFrame:
+    """One row: how many transactions there are, how many of them merge, and the first and last day. No rows: zeros and nulls."""
+    day = F.to_date(at).cast("string")
+    return txns.agg(F.count("*").alias("total"), F.count_if(merge).alias("merges"), F.count_if(~merge | merge.isNull()).alias("others"), F.min(day).alias("oldest"), F.max(day).alias("newest"))

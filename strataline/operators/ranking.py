@@ -61,3 +61,8 @@ def budgeted(df: DataFrame, group: str, order: str, size: str, budget: int) -> D
         return rows.assign(taken=taken)
 
     return df.select(group, order, size).groupBy(group).applyInPandas(fold, f"{group} {dict(df.dtypes)[group]}, {order} {dict(df.dtypes)[order]}, {size} {dict(df.dtypes)[size]}, taken boolean")
+
+
+def with_grand_total(df: DataFrame, key: str, sums: dict[str, Column]) -> DataFrame:
+    """Sums for each key and, in the row with is_total, of all: one aggregation whose partial sums come before the shuffle."""
+    return df.rollup(key).agg((F.grouping(key) == 1).alias("is_total"), F.count("*").alias("rows"), *[F.sum(c).alias(name) for name, c in sums.items()])

@@ -418,3 +418,17 @@ def ledger_replay(table):
 def readiness(table):
     needs = table("events").filter("user_id > 0").select("user_id", F.floor(F.col("user_id") / 2).alias("needs")).distinct()
     return ledger.readiness(_states(table).checkpoint(), needs, "user_id", "needs")
+
+
+# Totals
+
+
+@query("""SELECT count(*) AS total, count(*) FILTER (o_orderstatus = 'P') AS merges, count(*) FILTER (o_orderstatus IS DISTINCT FROM 'P') AS others,
+min(o_orderdate)::DATE::VARCHAR AS oldest, max(o_orderdate)::DATE::VARCHAR AS newest FROM orders""")
+def history_completeness(table):
+    return history.completeness(table("orders"), "o_orderdate", F.col("o_orderstatus") == "P")
+
+
+@query("""SELECT p_brand, grouping(p_brand) = 1 AS is_total, count(*) AS rows, sum(p_size)::BIGINT AS lines, sum(p_partkey % 7)::BIGINT AS comments FROM part GROUP BY ROLLUP (p_brand)""")
+def label_totals(table):
+    return ranking.with_grand_total(table("part"), "p_brand", {"lines": F.col("p_size"), "comments": F.col("p_partkey") % 7})
