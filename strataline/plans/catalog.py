@@ -2,41 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataline.functions import text as T
 from strataline.operators import compare, graph, history, ledger, ranking, routes
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a function of a table reader under its own name."""
-
-    def add(f):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            graph.ready(spark)
-            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-
-        QUERIES[f.__name__] = run
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
-
+from strataline.plans.registry import query
 
 # History: orders are transactions, parts are items, customers are actors.
 
@@ -109,12 +80,12 @@ def ambiguous_labels(table):
     return history.ambiguous_labels(table("customer"), "c_nationkey", "c_mktsegment")
 
 
-@query("""WITH RECURSIVE r AS (SELECT event_id, user_id AS o, (user_id * user_id + 1) % 60 AS n FROM events WHERE event_type = 'signup' AND user_id < 60),
+@query("""WITH RECURSIVE r AS (SELECT event_id, user_id AS o, (user_id * user_id + 1) % 60 AS n FROM events WHERE event_type = 'signup'),
 s AS (SELECT o, n FROM (SELECT *, row_number() OVER (PARTITION BY o ORDER BY event_id DESC) rn FROM r WHERE o <> n) WHERE rn = 1),
 w AS (SELECT o AS name, n AS cur, [o] AS seen FROM s UNION ALL SELECT w.name, s.n, list_append(w.seen, w.cur) FROM w JOIN s ON s.o = w.cur WHERE NOT list_contains(w.seen, w.cur))
 SELECT name, arg_max(cur, len(seen)) AS final FROM w GROUP BY name HAVING arg_max(cur, len(seen)) <> name""")
 def rename_closure(table):
-    log = table("events").filter((F.col("event_type") == "signup") & (F.col("user_id") < 60)).withColumn("n", (F.col("user_id") * F.col("user_id") + 1) % 60)
+    log = table("events").filter(F.col("event_type") == "signup").withColumn("n", (F.col("user_id") * F.col("user_id") + 1) % 60)
     return history.rename_closure(log, "user_id", "n", "event_id")
 
 
@@ -249,23 +220,23 @@ def merged_nodes(table):
     return graph.merge_nodes(nodes, "c_nationkey", "c_custkey", ["c_mktsegment"], ["tags"]).withColumn("tags", F.array_join("tags", "|"))
 
 
-_STRONG = "SELECT DISTINCT l_suppkey AS a, 1000000 + l_partkey AS b FROM lineitem WHERE l_quantity >= 49 AND l_partkey % 9 = l_suppkey % 9"
+_BY_CUSTOMER = "SELECT o_custkey AS a, -1 - o_orderkey AS b FROM orders"
 
 
-def _strong(table) -> DataFrame:
-    return table("lineitem").filter("l_quantity >= 49 and l_partkey % 9 = l_suppkey % 9").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 1000000).alias("b")).distinct()
+def _by_customer(table) -> DataFrame:
+    return table("orders").select(F.col("o_custkey").alias("a"), (-1 - F.col("o_orderkey")).alias("b"))
 
 
-@query(f"""WITH RECURSIVE e AS ({_STRONG}), u AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), r AS (SELECT x, x AS z FROM u UNION SELECT r.x, u.y FROM r JOIN u ON r.z = u.x)
+@query(f"""WITH RECURSIVE e AS ({_BY_CUSTOMER}), u AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), r AS (SELECT x, x AS z FROM u UNION SELECT r.x, u.y FROM r JOIN u ON r.z = u.x)
 SELECT x AS id, min(z) AS component FROM r GROUP BY x""")
 def components(table):
-    return graph.connected_components(_strong(table), "a", "b")
+    return graph.connected_components(_by_customer(table), "a", "b")
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT user_id AS a, (user_id * 3 + 1) % 1000 AS b FROM events), r AS (SELECT DISTINCT user_id AS a FROM events WHERE event_type = 'error' AND user_id < 5 UNION SELECT e.b FROM r JOIN e ON r.a = e.a) SELECT a FROM r""")
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT user_id AS a, (user_id * 3 + 1) % 1000 AS b FROM events), r AS (SELECT DISTINCT user_id AS a FROM events WHERE event_type = 'error' UNION SELECT e.b FROM r JOIN e ON r.a = e.a) SELECT a FROM r""")
 def failure_cascade(table):
     e = table("events")
-    return graph.cascade(e.select(F.col("user_id").alias("src"), ((F.col("user_id") * 3 + 1) % 1000).alias("dst")).distinct(), e.filter("event_type = 'error' and user_id < 5").select(F.col("user_id").alias("a")), "src", "dst", "a")
+    return graph.cascade(e.select(F.col("user_id").alias("src"), ((F.col("user_id") * 3 + 1) % 1000).alias("dst")).distinct(), e.filter("event_type = 'error'").select(F.col("user_id").alias("a")), "src", "dst", "a")
 
 
 @query("""WITH c AS (SELECT [n_regionkey, n_nationkey, (n_nationkey + 7) % 25] AS m FROM nation) SELECT DISTINCT array_to_string(list_concat(list_slice(m, p, len(m)), list_slice(m, 1, p - 1)), '>') AS cycle FROM (SELECT m, list_position(m, list_min(m)) AS p FROM c)""")
@@ -294,13 +265,13 @@ def group_topology(table):
     return graph.group_topology(ends, owners, "src", "dst", "item", "g")
 
 
-_SPANS = "SELECT l_suppkey k, l_orderkey o, (min(epoch(l_shipdate)) // 86400)::BIGINT AS lo, (max(epoch(l_shipdate)) // 86400)::BIGINT AS hi FROM lineitem WHERE l_returnflag = '{}' AND l_orderkey % 10 = 1 GROUP BY 1, 2"
+_SPANS = "SELECT l_suppkey k, l_orderkey o, (min(epoch(l_shipdate)) // 86400)::BIGINT AS lo, (max(epoch(l_shipdate)) // 86400)::BIGINT AS hi FROM lineitem WHERE l_returnflag = '{}' GROUP BY 1, 2"
 
 
 @query(f"WITH a AS ({_SPANS.format('R')}), b AS ({_SPANS.format('A')}) SELECT a.o AS a_id, b.o AS b_id, count(*) AS overlaps FROM a JOIN b ON a.k = b.k AND a.lo <= b.hi + 5 AND b.lo <= a.hi + 5 GROUP BY 1, 2")
 def interval_overlaps(table):
     day = F.floor(F.unix_timestamp("l_shipdate") / 86400)
-    spans = table("lineitem").filter("l_orderkey % 10 = 1").groupBy("l_suppkey", "l_orderkey", "l_returnflag").agg(F.min(day).alias("lo"), F.max(day).alias("hi"))
+    spans = table("lineitem").groupBy("l_suppkey", "l_orderkey", "l_returnflag").agg(F.min(day).alias("lo"), F.max(day).alias("hi"))
     a, b = spans.filter("l_returnflag = 'R'").withColumn("hi", F.col("hi") + 5), spans.filter("l_returnflag = 'A'").withColumn("hi", F.col("hi") + 5)
     return graph.interval_overlaps(a, b, ["l_suppkey"], "l_orderkey", "l_orderkey", "lo", "hi", 30)
 

@@ -1,16 +1,16 @@
 import pytest
-from strataline.plans import catalog
+from strataline import plans
 
 from tests.oracle import rows, sql_rows
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(plans.QUERIES))
 def test_query_agrees_with_sql(spark, name):
-    found = rows(catalog.QUERIES[name](spark, SF).toPandas())
-    if name in catalog.SQL:
-        assert found == sql_rows(SF, catalog.SQL[name])
+    found = rows(plans.QUERIES[name](spark, SF).toPandas())
+    if name in plans.SQL:
+        assert found == sql_rows(SF, plans.SQL[name])
     else:
         assert found[0]
 
