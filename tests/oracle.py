@@ -1,12 +1,13 @@
 """Rows of a query and of its SQL in DuckDB, in a form that can be compared."""
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def plain(x):
-    if x is None or x != x:
+    if x is None or x is pd.NA or x != x:
         return None
     if hasattr(x, "item"):
         x = x.item()
