@@ -189,3 +189,37 @@ def executions(log: DataFrame, key: str, order: list[str], event: str, at: str,
     out = rows.filter("attempt > 0").groupBy(key, "generation", "attempt").agg(moment(claimed, "claimed_at"), moment(submitted, "submitted_at"))
     waited = F.unix_seconds(F.col("submitted_at").cast("timestamp")) - F.unix_seconds(F.col("claimed_at").cast("timestamp"))
     return out.withColumn("queue_seconds", F.when(waited < 0, 0).otherwise(waited))
+
+
+def import_classes(imports: DataFrame, manifest: DataFrame, spec: str, package: str, section: str) -> DataFrame:
+    """spec, class of distinct imports: production, dev-test or unclassified, by where the manifest declares their package."""
+    from strataline.functions.names import package_key
+
+    declared = manifest.groupBy(package).agg(F.bool_or(F.col(section) == "dependencies").alias("_production"))
+    keyed = imports.select(spec).distinct().withColumn(package, package_key(F.col(spec), F.lit(False)))
+    kind = F.when(F.col("_production"), "production").when(~F.col("_production"), "dev-test").otherwise("unclassified")
+    return keyed.join(declared, package, "left").select(spec, kind.alias("class"))
+
+
+def short_references(paths: DataFrame, path: str) -> DataFrame:
+    """path, reference: paths with the same last part all get as many parts as it takes to tell them apart."""
+    rows = paths.select(path).distinct().withColumn("_parts", F.split(path, "/"))
+    rows = rows.withColumns({"_base": F.element_at("_parts", -1), "_n": F.size("_parts")})
+    tail = lambda d: F.array_join(F.slice("_parts", F.greatest(F.lit(1), F.col("_n") - d + 1), d), "/")
+    deepest = rows.groupBy("_base").agg(F.max("_n").alias("_deepest"), F.count("*").alias("_all"))
+    each = rows.join(deepest, "_base").withColumn("_d", F.explode(F.sequence(F.lit(1), F.col("_deepest")))).withColumn("_tail", tail(F.col("_d")))
+    # two aggregations in place of a distinct count: no group of one name goes through one task
+    apart = each.groupBy("_base", "_d", "_tail", "_all").agg(F.count("*").alias("_same")).groupBy("_base", "_d", "_all").agg(F.count("*").alias("_different"))
+    depth = apart.filter("_different = _all").groupBy("_base").agg(F.min("_d").alias("_d"))
+    return rows.join(depth, "_base").select(path, tail(F.col("_d")).alias("reference"))
+
+
+def view_lines(lines: DataFrame, source: str, at: str, line: str, pattern: str, most: int) -> DataFrame:
+    """The first lines of each source that match, with how many do and whether some are left out."""
+    return buckets(lines.filter(F.col(line).rlike(pattern)), [source], [F.col(at)], most)
+
+
+def outdated(reports: DataFrame, source: str, report: str) -> DataFrame:
+    """source, name, current, wanted, latest, type: a row for each package of a report, an object by package name."""
+    parsed = F.from_json(report, "map<string, struct<current: string, wanted: string, latest: string, type: string>>")
+    return reports.select(source, F.explode(parsed).alias("name", "_p")).select(source, "name", *[F.coalesce(F.col("_p")[c], F.lit("")).alias(c) for c in ("current", "wanted", "latest", "type")])

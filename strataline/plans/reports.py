@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataline.functions import names
 from strataline.operators import clusters, evidence
 from strataline.operators.ranking import first_per_group
 from strataline.plans.registry import query
@@ -241,3 +242,58 @@ def executions(table):
 def latest_outputs(table):
     done = table("events").filter("event_type = 'purchase'")
     return first_per_group(done, ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "value")
+
+
+# References and prose.
+
+
+@query("""SELECT page_id, coalesce(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), '') || '@nogit:' || url || ':' || page_id || ':1' AS citation FROM pages""")
+def citations(table):
+    host = F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1)
+    return table("pages").select("page_id", names.citation(host, F.lit(""), F.col("url"), F.col("page_id"), F.lit(1)).alias("citation"))
+
+
+@query("""SELECT url, replace(replace(replace(replace(url, '%', '%25'), ':', '%3A'), '/', '%2F'), '?', '%3F') AS key, url AS back FROM pages""")
+def artifact_keys(table):
+    key = names.artifact_key(F.col("url"))
+    return table("pages").select("url", key.alias("key"), names.artifact_reference(key).alias("back"))
+
+
+@query("""SELECT conv_id, turn, coalesce(array_to_string(list_transform(range(1, len(p)), lambda i: (list_sum(list_transform(p[1:i], lambda s: length(s))) + (i - 1) * 2)::BIGINT), ','), '') AS at
+FROM (SELECT conv_id, turn, string_split(text, 'le') AS p FROM conversations WHERE text IS NOT NULL)""")
+def forbidden_words(table):
+    found = names.occurrences(F.col("text"), "le")
+    return table("conversations").filter("text is not null").select("conv_id", "turn", F.array_join(F.transform(found, lambda x: x["at"].cast("string")), ",").alias("at"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN octet_length(encode(text)) <= 40 THEN text END AS whole, least(40, octet_length(encode(text))) >= octet_length(encode(cut)) AND octet_length(encode(cut)) > least(36, octet_length(encode(text)) - 1) AS tight, starts_with(text, cut) AS prefix
+FROM (SELECT *, (SELECT left(text, max(i)) FROM range(0, 41) r(i) WHERE octet_length(encode(left(text, i::BIGINT))) <= 40) AS cut FROM conversations WHERE text IS NOT NULL)""")
+def byte_caps(table):
+    rows = table("conversations").filter("text is not null").withColumn("cut", names.byte_prefix(F.col("text"), 40))
+    size, cut = F.octet_length("text"), F.octet_length("cut")
+    tight = (F.least(F.lit(40), size) >= cut) & (cut > F.least(F.lit(36), size - 1))
+    return rows.select("conv_id", "turn", F.when(size <= 40, F.col("text")).alias("whole"), tight.alias("tight"), F.col("text").startswith(F.col("cut")).alias("prefix"))
+
+
+@query("""WITH m AS (SELECT p_name AS package, bool_or(p_size < 25) AS prod FROM part WHERE p_size < 40 GROUP BY 1) SELECT DISTINCT p_name || '/' || p_type AS spec, CASE WHEN prod THEN 'production' WHEN NOT prod THEN 'dev-test' ELSE 'unclassified' END AS class FROM part LEFT JOIN m ON package = p_name""")
+def import_classes(table):
+    parts = table("part")
+    manifest = parts.filter("p_size < 40").select(F.col("p_name").alias("package"), F.when(F.col("p_size") < 25, "dependencies").otherwise("devDependencies").alias("section"))
+    return evidence.import_classes(parts.select(F.concat_ws("/", "p_name", "p_type").alias("spec")), manifest, "spec", "package", "section")
+
+
+@query("""WITH p AS (SELECT DISTINCT p_type || '/' || p_brand || '/' || p_name AS path, p_name AS b, p_brand || '/' || p_name AS t FROM part), g AS (SELECT b, count(*) AS n, count(DISTINCT t) AS d FROM p GROUP BY 1)
+SELECT path, CASE WHEN n = 1 THEN b WHEN d = n THEN t ELSE path END AS reference FROM p JOIN g USING (b)""")
+def short_references(table):
+    return evidence.short_references(table("part").select(F.concat_ws("/", "p_type", "p_brand", "p_name").alias("path")), "path")
+
+
+@query("""WITH l AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rank, count(*) OVER (PARTITION BY conv_id) AS total FROM conversations WHERE contains(text, 'tion')) SELECT conv_id, turn, text, rank::INT AS rank, total, total > 2 AS truncated FROM l WHERE rank <= 2""")
+def view_lines(table):
+    return evidence.view_lines(table("conversations").select("conv_id", "turn", "text"), "conv_id", "turn", "text", "tion", 2)
+
+
+@query("""SELECT user_id, event_type AS name, value::VARCHAR AS current, '' AS wanted, event_id::VARCHAR AS latest, '' AS type FROM events""")
+def outdated_packages(table):
+    report = F.to_json(F.create_map("event_type", F.struct(F.col("value").cast("string").alias("current"), F.col("event_id").cast("string").alias("latest"))))
+    return evidence.outdated(table("events").select("user_id", report.alias("report")), "user_id", "report")
