@@ -4,10 +4,11 @@ Texts with the same shingle set (two 64-bit sums over the whole set, and its siz
 and only one member goes on. Of each class 64 minwise values are taken over the whole set. A tree
 is descended by choosing, from the hash of the path so far, one coordinate (sometimes two) of
 those values; texts go on together where their values there agree. The path is a function of the
-text alone, so the first levels of all trees are computed without a shuffle. Nodes of more than
-``node_rows`` texts are branched further; nodes of at most that many are compared exhaustively on
-64-byte sketches. Independent trees (12) repeat this: a pair at the threshold shares a node with
-probability about 0.7 in each, so one in two million is missed.
+text alone, so a tree's LEVELS levels are computed without a shuffle. A node has on average one child
+for each threshold's inverse, and there are as many independent trees as a pair at the threshold needs
+to share a node in one of them but for one time in a million (``_trees``: both follow from percent).
+Nodes of at most ``node_rows`` texts are compared exhaustively on 64-byte sketches; larger ones first in
+blocks, then all texts that are still apart with all others (``_across``), so depth costs no recall.
 
 Nodes yield stars, not pairs. Their components hold every true link between their members; each
 component's full shingle sets are then compared in one task, where a text needs no comparison
@@ -22,6 +23,7 @@ texts count as linked. Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,11 +35,9 @@ from strataline.llm.graph import connected_components
 from strataline.llm.storage import deleted, small_or_shuffled, written
 from strataline.llm.text_arrays import chunks, mix, mix_int, release, shingles
 
-COORDINATES, TREES, LEVELS, MAX_LEVELS = 64, 12, 3, 40
-#: Levels below a large node that are computed at once.
-STRIDE = 6
-#: Chance of a second coordinate at a node: on average 1 / 0.85 coordinates in all.
-SECOND = 0.18
+COORDINATES, LEVELS = 64, 3
+#: A pair at the threshold is missed by all trees at most so often; more trees than MOST_TREES are refused.
+MISSED, MOST_TREES = 1e-6, 250
 
 _MULTIPLIERS = mix(np.arange(101, 101 + COORDINATES, dtype=np.uint64)) | np.uint64(1)
 
@@ -46,73 +46,85 @@ def _minwise(s: np.ndarray) -> np.ndarray:
     return ((s[:, None] * _MULTIPLIERS) >> np.uint64(32)).min(axis=0) if len(s) < 4096 else np.array([((s * m) >> np.uint64(32)).min() for m in _MULTIPLIERS])
 
 
-def _branch(rows: np.ndarray, paths: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The children of (row, path) nodes as row, path, parent, from values (rows by coordinates)."""
+def _trees(percent: int) -> tuple[float, int]:
+    """The chance of a second coordinate at a node (1 / threshold coordinates on average) and the number of trees.
+
+    Trees share the pair's values, so what they miss is averaged over how many of those agree.
+    """
+    t = percent / 100
+    second = min(1.0, 1 / t - 1)
+    agreeing = np.arange(COORDINATES + 1)
+    chance = np.array([math.comb(COORDINATES, m) * t**m * (1 - t) ** (COORDINATES - m) for m in agreeing])
+    reached = np.ones(COORDINATES + 1)
+    for _ in range(LEVELS):
+        lost = 1 - agreeing / COORDINATES * reached
+        reached = 1 - (1 - second) * lost - second * lost**2
+    for trees in range(1, MOST_TREES + 1):
+        if (chance * (1 - reached) ** trees).sum() <= MISSED:
+            return second, trees
+    raise ValueError(f"{percent} percent needs more than {MOST_TREES} trees")
+
+
+def _branch(rows: np.ndarray, paths: np.ndarray, values: np.ndarray, chance: float) -> tuple[np.ndarray, np.ndarray]:
+    """The children of (row, path) nodes as row, path, from values (rows by coordinates)."""
     first = mix(paths + np.uint64(1))
     second = mix(paths + np.uint64(2))
-    more = ((second >> np.uint64(40)).astype(float) < SECOND * 2**24) & (second % np.uint64(COORDINATES) != first % np.uint64(COORDINATES))
-    coordinates = np.concatenate((first % np.uint64(COORDINATES), second[more] % np.uint64(COORDINATES)))
+    # the second one is a coordinate other than the first
+    other = (first + np.uint64(1) + second % np.uint64(COORDINATES - 1)) % np.uint64(COORDINATES)
+    more = (second >> np.uint64(40)).astype(float) < chance * 2**24
+    coordinates = np.concatenate((first % np.uint64(COORDINATES), other[more]))
     rows, paths = np.concatenate((rows, rows[more])), np.concatenate((paths, paths[more]))
-    return rows, mix(paths * np.uint64(0x9E3779B97F4A7C15) + mix(values[rows, coordinates.astype(np.int64)].astype(np.uint64) + (coordinates << np.uint64(40)))), paths
+    return rows, mix(paths * np.uint64(0x9E3779B97F4A7C15) + mix(values[rows, coordinates.astype(np.int64)].astype(np.uint64) + (coordinates << np.uint64(40))))
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketches(percent: int):
     """doc_id, text to doc_id, n_shingles, fp1, fp2, sketch, nodes."""
-    for batch in batches:
-        n = batch.num_rows
-        sizes, prints, values = np.zeros(n, np.int64), np.zeros((2, n), np.uint64), np.zeros((n, COORDINATES), np.uint64)
-        for t in chunks(batch.column(1)):
-            words = t.words(fold=True)
-            for i in range(t.n):
-                s = shingles(words[t.word_offsets[i] : t.word_offsets[i + 1]])
-                if len(s):
-                    k = t.first + i
-                    sizes[k], values[k] = len(s), _minwise(s)
-                    prints[0, k], prints[1, k] = mix(s).sum(), mix(s ^ np.uint64(0xC2B2AE3D27D4EB4F)).sum()
-        nodes: list[np.ndarray] = []
-        owners: list[np.ndarray] = []
-        full = np.flatnonzero(sizes)
-        for tree in range(TREES):
-            rows, paths = full, np.full(len(full), mix_int(tree + 1000), np.uint64)
-            for _ in range(LEVELS):
-                rows, paths, _ = _branch(rows, paths, values)
-            owners.append(rows)
-            nodes.append(paths)
-        owner, node = np.concatenate(owners), np.concatenate(nodes)
-        by = np.argsort(owner, kind="stable")
-        offsets = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=n))))
-        sketch = (values & np.uint64(0xFF)).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0),
-                pa.array(sizes),
-                pa.array(prints[0].view(np.int64)),
-                pa.array(prints[1].view(np.int64)),
-                pa.array([x.tobytes() for x in sketch], pa.binary()),
-                pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(node[by].view(np.int64))),
-            ],
-            ["doc_id", "n_shingles", "fp1", "fp2", "sketch", "nodes"],
-        )
-        release()
+    chance, trees = _trees(percent)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # few texts at once: their values and nodes take a kilobyte each
+        for batch in (whole.slice(at, 2000) for whole in batches for at in range(0, whole.num_rows, 2000)):
+            n = batch.num_rows
+            sizes, prints, values = np.zeros(n, np.int64), np.zeros((2, n), np.uint64), np.zeros((n, COORDINATES), np.uint64)
+            for t in chunks(batch.column(1)):
+                words = t.words(fold=True)
+                for i in range(t.n):
+                    s = shingles(words[t.word_offsets[i] : t.word_offsets[i + 1]])
+                    if len(s):
+                        k = t.first + i
+                        sizes[k], values[k] = len(s), _minwise(s)
+                        prints[0, k], prints[1, k] = mix(s).sum(), mix(s ^ np.uint64(0xC2B2AE3D27D4EB4F)).sum()
+            nodes: list[np.ndarray] = []
+            owners: list[np.ndarray] = []
+            full = np.flatnonzero(sizes)
+            for tree in range(trees):
+                rows, paths = full, np.full(len(full), mix_int(tree + 1000), np.uint64)
+                for _ in range(LEVELS):
+                    rows, paths = _branch(rows, paths, values, chance)
+                owners.append(rows)
+                nodes.append(paths)
+            owner, node = np.concatenate(owners), np.concatenate(nodes)
+            by = np.argsort(owner, kind="stable")
+            offsets = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=n))))
+            sketch = (values & np.uint64(0xFF)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array(sizes),
+                    pa.array(prints[0].view(np.int64)),
+                    pa.array(prints[1].view(np.int64)),
+                    pa.array([x.tobytes() for x in sketch], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(node[by].view(np.int64))),
+                ],
+                ["doc_id", "n_shingles", "fp1", "fp2", "sketch", "nodes"],
+            )
+            release()
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, COORDINATES)
+    return run
 
 
-def _deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """node, cid, sketch to the same of the next STRIDE levels, with each node's parent and how many levels it is down."""
-    for batch in batches:
-        if batch.num_rows:
-            values = _matrix(batch.column(2))
-            rows, paths = np.arange(batch.num_rows), batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for down in range(1, STRIDE + 1):
-                rows, paths, parents = _branch(rows, paths, values)
-                taken = batch.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(paths.view(np.int64)), taken.column(1), taken.column(2), pa.array(parents.view(np.int64)), pa.array(np.full(len(rows), down, np.int32))],
-                    ["node", "cid", "sketch", "parent", "down"],
-                )
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, COORDINATES)
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -132,18 +144,21 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _stars(ids: np.ndarray, agree) -> tuple[list[int], list[int]]:
+def _stars(ids: np.ndarray, agree, labels: np.ndarray | None = None) -> tuple[list[int], list[int]]:
     """Edges (member, least member) of the components, where agree(i, others) says which others link with i.
 
-    Each text is compared once with all that aren't connected to it yet.
+    Texts of one label are connected. Each text is compared once with all that aren't connected to it yet.
     """
     u: list[int] = []
     v: list[int] = []
     left = np.arange(len(ids))
     while len(left):
-        queue, members, left = [left[0]], [left[0]], left[1:]
+        near = left == left[0] if labels is None else labels[left] == labels[left[0]]
+        queue, members, left = left[near].tolist(), left[near].tolist(), left[~near]
         while queue and len(left):
             near = agree(queue.pop(), left)
+            if labels is not None and near.any():
+                near = np.isin(labels[left], labels[left[near]])
             queue.extend(left[near])
             members.extend(left[near])
             left = left[~near]
@@ -155,6 +170,10 @@ def _stars(ids: np.ndarray, agree) -> tuple[list[int], list[int]]:
     return u, v
 
 
+def _labels(rows: pa.Table) -> np.ndarray | None:
+    return rows.column("label").to_numpy() if "label" in rows.column_names else None
+
+
 _EDGES = "u long, v long"
 
 
@@ -168,6 +187,7 @@ def _edge_batches(found: Iterator[tuple[list[int], list[int]]]) -> Iterator[pa.R
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
             u, v = [], []
     yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+    release()
 
 
 def _compare_sketches(percent: int):
@@ -179,7 +199,7 @@ def _compare_sketches(percent: int):
         def found():
             for rows in _groups(batches):
                 x = _matrix(rows.column("sketch"))
-                yield _stars(rows.column("cid").to_numpy(), lambda i, left, x=x: (x[left] == x[i]).sum(axis=1) >= least)
+                yield _stars(rows.column("cid").to_numpy(), lambda i, left, x=x: (x[left] == x[i]).sum(axis=1) >= least, _labels(rows))
 
         yield from _edge_batches(found())
 
@@ -187,13 +207,15 @@ def _compare_sketches(percent: int):
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """cid, keys, text to cid, keys, the text's shingle set."""
+    """cid, label, keys, text to cid, label, keys, the text's shingle set."""
     for batch in batches:
         out: list[bytes] = []
-        for t in chunks(batch.column(2)):
+        for t in chunks(batch.column(3)):
             words = t.words(fold=True)
             out.extend(shingles(words[t.word_offsets[i] : t.word_offsets[i + 1]]).tobytes() for i in range(t.n))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["cid", "keys", "items"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary())], ["cid", "label", "keys", "items"])
+        del out
+        release()
 
 
 def _compare_sets(percent: int):
@@ -215,7 +237,7 @@ def _compare_sets(percent: int):
                     flags[items[begins[i] : begins[i] + sizes[i]]] = 0
                     return 100 * common >= percent * (sizes[i] + sizes[left] - common)
 
-                yield _stars(rows.column("cid").to_numpy(), agree)
+                yield _stars(rows.column("cid").to_numpy(), agree, _labels(rows))
 
         yield from _edge_batches(found())
 
@@ -228,65 +250,82 @@ def _counted(rows: DataFrame) -> DataFrame:
     return rows.join(small_or_shuffled(sizes), "node")
 
 
-def _next_levels(large: DataFrame, node_rows: int) -> DataFrame:
-    """node, cid, sketch, count of the nodes below large ones: the first small one of each path, and large ones of the last level.
+def _across(members: DataFrame, percent: int, block_rows: int) -> DataFrame | None:
+    """(key, cid, label): for each pair of a group's members (group, cid, label, n_shingles) with different labels and sizes that allow a link, a key that both have.
 
-    A small node's own descendants are not wanted, so a node needs a large parent.
+    A key has at most about twice block_rows members. Members of a group's most frequent label need no comparison among
+    themselves, so blocks of the others are paired with blocks of all. Sizes lie in bands as wide as the threshold: links
+    are within a band or between neighbours. None if each group has one label.
     """
-    deep = large.mapInArrow(_deeper, "node long, cid long, sketch binary, parent long, down int")
-    sizes = written(deep.groupBy("node").agg(F.count("*").alias("count"), F.first("parent").alias("parent"), F.first("down").alias("down")).filter("count > 1"), "node-sizes")
-    above = sizes.filter(F.col("count") > node_rows).select(F.col("node").alias("parent"))
-    below = sizes.filter("down > 1").join(above, "parent", "left_semi").unionByName(sizes.filter("down = 1"))
-    wanted = below.filter((F.col("count") <= node_rows) | (F.col("down") == STRIDE)).select("node", "count")
-    return deep.select("node", "cid", "sketch").join(small_or_shuffled(wanted, sizes), "node")
+    width = max(math.log(100 / percent), 0.001) * 1.001
+    labels = members.groupBy("group", "label").agg(F.count("*").alias("n"))
+    tops = written(labels.groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).filter("labels > 1").select("group", "top"), "apart-groups")
+    if tops.isEmpty():
+        return None
+    every = written(members.join(small_or_shuffled(tops), "group").withColumn("band", F.floor(F.log("n_shingles") / width)), "apart-members")
+    apart = every.filter("label <> top").withColumn("band", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)))
+    counted = lambda rows, name: rows.groupBy("group", "band").agg(F.ceil(F.count("*") / block_rows).cast("long").alias(name))
+    blocks = written(counted(apart, "apart_blocks").join(counted(every, "blocks"), ["group", "band"]), "block-counts")
+
+    def dealt(rows: DataFrame, own: str, other: str, key) -> DataFrame:
+        block = F.pmod(F.xxhash64("cid"), F.col(own))
+        others = F.sequence(F.lit(0).cast("long"), F.col(other) - 1)
+        keys = F.transform(others, lambda x: F.xxhash64("group", "band", *key(block, x)))
+        return rows.join(small_or_shuffled(blocks), ["group", "band"]).select(F.explode(keys).alias("key"), "cid", "label")
+
+    return dealt(apart, "apart_blocks", "blocks", lambda own, other: (own, other)).unionByName(dealt(every, "blocks", "apart_blocks", lambda own, other: (other, own)))
 
 
-def _leaves(classes: DataFrame, node_rows: int) -> tuple[DataFrame, list[DataFrame]]:
-    """(node, cid, sketch) of all nodes that are small enough to be compared."""
+def _more_components(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """Components (id, component) with further edges."""
+    return connected_components(found.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(edges))
+
+
+def _labelled(members: DataFrame, found: DataFrame) -> DataFrame:
+    """members with the component of their cid so far as label."""
+    return members.join(found.select(F.col("id").alias("cid"), F.col("component").alias("label")).hint("merge"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+
+
+def _likely(classes: DataFrame, percent: int, node_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Components by sketches, (id, component), and (node, cid) of nodes, or blocks of large nodes, that are small enough to be compared."""
     shared = _counted(classes.select(F.explode("nodes").alias("node"), "cid"))
-    rows = written(shared.join(classes.select("cid", "sketch").hint("merge"), "cid").select("node", "cid", "sketch", "count"), "node-rows")
-    leaves, old, level = [rows.filter(F.col("count") <= node_rows)], [rows], LEVELS
-    while True:
-        large = rows.filter(F.col("count") > node_rows)
-        if large.isEmpty():
-            break
-        if level >= MAX_LEVELS:
-            # the rest agree almost everywhere: blocks of the node, each with one member that stands in all
-            stands = large.groupBy("node").agg(F.min("cid").alias("cid"), (F.floor(F.first("count") / node_rows) + 1).cast("int").alias("blocks"))
-            blocks = large.join(stands.select("node", "blocks").hint("merge"), "node").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")))
-            every = large.join(stands.hint("merge"), ["node", "cid"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
-            leaves.append(blocks.unionByName(every).select(F.xxhash64("node", "block").alias("node"), "cid", "sketch", "count").distinct())
-            break
-        rows = written(_next_levels(large.select("node", "cid", "sketch"), node_rows), "node-rows")
-        old.append(rows)
-        leaves.append(rows.filter(F.col("count") <= node_rows))
-        level += STRIDE
-    out = leaves[0]
-    for x in leaves[1:]:
-        out = out.unionByName(x)
-    return out.select("node", "cid", "sketch"), old
+    rows = written(shared.join(classes.select("cid", "sketch", "n_shingles").hint("merge"), "cid").select("node", "cid", "sketch", "n_shingles", "count"), "node-rows")
+    blocks = F.ceil(F.col("count") / node_rows)
+    leaves = rows.select(F.when(blocks == 1, F.col("node")).otherwise(F.xxhash64("node", F.pmod(F.xxhash64("node", "cid"), blocks))).alias("node"), "cid", "sketch")
+    compared = lambda x, key: x.repartition(key).sortWithinPartitions(key).mapInArrow(_compare_sketches(percent), _EDGES)
+    likely = connected_components(compared(leaves, "node"))
+    large = rows.filter(F.col("count") > node_rows).select(F.col("node").alias("group"), "cid", "n_shingles")
+    if not large.isEmpty():
+        # sketches are short, so blocks of several times as many
+        pairs = _across(_labelled(large, likely), percent, 4 * node_rows)
+        if pairs is not None:
+            likely = _more_components(likely, compared(pairs.join(classes.select("cid", "sketch").hint("merge"), "cid").select("key", "cid", "label", "sketch"), "key"))
+    return likely, leaves.select("node", "cid")
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = 85, node_rows: int = 512, component_rows: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row: components of links with 100 * intersection >= percent * union."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sets = written(docs.mapInArrow(_sketches, "doc_id long, n_shingles long, fp1 long, fp2 long, sketch binary, nodes array<long>"), "shingle-sketches")
+    sets = written(docs.mapInArrow(_sketches(percent), "doc_id long, n_shingles long, fp1 long, fp2 long, sketch binary, nodes array<long>"), "shingle-sketches")
     same = ["n_shingles", "fp1", "fp2"]
     classes = written(
         sets.filter("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("cid"), F.first("sketch").alias("sketch"), F.first("nodes").alias("nodes")), "shingle-classes"
     )
-    leaves, old = _leaves(classes.filter("cid is not null"), node_rows)
-    likely = connected_components(leaves.repartition("node").sortWithinPartitions("node").mapInArrow(_compare_sketches(percent), _EDGES))
+    likely, leaves = _likely(classes.filter("cid is not null"), percent, node_rows)
     sizes = written(likely.groupBy("component").count(), "component-sizes")
     likely = written(likely.join(small_or_shuffled(sizes), "component").select(F.col("id").alias("cid"), "component", "count"), "likely-components")
     by_component = likely.filter(F.col("count") <= component_rows).select("cid", F.array("component").alias("keys"))
     large = likely.filter(F.col("count") > component_rows)
-    by_node = leaves.select("node", "cid").join(small_or_shuffled(large.select("cid", "component"), likely), "cid").groupBy("cid").agg(F.collect_set(F.xxhash64("node", "component")).alias("keys"))
-    keys = written(by_component.unionByName(by_node), "comparison-keys")
-    chosen = docs.join(small_or_shuffled(keys), docs.doc_id == keys.cid).select("cid", "keys", "text")
-    rows = chosen.mapInArrow(_full_sets, "cid long, keys array<long>, items binary").select(F.explode("keys").alias("key"), "cid", "items")
-    linked = connected_components(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_compare_sets(percent), _EDGES))
-    deleted(*old)
+    by_node = leaves.join(small_or_shuffled(large.select("cid", "component"), likely), "cid").groupBy("cid").agg(F.collect_set(F.xxhash64("node", "component")).alias("keys"))
+
+    def compared(keys: DataFrame) -> DataFrame:
+        keys = written(keys, "comparison-keys")
+        chosen = docs.join(small_or_shuffled(keys), docs.doc_id == keys.cid).select("cid", "label", "keys", "text")
+        rows = chosen.mapInArrow(_full_sets, "cid long, label long, keys array<long>, items binary").select(F.explode("keys").alias("key"), "cid", "label", "items")
+        return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_compare_sets(percent), _EDGES)
+
+    linked = connected_components(compared(by_component.unionByName(by_node).withColumn("label", F.col("cid"))))
+    deleted(leaves)
     members = written(classes.select(*same, "cid").join(linked.select(F.col("id").alias("cid"), "component").hint("merge"), "cid", "left").select(*same, F.coalesce("component", "cid").alias("component")), "class-components")
     out = sets.select("doc_id", *same).join(small_or_shuffled(members), same, "left")
     component = F.coalesce("component", "doc_id")

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from strataline.llm import exact_dedup, minhash_dedup, sentencepiece_codec
 
@@ -67,6 +68,26 @@ def test_near_duplicates(spark, limits):
     assert all(got[i][1] >= want[i][1] for i in want)
 
 
+@pytest.mark.parametrize("percent", [60, 80, 85, 95])
+def test_trees_follow_from_the_threshold(percent):
+    second, trees = minhash_dedup._trees(percent)
+    assert second == 100 / percent - 1
+    r = np.random.default_rng(percent)
+    n, missed = 4000, 0
+    values = r.integers(0, 256, (2 * n, 64)).astype(np.uint64)
+    values[n:] = np.where(r.random((n, 64)) < percent / 100, values[:n], values[n:] + np.uint64(256))
+    shared = np.zeros(n, bool)
+    for tree in range(trees):
+        rows_, paths = np.arange(2 * n), np.full(2 * n, tree + 1000, np.uint64)
+        for _ in range(minhash_dedup.LEVELS):
+            rows_, paths = minhash_dedup._branch(rows_, paths, values, second)
+        nodes = [set() for _ in range(2 * n)]
+        for i, path in zip(rows_.tolist(), paths.tolist()):
+            nodes[i].add(path)
+        shared |= [bool(nodes[i] & nodes[n + i]) for i in range(n)]
+    assert (~shared).sum() == 0
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash_dedup.near_duplicates(table(spark, [])).count() == 0
     assert all(r["kept"] for r in minhash_dedup.near_duplicates(table(spark, [None, ""])).collect())
