@@ -13,7 +13,9 @@ blocks, then all texts that are still apart with all others (``_across``), so de
 Nodes yield stars, not pairs. Their components hold every true link between their members; each
 component's full shingle sets are then compared in one task, where a text needs no comparison
 with texts that are already connected to it. Components of more than ``component_rows`` texts
-are compared within the nodes of all trees instead. Every reported link is confirmed on full sets.
+are compared in parts: within nodes, then each text that is still apart with all others of the
+component whose size allows a link, in pairs of blocks. That is exact; its work grows with the square
+of a group only as far as its texts are not linked. Every reported link is confirmed on full sets.
 
 Copies are never expanded into pairs: rows are proportional to texts times trees. Nulls and texts
 without words have an empty set, are linked with nothing and are kept. Rows with a null id take the
@@ -325,6 +327,11 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, node_rows: int = 512,
         return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_compare_sets(percent), _EDGES)
 
     linked = connected_components(compared(by_component.unionByName(by_node).withColumn("label", F.col("cid"))))
+    if not large.isEmpty():
+        whole = large.join(classes.select("cid", "n_shingles").hint("merge"), "cid").select(F.col("component").alias("group"), "cid", "n_shingles")
+        pairs = _across(_labelled(whole, linked), percent, max(1, component_rows // 2))
+        if pairs is not None:
+            linked = _more_components(linked, compared(pairs.groupBy("cid", "label").agg(F.collect_set("key").alias("keys"))))
     deleted(leaves)
     members = written(classes.select(*same, "cid").join(linked.select(F.col("id").alias("cid"), "component").hint("merge"), "cid", "left").select(*same, F.coalesce("component", "cid").alias("component")), "class-components")
     out = sets.select("doc_id", *same).join(small_or_shuffled(members), same, "left")

@@ -68,6 +68,18 @@ def test_near_duplicates(spark, limits):
     assert all(got[i][1] >= want[i][1] for i in want)
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_large_groups_of_near_duplicates_are_whole(spark, percent):
+    r = random.Random(percent)
+    texts = []
+    for edits in (1, 2, 3):  # chains: each text links with few others, near the threshold
+        texts.append(" ".join(f"w{r.randrange(5000)}" for _ in range(100)))
+        for _ in range(50):
+            texts.append(near(texts[-1], r, edits))
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in minhash_dedup.near_duplicates(table(spark, texts), percent=percent, node_rows=2, component_rows=4).collect()}
+    assert got == brute(texts, percent)
+
+
 @pytest.mark.parametrize("percent", [60, 80, 85, 95])
 def test_trees_follow_from_the_threshold(percent):
     second, trees = minhash_dedup._trees(percent)
