@@ -100,6 +100,20 @@ def test_trees_follow_from_the_threshold(percent):
     assert (~shared).sum() == 0
 
 
+def test_texts_apart_meet_all_others_of_their_group(spark):
+    r = random.Random(5)
+    members = [(g, g * 1000 + i, r.choice([g, g, g + 50, g * 1000 + i]), r.randrange(50, 120)) for g in range(3) for i in range(60)] + [(9, 9000 + i, 9, 70) for i in range(40)]
+    pairs = minhash_dedup._across(spark.createDataFrame(members, "group long, cid long, label long, n_shingles long"), 85, 7).collect()
+    keys = {}
+    for x in pairs:
+        keys.setdefault(x["cid"], set()).add(x["key"])
+    for g, a, label, n in members:
+        for h, b, other, m in members:
+            if g == h and label != other and 100 * min(n, m) >= 85 * max(n, m):
+                assert keys[a] & keys[b]
+    assert not any(i >= 9000 for i in keys)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash_dedup.near_duplicates(table(spark, [])).count() == 0
     assert all(r["kept"] for r in minhash_dedup.near_duplicates(table(spark, [None, ""])).collect())
