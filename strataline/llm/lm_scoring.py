@@ -8,9 +8,9 @@ the pair's relative frequency with the word's smoothed frequency.
 Counting: each Arrow batch is counted with numpy and packed into one row for each of P shards of
 the hash space; a shard's counts are merged in one task, which also makes its part of the filter.
 Words and pairs are hashed, so hot ones are merged in their batch and shards are even. The filter
-has ``BITS`` bits for each entry and at most ``max_filter_bytes`` in all, the bound of what is sent
-to the driver and broadcast: beyond it, bits for each entry get fewer and levels are overestimated
-more often, but nothing is left out.
+has ``BITS`` bits for each entry, whatever their number. One of at most ``max_filter_bytes`` is sent
+to the driver and broadcast. A larger one stays in its shards: each piece of text asks them for the
+levels of its distinct words and pairs, and the answers come back to it. Both ways give the same scores.
 
 The base score needs exact counts. Words that make up at least one in ``FREQUENT`` of the training
 tokens (so at most FREQUENT of them) are broadcast; occurrences of the others go to the shard that
@@ -41,6 +41,9 @@ FREQUENT = 200_000
 #: Pairs after a word seen c times get the weight PAIR_WEIGHT * c / (c + PAIR_PRIOR).
 PAIR_WEIGHT, PAIR_PRIOR = 0.5, 20.0
 
+#: In the column shard: a row that holds a piece's tokens.
+PIECE = -1
+
 END, BEGIN = np.uint64(mix_int(0xE0F)), np.uint64(mix_int(0xB0F))
 _U = np.uint64
 
@@ -119,7 +122,7 @@ def _count(shards: int):
 _SHARD = "shard int, distinct long, total long, words binary, word_counts binary, size long, bits binary"
 
 
-def _shard_rows(max_bits: int):
+def _shard_rows():
     """Sorted packed rows to one row for each shard: exact word counts, and the shard's part of the filter."""
 
     def made(shard: int, rows: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -130,7 +133,7 @@ def _shard_rows(max_bits: int):
         pairs, pair_counts = _merge(np.concatenate(keys), np.concatenate(times).astype(np.int64))
         entries = np.concatenate((_entry(shard, words >> _U(32), 1), _entry(shard, pairs, 2)))
         levels = np.frexp(np.concatenate((counts, pair_counts)).astype(float))[1]
-        size = max(64, min(BITS * int(levels.sum()), max_bits))
+        size = max(64, BITS * int(levels.sum()))
         size += -size % 8
         bits = np.zeros(size, bool)
         for level in range(1, int(levels.max(initial=0)) + 1):
@@ -162,10 +165,10 @@ def _shard_rows(max_bits: int):
 
 @dataclass
 class Filter:
-    """The filter's shards, one after the other in bits."""
+    """The filter's shards, one after the other in bits; bits is None if they stay where they are."""
 
     shards: int
-    bits: np.ndarray
+    bits: np.ndarray | None
     begins: np.ndarray
     sizes: np.ndarray
     tokens: int
@@ -173,8 +176,7 @@ class Filter:
     frequent: np.ndarray
     frequent_counts: np.ndarray
 
-    def counts(self, hashes: np.ndarray, kind: int) -> np.ndarray:
-        """Approximate counts: the middle of each level."""
+    def levels(self, hashes: np.ndarray, kind: int) -> np.ndarray:
         shard = (hashes % _U(self.shards)).astype(np.int64)
         entry, size, begin = _entry(shard, hashes >> _U(32), kind), self.sizes[shard], self.begins[shard]
         levels, left, level = np.zeros(len(hashes), np.int64), np.flatnonzero(size), 0
@@ -186,17 +188,22 @@ class Filter:
             levels[left] = level
             if level == 40:
                 break
-        return np.where(levels > 1, 1.5 * 2.0 ** (levels - 1) - 0.5, levels)
+        return levels
 
     def scores(self, tokens: np.ndarray, before: np.ndarray) -> np.ndarray:
         """log10 probability of each token after its predecessor."""
         words, where = np.unique(np.concatenate((tokens, before)), return_inverse=True)
-        seen = self.counts(words, 1)
+        return self.scores_of(self.levels(words, 1), where, self.levels(_pairs(before, tokens), 2))
+
+    def scores_of(self, words: np.ndarray, where: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+        """The same from levels: of distinct words, with where tokens and predecessors are among them, and of each pair."""
+        n = len(pairs)
+        # approximate counts: the middle of each level
+        seen, pair = (np.where(x > 1, 1.5 * 2.0 ** (x - 1) - 0.5, x) for x in (words.astype(np.int64), pairs.astype(np.int64)))
         single = (seen + 0.5) / (self.tokens + 0.5 * (self.distinct + 1))
-        context = seen[where[len(tokens) :]]
-        pair = self.counts(_pairs(before, tokens), 2)
+        context = seen[where[n:]]
         share = PAIR_WEIGHT * context / (context + PAIR_PRIOR)
-        return np.log10(share * np.minimum(pair / np.maximum(context, 1.0), 1.0) + (1 - share) * single[where[: len(tokens)]])
+        return np.log10(share * np.minimum(pair / np.maximum(context, 1.0), 1.0) + (1 - share) * single[where[:n]])
 
 
 _SCORED = "row_key long, doc_id long, n_tokens long, base double, known long, score double, shard int, words binary, rows binary, times binary"
@@ -211,13 +218,16 @@ def _score(model, groups: int):
         done = TaskContext.get().partitionId() << 40
         logs = np.log10(f.frequent_counts + 0.5)
         for batch in batches:
-            n, parts = batch.num_rows, []
+            n, parts, pieces = batch.num_rows, [], []
             length, base, known, score = np.zeros(n, np.int64), np.zeros(n), np.zeros(n, np.int64), np.zeros(n)
             for t in chunks(batch.column(1)):
                 tokens, before, offsets = _tokens(t)
                 here = slice(t.first, t.first + t.n)
                 length[here] = np.diff(offsets)
-                score[here] = np.add.reduceat(f.scores(tokens, before), offsets[:-1])
+                if f.bits is None:
+                    pieces.append((done + t.first, tokens.tobytes(), offsets.astype(np.int64).tobytes()))
+                else:
+                    score[here] = np.add.reduceat(f.scores(tokens, before), offsets[:-1])
                 text = np.repeat(np.arange(t.first, t.first + t.n), np.diff(offsets))
                 at = np.minimum(np.searchsorted(f.frequent, tokens), max(len(f.frequent) - 1, 0))
                 found = f.frequent[at] == tokens if len(f.frequent) else np.zeros(len(tokens), bool)
@@ -234,6 +244,11 @@ def _score(model, groups: int):
             columns = [pa.array(done + np.arange(n)), batch.column(0), pa.array(length), pa.array(base), pa.array(known), pa.array(score), pa.nulls(n, pa.int32()), empty, empty, empty]
             names = [x.split()[0] for x in _SCORED.split(", ")]
             yield pa.RecordBatch.from_arrays(columns, names)
+            if pieces:
+                k = len(pieces)
+                nothing = [pa.nulls(k, kind) for kind in (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64())]
+                starts, words, rows = zip(*pieces, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(starts, pa.int64()), *nothing, pa.array([PIECE] * k, pa.int32()), pa.array(words, pa.binary()), pa.array(rows, pa.binary()), pa.nulls(k, pa.binary())], names)
             if parts:
                 words, owner, times = (np.concatenate(x) for x in zip(*parts, strict=True))
                 group = (words % _U(f.shards) % _U(groups)).astype(np.int64)
@@ -297,6 +312,99 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row_batch(now, base, known)
 
 
+def _distinct(tokens: np.ndarray, offsets: np.ndarray, shards: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of a piece's words (tokens and predecessors) and pairs: distinct hashes, their places in what has them, their order by shard, and where shards begin in it."""
+    before = np.concatenate(([BEGIN], tokens[:-1]))
+    before[offsets[:-1]] = BEGIN
+    out = []
+    for hashes in (np.concatenate((tokens, before)), _pairs(before, tokens)):
+        once, where = np.unique(hashes, return_inverse=True)
+        shard = once % _U(shards)
+        by = np.argsort(shard, kind="stable")
+        out.append((once, where, by, np.searchsorted(shard[by], np.arange(shards + 1))))
+    return out
+
+
+_ASKED = "shard int, row_key long, kind int, hashes binary, size long"
+
+
+def _asking(shards: int):
+    """Pieces (row_key, words, rows) to what they ask each shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, words, rows in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                out = []
+                for kind, (once, _, by, cuts) in enumerate(_distinct(np.frombuffer(words, _U), np.frombuffer(rows, np.int64), shards), 1):
+                    out += [(s, kind, once[by[cuts[s] : cuts[s + 1]]].tobytes()) for s in range(shards) if cuts[s] < cuts[s + 1]]
+                s, kind, hashes = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array([start] * len(s), pa.int64()), pa.array(kind, pa.int32()), pa.array(hashes, pa.binary()), pa.nulls(len(s), pa.int64())], ["shard", "row_key", "kind", "hashes", "size"])
+
+    return run
+
+
+def _answered(shards: int):
+    """A shard's filter (kind 0, first) and what it is asked to levels, a byte each. A shard without a filter answers 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, f = None, None
+        for batch in batches:
+            out = []
+            for shard, start, kind, hashes, size in zip(*batch.columns, strict=True):
+                shard, start, kind = shard.as_py(), start.as_py(), kind.as_py()
+                if shard != now:
+                    now, f = shard, None
+                if kind == 0:
+                    f = Filter(shards, np.frombuffer(hashes.as_py(), np.uint8), np.zeros(shards, np.int64), np.full(shards, size.as_py()), 0, 0, np.zeros(0, _U), np.zeros(0, np.int64))
+                    continue
+                asked = np.frombuffer(hashes.as_py(), _U)
+                out.append((start, shard, kind, (f.levels(asked, kind) if f else np.zeros(len(asked))).astype(np.uint8).tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["row_key", "shard", "kind", "words"])
+
+    return run
+
+
+def _piece_scores(shards: int, tokens: int, distinct: int):
+    """A piece (first) and all answers to it, by kind and shard, to a row for each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = Filter(shards, None, np.zeros(0), np.zeros(0), tokens, distinct, np.zeros(0, _U), np.zeros(0, np.int64))
+
+        def scored(start: int, words: bytes, rows: bytes, answers: dict[int, list[bytes]]) -> pa.RecordBatch:
+            offsets = np.frombuffer(rows, np.int64)
+            (once, where, by, _), (pairs, pair_where, pair_by, _) = _distinct(np.frombuffer(words, _U), offsets, shards)
+            seen, pair = np.zeros(len(once), np.uint8), np.zeros(len(pairs), np.uint8)
+            seen[by], pair[pair_by] = (np.frombuffer(b"".join(answers[kind]), np.uint8) for kind in (1, 2))
+            score = np.add.reduceat(f.scores_of(seen, where, pair[pair_where]), offsets[:-1])
+            return pa.RecordBatch.from_arrays([pa.array(start + np.arange(len(score))), pa.array(score)], ["row_key", "score"])
+
+        held = None
+        for batch in batches:
+            for start, kind, words, rows in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
+                if kind == 0:
+                    if held:
+                        yield scored(*held)
+                    held = (start, words, rows, {1: [], 2: []})
+                else:
+                    held[3][kind].append(words)
+        if held:
+            yield scored(*held)
+
+    return run
+
+
+def _scores_by_shard(scored: DataFrame, table: DataFrame, shards: int, tokens: int, distinct: int) -> DataFrame:
+    """row_key, score of the texts of all pieces, by a filter that stays in its shards."""
+    pieces = scored.filter(F.col("shard") == PIECE)
+    none = F.lit(0).cast("int").alias("kind")
+    filters = table.select("shard", F.lit(-1).cast("long").alias("row_key"), none, F.col("bits").alias("hashes"), "size")
+    asked = pieces.select("row_key", "words", "rows").mapInArrow(_asking(shards), _ASKED)
+    answers = filters.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(_answered(shards), "row_key long, shard int, kind int, words binary")
+    both = pieces.select("row_key", "shard", none, "words", "rows").unionByName(answers.withColumn("rows", F.lit(None).cast("binary")))
+    return both.repartition("row_key").sortWithinPartitions("row_key", "kind", "shard").mapInArrow(_piece_scores(shards, tokens, distinct), "row_key long, score double")
+
+
 def _frequent(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -314,24 +422,27 @@ def lm_scores(docs: DataFrame, *, max_filter_bytes: int = MAX_FILTER_BYTES, id_c
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards, groups = 2 * partitions, max(4, partitions // 4)
     packed = docs.filter(~held_out(F.col("doc_id"))).select("text").mapInArrow(_count(shards), "shard int, words binary, word_counts binary, pairs binary, pair_counts binary")
-    made = packed.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_shard_rows(8 * max_filter_bytes // shards), _SHARD)
+    made = packed.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_shard_rows(), _SHARD)
     table = written(made, "ngram-shards")
     tokens, distinct = table.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     frequent = table.select("words", "word_counts").mapInArrow(_frequent(max(1, -(-tokens // FREQUENT))), "word long, n long").toPandas()
     words = frequent["word"].to_numpy(np.int64).view(_U)
     order = np.argsort(words)
-    parts = {r["shard"]: r["bits"] for r in table.select("shard", "bits").collect()}
+    sent = (table.agg(F.sum("size")).first()[0] or 0) <= 8 * max_filter_bytes
+    parts = {r["shard"]: r["bits"] for r in table.select("shard", "bits").collect()} if sent else {}
     sizes = np.array([8 * len(parts.get(s, b"")) for s in range(shards)], np.int64)
-    bits = np.frombuffer(b"".join(parts.get(s, b"") for s in range(shards)), np.uint8)
+    bits = np.frombuffer(b"".join(parts.get(s, b"") for s in range(shards)), np.uint8) if sent else None
     model = spark.sparkContext.broadcast(Filter(shards, bits, np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes, tokens, distinct, words[order], frequent["n"].to_numpy(np.int64)[order]))
     scored = written(docs.mapInArrow(_score(model, groups), _SCORED), "lm-scored")
     group = F.expr(f"cast(shard % {groups} as int)")
     known = table.select(group.alias("shard"), F.lit(0).cast("long").alias("row_key"), "words", F.lit(None).cast("binary").alias("rows"), F.col("word_counts").alias("times"))
-    asked = scored.filter("shard is not null").select("shard", "row_key", "words", "rows", "times")
+    asked = scored.filter("shard >= 0").select("shard", "row_key", "words", "rows", "times")
     both = known.unionByName(asked).repartition(groups, "shard").sortWithinPartitions("shard", F.col("rows").isNotNull())
     parts = both.mapInArrow(_look_up, "row_key long, rows binary, base binary, known binary").repartition("row_key").sortWithinPartitions("row_key")
     sums = parts.mapInArrow(_added, "row_key long, more_base double, more_known long")
     out = scored.filter("shard is null").select("row_key", "doc_id", "n_tokens", "base", "known", "score").join(sums.hint("merge"), "row_key", "left")
+    if not sent:
+        out = out.drop("score").join(_scores_by_shard(scored, table, shards, tokens, distinct).hint("merge"), "row_key")
     return out.select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),

@@ -128,6 +128,17 @@ def test_lm_scoring(spark):
     assert lm_scoring.lm_scores(table(spark, [])).count() == 0
 
 
+def test_lm_scoring_keeps_its_bits_beyond_the_bound(spark):
+    r = random.Random(12)
+    texts = [None, "", *[" ".join(f"w{int(r.paretovariate(0.4)) % 3000}" for _ in range(r.randrange(80))) for _ in range(300)]]
+    scores = [{x["doc_id"]: x.asDict() for x in lm_scoring.lm_scores(table(spark, texts), **limit).collect()} for limit in ({}, {"max_filter_bytes": 64})]
+    assert len(scores[1]) == len(texts)
+    for i, x in scores[0].items():
+        y = scores[1][i]
+        assert abs(x["score"] - y["score"]) < 1e-9 * (1 + abs(x["score"])) and abs(x["base_score"] - y["base_score"]) < 1e-9 * (1 + abs(x["base_score"]))
+        assert {k: v for k, v in x.items() if "score" not in k} == {k: v for k, v in y.items() if "score" not in k}
+
+
 def test_toxicity(spark):
     r = random.Random(4)
     clean = lambda: " ".join(r.choices([f"word{chr(97 + i)}" for i in range(26)], k=80))
