@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataline.llm.storage import deleted, written
-from strataline.llm.text_arrays import Texts, chunks, mix, mix_int
+from strataline.llm.text_arrays import Texts, chunks, mix, mix_int, release
 
 BITS, PROBES = 8, 5
 MAX_FILTER_BYTES = 256 << 20
@@ -115,6 +115,7 @@ def _count(shards: int):
                 for column, x in zip(out, values, strict=True):
                     column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], ["shard", "words", "word_counts", "pairs", "pair_counts"])
+            release()
 
     return run
 
@@ -155,10 +156,12 @@ def _shard_rows():
                 if now is not None and now != key[a]:
                     yield made(int(now), held)
                     held = []
+                    release()
                 now = key[a]
                 held.append(batch.slice(a, b - a))
         if held:
             yield made(int(now), held)
+        release()
 
     return run
 
@@ -260,6 +263,7 @@ def _score(model, groups: int):
                 nothing = [pa.nulls(k, kind) for kind in (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64())]
                 yield pa.RecordBatch.from_arrays([pa.array([done] * k, pa.int64()), *nothing, pa.array([g for g, _ in packed], pa.int32()), *binary], names)
             done += n
+            release()
 
     return run
 
@@ -288,6 +292,7 @@ def _look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             touched = np.unique(owner)
             packed = (touched.astype(np.uint32), base[touched], known[touched].astype(np.uint32))
             yield pa.RecordBatch.from_arrays([pa.array([start]), *(pa.array([x.tobytes()], pa.binary()) for x in packed)], ["row_key", "rows", "base", "known"])
+        release()
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
