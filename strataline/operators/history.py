@@ -99,14 +99,14 @@ def ambiguous_labels(log: DataFrame, group: str, label: str) -> DataFrame:
     return log.select(group, label).distinct().groupBy(label).agg(F.count("*").alias("groups")).filter("groups > 1")
 
 
-def rename_closure(renames: DataFrame, old: str, new: str, seq: str, most: int = 64) -> DataFrame:
+def rename_closure(renames: DataFrame, old: str, new: str, seq: str) -> DataFrame:
     """name, final: where each renamed item ends; the last rename of a name counts, a cycle ends where it first repeats.
 
-    Chains are walked a step a round, all at once, for at most `most` rounds; ends when no chain goes on.
+    Chains are walked a step a round, all at once, until no chain goes on.
     """
     step = first_per_group(renames.filter(F.col(old) != F.col(new)), [old], [F.desc(seq)]).select(F.col(old).alias("name"), F.col(new).alias("next"), F.array(old).alias("seen"))
     walk = step
-    for _ in range(most):
+    while True:
         ahead = step.select(F.col("name").alias("next"), F.col("next").alias("after"))
         joined = walk.join(ahead, "next", "left")
         go = F.col("after").isNotNull() & ~F.array_contains("seen", F.col("next"))

@@ -12,6 +12,11 @@ def test_rename_cycle_ends_where_it_repeats(spark):
     assert {tuple(r) for r in history.rename_closure(log, "o", "n", "s").collect()} == {("x", "z"), ("y", "z")}
 
 
+def test_long_rename_chains_end_at_their_last_name(spark):
+    log = spark.createDataFrame([(f"n{i}", f"n{i + 1}", i) for i in range(68)], "o string, n string, s int").coalesce(1)
+    assert {tuple(r) for r in history.rename_closure(log, "o", "n", "s").collect()} == {(f"n{i}", "n68") for i in range(68)}
+
+
 def test_bulk_transactions_make_no_pairs(spark):
     log = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (2, "b"), (3, "a"), (3, "b"), (3, "c"), (4, None)], "t int, i string")
     assert [tuple(r) for r in history.coupling(log, "t", "i", min_shared=1, bulk_limit=2).collect()] == [("a", "b", 2, 3, 3)]
