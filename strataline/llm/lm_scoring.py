@@ -3,10 +3,14 @@
 Counts of words and word pairs in training texts are quantised to levels, 1 + floor(log2 count).
 The filter holds an n-gram once for each level up to its own, so a count is read by asking for
 level 1, 2, ... until the answer is no; errors can only raise a level. Probabilities interpolate
-the pair's relative frequency with the word's smoothed frequency.
-
-Counting: each Arrow batch is counted with numpy and packed into one row for each of P shards of
-the hash space; a shard's counts are merged in one task, which also makes its part of the filter.
+the pair's relative frequency with the word's smoothed frequency. A word counts as the middle of its
+level, and these are divided by their own sum over all training words, so that they sum to one with
+the share of unseen words. A pair counts as the least of its level and its first word as the most of
+its own, so that shares of a word's pairs sum to at most one; what is missing is lost, not given away.
+But for false positives, probabilities of the words that can follow sum to at most one.
+
+Counting: each Arrow batch is counted with numpy, a few megabytes at a time, and packed into one row for
+each of P shards of the hash space; a shard's counts are merged in one task, which also makes its part of the filter.
 Words and pairs are hashed, so hot ones are merged in their batch and shards are even. The filter
 has ``BITS`` bits for each entry, whatever their number. One of at most ``max_filter_bytes`` is sent
 to the driver and broadcast. A larger one stays in its shards: each piece of text asks them for the
@@ -33,11 +37,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataline.llm.storage import deleted, written
-from strataline.llm.text_arrays import Texts, chunks, mix, mix_int, release
+from strataline.llm.text_arrays import Texts, chunks, mix, mix_int, release, slices
 
 BITS, PROBES = 8, 5
 MAX_FILTER_BYTES = 256 << 20
 FREQUENT = 200_000
+#: Exact counts of about so many words are looked up in one task.
+WORDS_A_GROUP = 1_000_000
 #: Pairs after a word seen c times get the weight PAIR_WEIGHT * c / (c + PAIR_PRIOR).
 PAIR_WEIGHT, PAIR_PRIOR = 0.5, 20.0
 
@@ -82,6 +88,11 @@ def _entry(shard: np.ndarray | int, short: np.ndarray, kind: int) -> np.ndarray:
     return mix((np.asarray(shard).astype(_U) << _U(32) | short.astype(_U)) + _U(mix_int(77 + kind)))
 
 
+def _middle(levels: np.ndarray) -> np.ndarray:
+    """What a word of a level counts as: the middle of the counts it stands for."""
+    return np.where(levels > 1, 1.5 * 2.0 ** (levels.astype(float) - 1) - 0.5, levels)
+
+
 def _place(entry: np.ndarray, level: int, probe: int, size: np.ndarray | int) -> np.ndarray:
     h = mix(entry + _U(mix_int(level)))
     return ((h & _U(0xFFFFFFFF)) + _U(probe) * (h >> _U(32) | _U(1))) % np.asarray(size).astype(_U)
@@ -92,15 +103,21 @@ def _count(shards: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [_tokens(t) for t in chunks(batch.column(0))]
-            if not parts:
+            words = pairs = np.zeros(0, _U)
+            n = m = np.zeros(0, np.int64)
+            for part in slices([batch], 0):
+                found = [_tokens(t) for t in chunks(part.column(0))]
+                h = np.concatenate([_pairs(before, tokens) for tokens, before, _ in found])
+                more, times = _merge(np.concatenate([tokens for tokens, _, _ in found]))
+                words, n = _merge(np.concatenate((words, more)), np.concatenate((n, times)))
+                more, times = _merge((h % _U(shards)) << _U(32) | h >> _U(32))
+                del found, h
+                pairs, m = _merge(np.concatenate((pairs, more)), np.concatenate((m, times)))
+            if not len(words):
                 continue
-            words, n = _merge(np.concatenate([p[0] for p in parts]))
             by = np.argsort(words % _U(shards), kind="stable")
             words, n = words[by], n[by]
             word_cuts = np.searchsorted(words % _U(shards), np.arange(shards + 1))
-            h = np.concatenate([_pairs(p[1], p[0]) for p in parts])
-            pairs, m = _merge((h % _U(shards)) << _U(32) | h >> _U(32))
             pair_cuts = np.searchsorted(pairs, np.arange(shards + 1, dtype=_U) << _U(32))
             short = (pairs & _U(0xFFFFFFFF)).astype(np.uint32)
             out: list[list] = [[], [], [], [], []]
@@ -120,10 +137,10 @@ def _count(shards: int):
     return run
 
 
-_SHARD = "shard int, distinct long, total long, words binary, word_counts binary, size long, bits binary"
+_SHARD = "shard int, distinct long, total long, mass double, words binary, word_counts binary, size long, bits binary"
 
 
-def _shard_rows():
+def _shard_rows(bits_an_entry: int):
     """Sorted packed rows to one row for each shard: exact word counts, and the shard's part of the filter."""
 
     def made(shard: int, rows: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -134,15 +151,15 @@ def _shard_rows():
         pairs, pair_counts = _merge(np.concatenate(keys), np.concatenate(times).astype(np.int64))
         entries = np.concatenate((_entry(shard, words >> _U(32), 1), _entry(shard, pairs, 2)))
         levels = np.frexp(np.concatenate((counts, pair_counts)).astype(float))[1]
-        size = max(64, BITS * int(levels.sum()))
+        size = max(64, bits_an_entry * int(levels.sum()))
         size += -size % 8
         bits = np.zeros(size, bool)
         for level in range(1, int(levels.max(initial=0)) + 1):
             own = entries[levels >= level]
             for probe in range(PROBES):
                 bits[_place(own, level, probe, size)] = True
-        values = ([shard], [len(words)], [int(counts.sum())], [words.tobytes()], [counts.tobytes()], [size], [np.packbits(bits, bitorder="little").tobytes()])
-        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary()), strict=True)], [x.split()[0] for x in _SHARD.split(", ")])
+        values = ([shard], [len(words)], [int(counts.sum())], [float(_middle(levels[: len(words)]).sum())], [words.tobytes()], [counts.tobytes()], [size], [np.packbits(bits, bitorder="little").tobytes()])
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary(), pa.int64(), pa.binary()), strict=True)], [x.split()[0] for x in _SHARD.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -176,6 +193,7 @@ class Filter:
     sizes: np.ndarray
     tokens: int
     distinct: int
+    mass: float
     frequent: np.ndarray
     frequent_counts: np.ndarray
 
@@ -201,12 +219,11 @@ class Filter:
     def scores_of(self, words: np.ndarray, where: np.ndarray, pairs: np.ndarray) -> np.ndarray:
         """The same from levels: of distinct words, with where tokens and predecessors are among them, and of each pair."""
         n = len(pairs)
-        # approximate counts: the middle of each level
-        seen, pair = (np.where(x > 1, 1.5 * 2.0 ** (x - 1) - 0.5, x) for x in (words.astype(np.int64), pairs.astype(np.int64)))
-        single = (seen + 0.5) / (self.tokens + 0.5 * (self.distinct + 1))
-        context = seen[where[n:]]
-        share = PAIR_WEIGHT * context / (context + PAIR_PRIOR)
-        return np.log10(share * np.minimum(pair / np.maximum(context, 1.0), 1.0) + (1 - share) * single[where[:n]])
+        single = (_middle(words) + 0.5) / (self.mass + 0.5 * (self.distinct + 1))
+        most = 2.0 ** words[where[n:]] - 1
+        share = PAIR_WEIGHT * most / (most + PAIR_PRIOR)
+        least = np.where(pairs > 0, 2.0 ** (pairs.astype(float) - 1), 0)
+        return np.log10(share * np.minimum(least / np.maximum(most, 1.0), 1.0) + (1 - share) * single[where[:n]])
 
 
 _SCORED = "row_key long, doc_id long, n_tokens long, base double, known long, score double, shard int, words binary, rows binary, times binary"
@@ -220,7 +237,7 @@ def _score(model, groups: int):
         denominator = np.log10(f.tokens + 0.5 * (f.distinct + 1)) if f.tokens else np.log10(0.5)
         done = TaskContext.get().partitionId() << 40
         logs = np.log10(f.frequent_counts + 0.5)
-        for batch in batches:
+        for batch in slices(batches, 1):
             n, parts, pieces = batch.num_rows, [], []
             length, base, known, score = np.zeros(n, np.int64), np.zeros(n), np.zeros(n, np.int64), np.zeros(n)
             for t in chunks(batch.column(1)):
@@ -263,7 +280,6 @@ def _score(model, groups: int):
                 nothing = [pa.nulls(k, kind) for kind in (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64())]
                 yield pa.RecordBatch.from_arrays([pa.array([done] * k, pa.int64()), *nothing, pa.array([g for g, _ in packed], pa.int32()), *binary], names)
             done += n
-            release()
 
     return run
 
@@ -313,6 +329,7 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 base, known = (np.concatenate((x, np.zeros(int(at.max()) + 1 - len(x), x.dtype))) for x in (base, known))
             base[at] += np.frombuffer(more, float)
             known[at] += np.frombuffer(seen, np.uint32)
+        release()
     if now is not None:
         yield row_batch(now, base, known)
 
@@ -344,6 +361,7 @@ def _asking(shards: int):
                     out += [(s, kind, once[by[cuts[s] : cuts[s + 1]]].tobytes()) for s in range(shards) if cuts[s] < cuts[s + 1]]
                 s, kind, hashes = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array([start] * len(s), pa.int64()), pa.array(kind, pa.int32()), pa.array(hashes, pa.binary()), pa.nulls(len(s), pa.int64())], ["shard", "row_key", "kind", "hashes", "size"])
+            release()
 
     return run
 
@@ -360,21 +378,22 @@ def _answered(shards: int):
                 if shard != now:
                     now, f = shard, None
                 if kind == 0:
-                    f = Filter(shards, np.frombuffer(hashes.as_py(), np.uint8), np.zeros(shards, np.int64), np.full(shards, size.as_py()), 0, 0, np.zeros(0, _U), np.zeros(0, np.int64))
+                    f = Filter(shards, np.frombuffer(hashes.as_py(), np.uint8), np.zeros(shards, np.int64), np.full(shards, size.as_py()), 0, 0, 0.0, np.zeros(0, _U), np.zeros(0, np.int64))
                     continue
                 asked = np.frombuffer(hashes.as_py(), _U)
                 out.append((start, shard, kind, (f.levels(asked, kind) if f else np.zeros(len(asked))).astype(np.uint8).tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["row_key", "shard", "kind", "words"])
+            release()
 
     return run
 
 
-def _piece_scores(shards: int, tokens: int, distinct: int):
+def _piece_scores(shards: int, distinct: int, mass: float):
     """A piece (first) and all answers to it, by kind and shard, to a row for each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = Filter(shards, None, np.zeros(0), np.zeros(0), tokens, distinct, np.zeros(0, _U), np.zeros(0, np.int64))
+        f = Filter(shards, None, np.zeros(0), np.zeros(0), 0, distinct, mass, np.zeros(0, _U), np.zeros(0, np.int64))
 
         def scored(start: int, words: bytes, rows: bytes, answers: dict[int, list[bytes]]) -> pa.RecordBatch:
             offsets = np.frombuffer(rows, np.int64)
@@ -399,7 +418,7 @@ def _piece_scores(shards: int, tokens: int, distinct: int):
     return run
 
 
-def _scores_by_shard(scored: DataFrame, table: DataFrame, shards: int, tokens: int, distinct: int) -> DataFrame:
+def _scores_by_shard(scored: DataFrame, table: DataFrame, shards: int, distinct: int, mass: float) -> DataFrame:
     """row_key, score of the texts of all pieces, by a filter that stays in its shards."""
     pieces = scored.filter(F.col("shard") == PIECE)
     none = F.lit(0).cast("int").alias("kind")
@@ -407,7 +426,7 @@ def _scores_by_shard(scored: DataFrame, table: DataFrame, shards: int, tokens: i
     asked = pieces.select("row_key", "words", "rows").mapInArrow(_asking(shards), _ASKED)
     answers = filters.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(_answered(shards), "row_key long, shard int, kind int, words binary")
     both = pieces.select("row_key", "shard", none, "words", "rows").unionByName(answers.withColumn("rows", F.lit(None).cast("binary")))
-    return both.repartition("row_key").sortWithinPartitions("row_key", "kind", "shard").mapInArrow(_piece_scores(shards, tokens, distinct), "row_key long, score double")
+    return both.repartition("row_key").sortWithinPartitions("row_key", "kind", "shard").mapInArrow(_piece_scores(shards, distinct, mass), "row_key long, score double")
 
 
 def _frequent(least: int):
@@ -420,16 +439,18 @@ def _frequent(least: int):
     return run
 
 
-def lm_scores(docs: DataFrame, *, max_filter_bytes: int = MAX_FILTER_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_scores(docs: DataFrame, *, max_filter_bytes: int = MAX_FILTER_BYTES, bits_an_entry: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards, groups = 2 * partitions, max(4, partitions // 4)
+    shards = 2 * partitions
     packed = docs.filter(~held_out(F.col("doc_id"))).select("text").mapInArrow(_count(shards), "shard int, words binary, word_counts binary, pairs binary, pair_counts binary")
-    made = packed.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_shard_rows(), _SHARD)
+    made = packed.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_shard_rows(bits_an_entry), _SHARD)
     table = written(made, "ngram-shards")
-    tokens, distinct = table.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    tokens, distinct, mass = table.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("total", "distinct", "mass")]).first()
+    # a group's exact counts are in one worker's memory: as many groups as keep them small
+    groups = min(shards, max(4, partitions // 4, -(-distinct // WORDS_A_GROUP)))
     frequent = table.select("words", "word_counts").mapInArrow(_frequent(max(1, -(-tokens // FREQUENT))), "word long, n long").toPandas()
     words = frequent["word"].to_numpy(np.int64).view(_U)
     order = np.argsort(words)
@@ -437,7 +458,7 @@ def lm_scores(docs: DataFrame, *, max_filter_bytes: int = MAX_FILTER_BYTES, id_c
     parts = {r["shard"]: r["bits"] for r in table.select("shard", "bits").collect()} if sent else {}
     sizes = np.array([8 * len(parts.get(s, b"")) for s in range(shards)], np.int64)
     bits = np.frombuffer(b"".join(parts.get(s, b"") for s in range(shards)), np.uint8) if sent else None
-    model = spark.sparkContext.broadcast(Filter(shards, bits, np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes, tokens, distinct, words[order], frequent["n"].to_numpy(np.int64)[order]))
+    model = spark.sparkContext.broadcast(Filter(shards, bits, np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes, tokens, distinct, float(mass), words[order], frequent["n"].to_numpy(np.int64)[order]))
     scored = written(docs.mapInArrow(_score(model, groups), _SCORED), "lm-scored")
     group = F.expr(f"cast(shard % {groups} as int)")
     known = table.select(group.alias("shard"), F.lit(0).cast("long").alias("row_key"), "words", F.lit(None).cast("binary").alias("rows"), F.col("word_counts").alias("times"))
@@ -447,7 +468,7 @@ def lm_scores(docs: DataFrame, *, max_filter_bytes: int = MAX_FILTER_BYTES, id_c
     sums = parts.mapInArrow(_added, "row_key long, more_base double, more_known long")
     out = scored.filter("shard is null").select("row_key", "doc_id", "n_tokens", "base", "known", "score").join(sums.hint("merge"), "row_key", "left")
     if not sent:
-        out = out.drop("score").join(_scores_by_shard(scored, table, shards, tokens, distinct).hint("merge"), "row_key")
+        out = out.drop("score").join(_scores_by_shard(scored, table, shards, distinct, mass).hint("merge"), "row_key")
     return out.select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),

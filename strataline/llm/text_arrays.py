@@ -103,6 +103,21 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int, rows: int = 2000, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most rows rows and about limit bytes of a string column, at least one row each.
+
+    What is worked out for a slice is bounded, whatever Arrow's batches hold; memory goes back after each.
+    """
+    for batch in batches:
+        at, n = 0, batch.num_rows
+        offsets = utf8(batch.column(column))[1] if n else None
+        while at < n:
+            to = min(at + rows, max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1))
+            yield batch.slice(at, to - at)
+            release()
+            at = to
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; a null counts as an empty text."""
     if isinstance(column, pa.ChunkedArray):

@@ -128,6 +128,31 @@ def test_lm_scoring(spark):
     assert lm_scoring.lm_scores(table(spark, [])).count() == 0
 
 
+def test_lm_scores_equal_a_model_with_all_counts(spark):
+    r = random.Random(21)
+    texts = [None, "", *[" ".join(f"w{int(r.paretovariate(0.7)) % 400}" for _ in range(r.randrange(120))) for _ in range(200)]]
+    got = {x["doc_id"]: x["score"] for x in lm_scoring.lm_scores(table(spark, texts), bits_an_entry=96).collect()}
+    tokens = {i: ["<", *WORD.findall(t or ""), ">"] for i, t in enumerate(texts)}
+    train = [ws for i, ws in tokens.items() if zlib.crc32(str(i).encode()) % 5 != 1]
+    words = collections.Counter(w for ws in train for w in ws[1:])
+    pairs = collections.Counter(p for ws in train for p in zip(ws, ws[1:]))
+    level = lambda c: c.bit_length()
+    middle = lambda c: (1.5 * 2 ** (level(c) - 1) - 0.5 if c > 1 else c)
+    mass = sum(map(middle, words.values()))
+
+    def probability(a, b):
+        most, pair = 2 ** level(words[a]) - 1, level(pairs[a, b])
+        share = 0.5 * most / (most + 20)
+        return share * (2 ** (pair - 1) / most if pair and most else 0) + (1 - share) * (middle(words[b]) + 0.5) / (mass + 0.5 * (len(words) + 1))
+
+    for i, ws in tokens.items():
+        want = sum(math.log10(probability(a, b)) for a, b in zip(ws, ws[1:]))
+        assert abs(got[i] - want) < 1e-9 * (1 + abs(want))
+    for a in list(words)[:50]:  # over all known words and one unseen
+        assert sum(probability(a, b) for b in [*words, "unseen"]) <= 1 + 1e-9
+    assert abs(sum(probability("unseen", b) for b in [*words, "unseen"]) - 1) < 1e-9
+
+
 def test_lm_scoring_keeps_its_bits_beyond_the_bound(spark):
     r = random.Random(12)
     texts = [None, "", *[" ".join(f"w{int(r.paretovariate(0.4)) % 3000}" for _ in range(r.randrange(80))) for _ in range(300)]]
