@@ -1,13 +1,10 @@
-"""Small gradient-boosted trees: fitted on bounded rows on the driver, run as column expressions."""
+"""Small gradient-boosted trees: fitted on bounded rows on the driver, run as SQL expressions."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 
 @dataclass
 class Node:
@@ -18,26 +15,32 @@ class Node:
     high: Node | None = None
 
 
-def _grow(x: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, depth: int) -> Node:
-    """A regression tree by exact greedy splits on the second-order gain."""
-    total, weight = gradient.sum(), hessian.sum()
+def _coded(x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each feature's distinct values, ascending, and the number of each row's among them."""
+    return [np.unique(x[:, j], return_inverse=True) for j in range(x.shape[1])]
+
+
+def _grow(coded: list, rows: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, depth: int) -> Node:
+    """A regression tree over some rows by exact greedy splits on the second-order gain."""
+    total, weight = gradient[rows].sum(), hessian[rows].sum()
     leaf = Node(value=float(total / (weight + 1.0)))
-    if depth == 0 or len(x) < 20:
+    if depth == 0 or len(rows) < 20:
         return leaf
-    best = (1e-3, -1, 0.0)
-    for j in range(x.shape[1]):
-        order = np.argsort(x[:, j], kind="stable")
-        v, g, h = x[order, j], np.cumsum(gradient[order]), np.cumsum(hessian[order])
-        at = np.flatnonzero(v[1:] != v[:-1])
-        if len(at):
-            gain = g[at] ** 2 / (h[at] + 1) + (total - g[at]) ** 2 / (weight - h[at] + 1) - total**2 / (weight + 1)
-            k = int(gain.argmax())
-            if gain[k] > best[0]:
-                best = (float(gain[k]), j, float((v[at[k]] + v[at[k] + 1]) / 2))
+    best = (1e-3, -1, 0.0, 0)
+    for j, (values, codes) in enumerate(coded):
+        own = codes[rows]
+        there = np.flatnonzero(np.bincount(own, minlength=len(values)))
+        if len(there) < 2:
+            continue
+        g, h = (np.cumsum(np.bincount(own, x[rows], len(values))[there])[:-1] for x in (gradient, hessian))
+        gain = g**2 / (h + 1) + (total - g) ** 2 / (weight - h + 1) - total**2 / (weight + 1)
+        k = int(gain.argmax())
+        if gain[k] > best[0]:
+            best = (float(gain[k]), j, float((values[there[k]] + values[there[k + 1]]) / 2), int(there[k]))
     if best[1] < 0:
         return leaf
-    low = x[:, best[1]] <= best[2]
-    return Node(0.0, best[1], best[2], _grow(x[low], gradient[low], hessian[low], depth - 1), _grow(x[~low], gradient[~low], hessian[~low], depth - 1))
+    low = coded[best[1]][1][rows] <= best[3]
+    return Node(0.0, best[1], best[2], *(_grow(coded, part, gradient, hessian, depth - 1) for part in (rows[low], rows[~low])))
 
 
 def _values(node: Node, x: np.ndarray) -> np.ndarray:
@@ -61,27 +64,26 @@ class Trees:
     def probability(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.slope * self.raw(x) + self.shift)))
 
-    def column(self, features: list[Column]) -> Column:
-        """The calibrated probability as an expression."""
+    def sql(self, x: str) -> str:
+        """The calibrated probability as a SQL expression of an array of features."""
 
-        def of(node: Node) -> Column:
+        def of(node: Node) -> str:
             if node.feature < 0:
-                return F.lit(node.value)
-            return F.when(features[node.feature] <= node.split, of(node.low)).otherwise(of(node.high))
+                return f"{node.value!r}D"
+            return f"CASE WHEN {x}[{node.feature}] <= {node.split!r}D THEN {of(node.low)} ELSE {of(node.high)} END"
 
-        total = F.lit(self.shift)
-        for t in self.trees:
-            total = total + of(t) * self.slope
-        return 1 / (1 + F.exp(-total))
+        total = " + ".join([f"{self.shift!r}D", *(f"{self.slope!r}D * {of(t)}" for t in self.trees)])
+        return f"1D / (1D + exp(-({total})))"
 
 
 def fit(x: np.ndarray, y: np.ndarray, *, rounds: int = 12, depth: int = 3, rate: float = 0.4, precision: float = 0.97) -> Trees:
     """Boosts on even rows; odd rows calibrate and set the least threshold that reaches the precision."""
     own, other = np.arange(len(x)) % 2 == 0, np.arange(len(x)) % 2 == 1
     model, raw = Trees([]), np.zeros(int(own.sum()))
+    coded, rows = _coded(x[own]), np.arange(int(own.sum()))
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-raw))
-        tree = _grow(x[own], rate * (y[own] - p), p * (1 - p), depth)
+        tree = _grow(coded, rows, rate * (y[own] - p), p * (1 - p), depth)
         model.trees.append(tree)
         raw = raw + _values(tree, x[own])
     z, t = model.raw(x[other]), y[other]

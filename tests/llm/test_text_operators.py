@@ -197,6 +197,9 @@ def test_html_extraction(spark):
         assert r["text"] == PAGES[r["page_id"]][1] and r["n_chars"] == len(r["text"])
 
 
+BASE = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
 def base_spans(t):
     digits = lambda m: re.sub("[^0-9]", "", m)
 
@@ -204,13 +207,17 @@ def base_spans(t):
         return sum(int(c) if i % 2 == 0 else int(c) * 2 - 9 * (int(c) > 4) for i, c in enumerate(reversed(d))) % 10 == 0
 
     good = (lambda m: True, lambda m: all(int(x) <= 255 for x in m.split(".")), lambda m: 14 <= len(digits(m)) <= 19 and luhn(digits(m)), lambda m: 10 <= len(digits(m)) <= 15)
-    return sorted((m.start(), k, m.end()) for k, p in enumerate((pii.EMAIL, pii.IP, pii.CARD, pii.PHONE)) for m in re.finditer(p, t) if good[k](m[0]))
+    return sorted((m.start(), k, m.end()) for k, p in enumerate(BASE) for m in re.finditer(p, t) if good[k](m[0]))
+
+
+def spans_of(row):
+    return [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in row["spans"].split(",") if x)]
 
 
 def test_pii(spark):
     r = random.Random(6)
-    parts = ["a.b@c.de", "x@y", "1.2.3.4", "1.2.3.4.5", "256.1.1.1", "001.02.3.4", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (017) 555-7713", "+1234", "+49 1.2.3.4 99", "😀", "word", "12", "é@ü.de", "\n", ","]
-    texts = [None, "", *["".join(r.choices(parts, k=r.randrange(1, 12))) for _ in range(150)], *[" ".join(r.choices(parts, k=r.randrange(1, 12))) for _ in range(150)], "call me at (415) 555-0199 or ann (at) example [dot] com"]
+    parts = ["a.b@c.de", "x@y", "@", "a@b.c_d@e.f", "1.2.3.4", "1.2.3.4.5", "256.1.1.1", "001.02.3.4", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (017) 555-7713", "+1234", "+49 1.2.3.4 99", "😀", "word", "12", "é@ü.de", "\n", ","]
+    texts = [None, "", *["".join(r.choices(parts, k=r.randrange(1, 12))) for _ in range(200)], *[" ".join(r.choices(parts, k=r.randrange(1, 12))) for _ in range(150)], "a@b.cc " * 700 + "😀 1.2.3.4 " * 300, "call me at (415) 555-0199 or ann (at) example [dot] com", "call me at (415) 555-0199 or ann (at) example [dot] com"]
     got = {x["doc_id"]: x for x in pii.pii(table(spark, texts)).collect()}
     for i, t in enumerate(texts):
         want = base_spans(t or "")
@@ -218,6 +225,49 @@ def test_pii(spark):
         assert [got[i][f"n_{k}"] for k in pii.KINDS] == [sum(w[1] == j for w in want) for j in range(4)], t
         assert got[i]["base_sha256"] == hashlib.sha256(",".join(listed).encode()).hexdigest(), t
         assert set(listed) <= set(got[i]["spans"].split(",")) | {""}
+        added = [s for s in spans_of(got[i]) if ":".join(map(str, s)) not in listed]
+        assert not any(a < e and s < b for _, a, b in added for s, _, e in want)
     clean = pii.without_pii(table(spark, texts)).orderBy("doc_id").collect()
-    assert clean[0]["text"] is None and clean[-1]["text"] == "call me at [PHONE] or [EMAIL]" and clean[5]["spans"] == "s"
+    assert clean[0]["text"] is None and clean[-1]["text"] == clean[-2]["text"] == "call me at [PHONE] or [EMAIL]" and clean[5]["spans"] == "s"
+    for i, t in enumerate(texts):
+        out, at = [], 0
+        for k, a, b in spans_of(got[i]):
+            if a >= at:
+                out += [t[at:a], f"[{k.upper()}]"]
+            at = max(at, b)
+        assert clean[i]["text"] == (None if t is None else "".join([*out, t[at:]]))
     assert pii.pii(table(spark, [])).count() == 0
+    assert pii.find_pii(table(spark, ["x"])).columns == ["doc_id", "text", "spans", "kept", "email", "pii"]
+    assert pii.pii(spark.createDataFrame([(None, "a@b.c")], "doc_id long, text string")).first()["n_email"] == 1
+
+
+def test_pii_trees_add_spans(spark):
+    secret, card = "9b0b3c6a43eb78aa99cbd7049c572391524f37a8", "4485275742308327"
+    cases = [
+        (f'foo token = "{secret}" bar', [("secret", 13, 53)]), (f"API_KEY: {secret.upper()}", [("secret", 9, 49)]), (f"commit {secret} fixes it", []),
+        (f"Room 12 {card} x", [("card", 8, 24)]), ("call me at 12 555-123-4567", [("phone", 14, 26)]), ("phone: 415-555-0199, fax (212) 555-0100", [("phone", 7, 19), ("phone", 25, 39)]),
+        ("version 2024-05-17", []), ("order 1234567890", []), ("Verschlüsselungszertifikatsverwaltung17", []), ("see www/2024/05/some-long-title-here", []), ("mail me: ann (at) example [dot] com", [("email", 9, 35)]),
+    ]
+    got = {x["doc_id"]: spans_of(x) for x in pii.pii(table(spark, [t for t, _ in cases])).collect()}
+    assert [got[i] for i in range(len(cases))] == [want for _, want in cases]
+
+
+def test_pii_trees_give_the_same_in_sql_and_numpy(spark):
+    rows = pii._training_rows(spark)
+    x = np.array([r["x"] for r in rows[:2000]])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i int, x array<double>")
+    for kind, model in pii.trees(spark).items():
+        sql = np.array([r["p"] for r in df.select("i", F.expr(model.sql("x")).alias("p")).orderBy("i").collect()])
+        assert np.allclose(sql, model.probability(x)), kind
+        own = [r for r in rows if r["kind"] == kind]
+        chosen = model.probability(np.array([r["x"] for r in own])) >= model.threshold
+        good = np.array([r["good"] for r in own])
+        assert (chosen & good).sum() >= 0.9 * good.sum() and (chosen & good).sum() >= 0.95 * chosen.sum(), kind
+
+
+def test_pii_of_very_long_texts(spark):
+    n = 100_000
+    texts = ["1" * n, "1 " * (n // 4), "a@b" + ".c" * n, "a AT b" + ".c" * n, "a" * n + " @", "a1" * n, "ab@cd.ef " * (n // 10), "+1 " * n, "(" * n, "1." * n, "1.2.3." * (n // 6), "0" * n + ".1.1.1", "'" * n, "token=" * n]
+    got = {x["doc_id"]: x for x in pii.pii(table(spark, texts)).collect()}
+    assert [got[i]["n_email"] for i in range(len(texts))] == [0, 0, 1, 0, 0, 0, n // 10, *[0] * 7] and got[11]["n_ip"] == 1
+    assert pii.without_pii(table(spark, texts)).filter("doc_id = 6").first()["text"] == "[EMAIL] " * (n // 10)
