@@ -14,7 +14,7 @@ Lookups are sort-merge joins, whose hot keys Spark splits at run time; naming pr
 one group of copies may hold any part of the rows.
 
 Nulls count as empty texts, which are all equal. Rows with equal doc_id are rows of their own with
-the same keep_id; a null doc_id is ordered last. Extra columns are ignored. An empty table gives an
+the same keep_id; a null doc_id is ordered last. Extra columns are ignored (kept by ``distinct_documents``, whatever their names). An empty table gives an
 empty result.
 """
 
@@ -33,9 +33,9 @@ def normalised(text: Column) -> Column:
 
 
 def _blocks(texts: DataFrame, size: int) -> DataFrame:
-    """(row, n, text) to (row, n, pos, block). At least one block each."""
-    positions = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct(i.alias("pos"), F.substring("text", i * size + 1, F.lit(size)).alias("block")))
-    return texts.select("row", "n", F.inline(positions))
+    """(row, n, text) to (row, n, pos, block). At least one block each; one pass cuts a text, whatever its length."""
+    cut = F.when(F.col("text") == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{size}}}"), F.lit(0)))
+    return texts.select("row", "n", F.posexplode(cut).alias("pos", "block"))
 
 
 def _named(occurrences: DataFrame, *content: str) -> DataFrame:

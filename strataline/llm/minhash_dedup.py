@@ -12,12 +12,13 @@ blocks, then all texts that are still apart with all others (``_across``), so de
 
 Nodes yield stars, not pairs. Their components hold every true link between their members; each
 component's full shingle sets are then compared in one task, where a text needs no comparison
-with texts that are already connected to it. Components of more than ``component_rows`` texts
+with texts that are already connected to it. Components of more than ``component_rows`` texts or ``TASK_SHINGLES`` shingles
 are compared in parts: within nodes, then each text that is still apart with all others of the
 component whose size allows a link, in pairs of blocks. That is exact; its work grows with the square
 of a group only as far as its texts are not linked. Every reported link is confirmed on full sets.
 
-Copies are never expanded into pairs: rows are proportional to texts times trees. Nulls and texts
+Copies are never expanded into pairs: rows are proportional to texts times trees. A text of any length is hashed in
+one pass; its set has 8 bytes a shingle. Nulls and texts
 without words have an empty set, are linked with nothing and are kept. Rows with a null id take the
 component of their class; they are kept only if nothing has an id. Rows of one id with different
 texts count as linked. Extra columns are ignored.
@@ -40,6 +41,8 @@ from strataline.llm.text_arrays import chunks, mix, mix_int, release, shingles
 COORDINATES, LEVELS = 64, 3
 #: A pair at the threshold is missed by all trees at most so often; more trees than MOST_TREES are refused.
 MISSED, MOST_TREES = 1e-6, 250
+#: Full sets of about so many shingles (8 bytes each) are compared in one task.
+TASK_SHINGLES = 4 << 20
 
 _MULTIPLIERS = mix(np.arange(101, 101 + COORDINATES, dtype=np.uint64)) | np.uint64(1)
 
@@ -252,10 +255,10 @@ def _counted(rows: DataFrame) -> DataFrame:
     return rows.join(small_or_shuffled(sizes), "node")
 
 
-def _across(members: DataFrame, percent: int, block_rows: int) -> DataFrame | None:
+def _across(members: DataFrame, percent: int, block_rows: int, block_shingles: int = 1 << 62) -> DataFrame | None:
     """(key, cid, label): for each pair of a group's members (group, cid, label, n_shingles) with different labels and sizes that allow a link, a key that both have.
 
-    A key has at most about twice block_rows members. Members of a group's most frequent label need no comparison among
+    A key has at most about twice block_rows members and twice block_shingles shingles, or two members. Members of a group's most frequent label need no comparison among
     themselves, so blocks of the others are paired with blocks of all. Sizes lie in bands as wide as the threshold: links
     are within a band or between neighbours. None if each group has one label.
     """
@@ -266,7 +269,7 @@ def _across(members: DataFrame, percent: int, block_rows: int) -> DataFrame | No
         return None
     every = written(members.join(small_or_shuffled(tops), "group").withColumn("band", F.floor(F.log("n_shingles") / width)), "apart-members")
     apart = every.filter("label <> top").withColumn("band", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)))
-    counted = lambda rows, name: rows.groupBy("group", "band").agg(F.ceil(F.count("*") / block_rows).cast("long").alias(name))
+    counted = lambda rows, name: rows.groupBy("group", "band").agg(F.least(F.count("*"), F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("n_shingles") / block_shingles))).cast("long").alias(name))
     blocks = written(counted(apart, "apart_blocks").join(counted(every, "blocks"), ["group", "band"]), "block-counts")
 
     def dealt(rows: DataFrame, own: str, other: str, key) -> DataFrame:
@@ -314,11 +317,16 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, node_rows: int = 512,
         sets.filter("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("cid"), F.first("sketch").alias("sketch"), F.first("nodes").alias("nodes")), "shingle-classes"
     )
     likely, leaves = _likely(classes.filter("cid is not null"), percent, node_rows)
-    sizes = written(likely.groupBy("component").count(), "component-sizes")
-    likely = written(likely.join(small_or_shuffled(sizes), "component").select(F.col("id").alias("cid"), "component", "count"), "likely-components")
-    by_component = likely.filter(F.col("count") <= component_rows).select("cid", F.array("component").alias("keys"))
-    large = likely.filter(F.col("count") > component_rows)
-    by_node = leaves.join(small_or_shuffled(large.select("cid", "component"), likely), "cid").groupBy("cid").agg(F.collect_set(F.xxhash64("node", "component")).alias("keys"))
+    likely = written(likely.withColumnRenamed("id", "cid").join(classes.select("cid", "n_shingles").hint("merge"), "cid"), "likely-members")
+    sizes = likely.groupBy("component").agg(F.count("*").alias("count"), F.sum("n_shingles").alias("shingles"), F.max("n_shingles").alias("widest"))
+    # what one task may hold: so many texts, so many shingles
+    whole, narrow = (F.col("count") <= component_rows) & (F.col("shingles") <= TASK_SHINGLES), F.col("widest") <= TASK_SHINGLES // node_rows
+    sizes = written(sizes.select("component", whole.alias("whole"), narrow.alias("narrow")), "component-sizes")
+    likely = written(likely.join(small_or_shuffled(sizes), "component").select("cid", "component", "n_shingles", "whole", "narrow"), "likely-components")
+    by_component = likely.filter("whole").select("cid", F.array("component").alias("keys"))
+    large = likely.filter("not whole")
+    # nodes of wide texts aren't worth their memory: what they would find is found across blocks
+    by_node = leaves.join(small_or_shuffled(large.filter("narrow").select("cid", "component"), likely), "cid").groupBy("cid").agg(F.collect_set(F.xxhash64("node", "component")).alias("keys"))
 
     def compared(keys: DataFrame) -> DataFrame:
         keys = written(keys, "comparison-keys")
@@ -328,8 +336,8 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, node_rows: int = 512,
 
     linked = connected_components(compared(by_component.unionByName(by_node).withColumn("label", F.col("cid"))))
     if not large.isEmpty():
-        whole = large.join(classes.select("cid", "n_shingles").hint("merge"), "cid").select(F.col("component").alias("group"), "cid", "n_shingles")
-        pairs = _across(_labelled(whole, linked), percent, max(1, component_rows // 2))
+        members = large.select(F.col("component").alias("group"), "cid", "n_shingles")
+        pairs = _across(_labelled(members, linked), percent, max(1, component_rows // 2), TASK_SHINGLES // 2)
         if pairs is not None:
             linked = _more_components(linked, compared(pairs.groupBy("cid", "label").agg(F.collect_set("key").alias("keys"))))
     deleted(leaves)

@@ -6,12 +6,18 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset (tests, one machine), a local one."""
+    """The folder of spark.checkpoint.dir, or that of setCheckpointDir; only where both are unset in local mode (tests), a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    chosen = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not folder and chosen.isDefined():
+        folder = chosen.get()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = f"file://{tempfile.gettempdir()}/checkpoints"
     return folder.rstrip("/")
 
@@ -35,12 +41,20 @@ def deleted(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Tables of at most so many rows of ids and counts are broadcast (8 to 40 bytes each).
-BROADCAST_ROWS = 500_000
+#: Tables of at most so many rows and so many bytes of files are broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
 
 
-def small_or_shuffled(keys: DataFrame, part_of: DataFrame | None = None) -> DataFrame:
-    """A written table of ids, or some rows of one (part_of), for a join: broadcast if its row count says it is small, else sort-merge joined."""
-    from pyspark.sql import functions as F
+def _bytes(df: DataFrame) -> int:
+    """The size of a written table's files."""
+    spark, total = df.sparkSession, 0
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        total += path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return total
+
 
-    return F.broadcast(keys) if (keys if part_of is None else part_of).count() <= BROADCAST_ROWS else keys.hint("merge")
+def small_or_shuffled(keys: DataFrame, part_of: DataFrame | None = None) -> DataFrame:
+    """A written table of ids, or some rows of one (part_of), for a join: broadcast if its rows and bytes are few, else sort-merge joined."""
+    whole = keys if part_of is None else part_of
+    return F.broadcast(keys) if _bytes(whole) <= BROADCAST_BYTES and whole.count() <= BROADCAST_ROWS else keys.hint("merge")

@@ -25,6 +25,8 @@ def test_exact_dedup(spark):
     left = exact_dedup.distinct_documents(table(spark, texts, ids))
     assert left.count() == len(set(norm)) and left.columns[1:] == ["text", "spans", "kept", "email"]
     assert exact_dedup.exact_dedup(table(spark, [])).count() == 0
+    long = "é😀 x" * 500_000
+    assert [r["group_size"] for r in exact_dedup.exact_dedup(table(spark, [long, long, long + "y"])).orderBy("doc_id").collect()] == [2, 2, 1]
     with_null = exact_dedup.exact_dedup(spark.createDataFrame([(None, "a"), (4, "a"), (None, "b")], "doc_id long, text string")).collect()
     assert sorted((str(r["doc_id"]), str(r["keep_id"]), r["kept"]) for r in with_null) == [("4", "4", True), ("None", "4", False), ("None", "None", False)]
 
@@ -64,8 +66,19 @@ def test_near_duplicates(spark, limits):
         texts += [near(origin, r, r.randrange(4)) for _ in range(r.randrange(1, 9))] + [origin] * r.randrange(3)
     got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in minhash_dedup.near_duplicates(table(spark, texts), **limits).collect()}
     want = brute(texts, 85)
-    assert sum(got[i] != want[i] for i in want) <= (0 if not limits else 3)  # forced branching meets its recall, not certainty
-    assert all(got[i][1] >= want[i][1] for i in want)
+    assert got == want
+
+
+@pytest.mark.parametrize("shingles", [1, 3000])
+def test_near_duplicates_whatever_a_task_may_hold(spark, monkeypatch, shingles):
+    monkeypatch.setattr(minhash_dedup, "TASK_SHINGLES", shingles)
+    r = random.Random(31)
+    texts = []
+    for n in (40, 700, 700):
+        texts.append(" ".join(f"w{r.randrange(9000)}" for _ in range(n)))
+        texts += [near(r.choice(texts[-3:]), r, n // 60) for _ in range(12)]
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in minhash_dedup.near_duplicates(table(spark, texts), node_rows=4).collect()}
+    assert got == brute(texts, 85)
 
 
 @pytest.mark.parametrize("percent", [80, 85])
