@@ -1,16 +1,19 @@
 """Chat formatting in budgeted windows with a loss mask.
 
 Turns are marked by a template; control strings inside texts and roles are escaped reversibly.
-Prefix sums of the turns' tokens choose windows: a window starts with the conversation's system
-turn, repeats up to ``history_turns`` turns before its span within ``history_budget`` tokens, and
-takes new turns while the sum stays within ``budget``. A turn is never cut: one that is over the
-budget alone gets a window of its own. The loss mask covers assistant texts that are new in the
+Prefix sums of the tokens of turns as they are written (marker, role, escaped text) choose windows: a
+window starts with the conversation's system turn (its first turn, if that is one), repeats up to
+``history_turns`` turns before its span within ``history_budget`` tokens, and takes new turns while
+their sum with the window's own markers stays within ``budget``. A turn is never cut: one that is over
+the budget with the system turn gets a window of its own. n_tokens is the sum; tokenising the whole
+window gives at most as many, as turns meet only in ``][``. The loss mask covers assistant texts that are new in the
 window; repeated ones are masked, so each assistant text is learnt once.
 
 Rows are dealt out by conversation and sorted by turn; a task streams over them and holds one
 window (and its history), never a conversation. Rows of a null conversation id are one
 conversation. Null texts and roles count as empty. Equal turn numbers are ordered by role and
-text; repeated rows are turns of their own. Empty tables give no windows.
+text; repeated rows are turns of their own. Empty tables give no windows; extra columns are ignored,
+whatever their names. A very long text is in memory as often as its window is.
 """
 
 from __future__ import annotations
@@ -53,51 +56,61 @@ def _unescaped_role(role: str) -> str:
     return re.sub(r"\\([\\;n])", lambda m: {"\\": "\\", ";": "", "n": "\n"}[m[1]], role)
 
 
+def written_turn(role: str, text: str) -> tuple[str, str]:
+    """A turn's head and body as they stand in a window, before CLOSE."""
+    return f"{OPEN}{_escaped_role(role)}\n", escape(text)
+
+
 class _Windows:
-    """Windows of one conversation, from its turns in order."""
+    """Windows of one conversation, from its turns in order.
+
+    sums holds the prefix sums of the turns' tokens that still matter: sums[i] is the total before
+    the turn recent[i], and the last one the total of all turns so far.
+    """
 
-    def __init__(self, conv_id: int | None, budget: int, history_turns: int, history_budget: int):
-        self.conv_id, self.budget, self.history_turns, self.history_budget = conv_id, budget, history_turns, history_budget
+    def __init__(self, conv_id: int | None, budget: int, history_turns: int, history_budget: int, frame: int):
+        self.conv_id, self.budget, self.history_turns, self.history_budget, self.frame = conv_id, budget, history_turns, history_budget, frame
         self.system: tuple | None = None
-        self.recent: list[tuple] = []  # the last turns, as (role, text, tokens)
+        self.recent: list[tuple] = []  # the last turns, as (head, body, assistant, tokens)
+        self.sums = [0]
         self.now: list[tuple[tuple, bool]] = []
-        self.used = self.number = 0
+        self.fixed = self.begin = self.number = self.turns = 0
 
     def _start(self, turn: tuple) -> None:
-        """A window's repeated turns, leaving room for the new one where possible."""
+        """A window's repeated turns, leaving room for the new one where possible; begin is the sum before its first one but the system turn."""
         self.now = [(self.system, False)] if self.system else []
-        self.used = self.system[2] if self.system else 0
-        room, history = min(self.history_budget, self.budget - self.used - turn[2]), []
-        for old in reversed(self.recent):
-            if old is self.system or old[2] > room:
-                break
-            history.append((old, False))
-            room -= old[2]
-        self.now += history[::-1]
-        self.used += sum(t[2] for t, _ in history)
-
-    def add(self, role: str, text: str, tokens: int) -> Iterator[tuple]:
-        turn = (role, text, tokens)
+        self.fixed = self.frame + (self.system[3] if self.system else 0)
+        end = self.sums[-1]
+        room, first = min(self.history_budget, self.budget - self.fixed - turn[3]), len(self.recent)
+        while first and self.recent[first - 1] is not self.system and end - self.sums[first - 1] <= room:
+            first -= 1
+        self.now += [(old, False) for old in self.recent[first:]]
+        self.begin = self.sums[first]
+
+    def add(self, head: str, body: str, role: str, tokens: int) -> Iterator[tuple]:
+        turn = (head, body, role == "assistant", tokens)
         if not any(new for _, new in self.now):
             self._start(turn)
-        elif self.used + tokens > self.budget:
+        elif self.fixed + self.sums[-1] + tokens - self.begin > self.budget:
             yield self.window()
             self._start(turn)
         self.now.append((turn, True))
-        self.used += tokens
-        if role == "system" and not self.system and not self.recent:
+        if role == "system" and not self.turns:
             self.system = turn
-        self.recent = [*self.recent, turn][-self.history_turns :] if self.history_turns else []
+        self.turns += 1
+        self.recent.append(turn)
+        self.sums.append(self.sums[-1] + tokens)
+        if len(self.recent) > self.history_turns:
+            del self.recent[0], self.sums[0]
 
     def window(self) -> tuple:
         parts, at, spans = [BOS], len(BOS), []
-        for (role, text, _), new in self.now:
-            head, body = f"{OPEN}{_escaped_role(role)}\n", escape(text)
-            if new and role == "assistant":
+        for (head, body, assistant, _), new in self.now:
+            if new and assistant:
                 spans.append({"start": at + len(head), "end": at + len(head) + len(body)})
             parts += [head, body, CLOSE]
             at += len(head) + len(body) + len(CLOSE)
-        out = (self.conv_id, self.number, "".join([*parts, EOS]), spans, [new for _, new in self.now], self.used)
+        out = (self.conv_id, self.number, "".join([*parts, EOS]), spans, [new for _, new in self.now], self.fixed + self.sums[-1] - self.begin)
         self.number += 1
         self.now = []
         return out
@@ -116,20 +129,25 @@ def format_chats(
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = byte_bpe(path)
+        frame = sum(map(len, encode([BOS, EOS])))
         names = ["conv_id", "window_no", "formatted", "loss_spans", "new_turns", "n_tokens"]
         types = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.bool_()), pa.int64()]
         table = lambda found: pa.RecordBatch.from_arrays([pa.array([w[i] for w in found], t) for i, t in enumerate(types)], names)
         current: _Windows | None = None
         for batch in batches:
-            found: list[tuple] = []
             ids, roles, texts = (batch.column(i).to_pylist() for i in range(3))
-            for conv_id, role, text, tokens in zip(ids, roles, texts, map(len, encode(texts)), strict=True):
-                if current is None or current.conv_id != conv_id:
-                    if current:
-                        found.append(current.window())
-                    current = _Windows(conv_id, budget, history_turns, history_budget)
-                found.extend(current.add(role, text, tokens))
-            yield table(found)
+            # a few turns at once: windows of a batch may be long
+            for at in range(0, batch.num_rows, 500):
+                found: list[tuple] = []
+                parts = [written_turn(role, text) for role, text in zip(roles[at : at + 500], texts[at : at + 500], strict=True)]
+                sizes = map(len, encode([head + body + CLOSE for head, body in parts]))
+                for conv_id, role, (head, body), tokens in zip(ids[at : at + 500], roles[at : at + 500], parts, sizes, strict=True):
+                    if current is None or current.conv_id != conv_id:
+                        if current:
+                            found.append(current.window())
+                        current = _Windows(conv_id, budget, history_turns, history_budget, frame)
+                    found.extend(current.add(head, body, role, tokens))
+                yield table(found)
         if current:
             yield table([current.window()])
 

@@ -159,7 +159,7 @@ _PIECE = "struct<start:int,end:int,before:string,m:string,rest:int>"
 
 
 def _pieces(run: Column) -> Column:
-    """The candidates in a run of digits and separators: from the start of a group to the end of one, at least seven digits."""
+    """The candidates in a run of digits and separators: from the start of a group to the end of one, 7 to 19 digits in at most six groups."""
     m, n = run["m"], F.length(run["m"])
     is_ = lambda i, what: F.substring(m, i, F.lit(1)).rlike(what)
     places = F.sequence(F.lit(1), n)
@@ -173,7 +173,7 @@ def _pieces(run: Column) -> Column:
         return F.struct((run["start"] + a - 1).alias("start"), (run["start"] + b).alias("end"), before.alias("before"), own.alias("m"), (digits - F.length(_digits(own))).alias("rest"))
 
     pairs = F.flatten(F.transform(starts, lambda a: F.transform(F.filter(ends, lambda b: (b - a).between(6, 27)), lambda b: piece(a, b))))
-    return F.filter(pairs, lambda p: F.length(_digits(p["m"])).between(7, 19))
+    return F.filter(pairs, lambda p: F.length(_digits(p["m"])).between(7, 19) & (F.regexp_count(p["m"], F.lit("[0-9]+")) <= 6))
 
 
 def _whole(run: Column) -> Column:

@@ -4,12 +4,14 @@ Folding lower-cases, maps homoglyphs (Cyrillic, Greek, fullwidth) and digits or
 into single spaces. Entries are whole words or word beginnings; their weights are the
 log odds of toxic labels among training documents that contain them. Hits inside an exception
 phrase don't count: phrases given by the caller, and two-word phrases around an entry that
-training documents use mostly harmlessly. The score is a logistic function of the weight found,
+training documents use mostly harmlessly. Of learnt entries and phrases the ``MAX_ENTRIES`` with the most
+evidence are kept: weight times the root of the toxic documents, and harmless documents. The score is a logistic function of the weight found,
 of its density per 100 words and of the strongest hit, fitted on the same training rows.
 
 Only a bounded sample of labelled rows is learnt from: the ``max_train`` labels with the smallest
 hashes of their ids. Scoring is one pass over whole texts with no shuffle. Null and empty texts
-get the score of a text without hits. Label rows with nulls are ignored; with no usable labels
+get the score of a text without hits; repeated rows are scored again, a null id is not held out, extra
+columns are ignored, an empty table gives no rows. Work is linear in a text's length but for sorting its hits. Label rows with nulls are ignored; with no usable labels
 every score is 0.
 """
 
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -97,7 +100,14 @@ def _features(lexicon: Lexicon):
             elif weight > hits.get(start, (0.0, 0))[0]:
                 hits[start] = weight, end
         if excused:
-            hits = {s: h for s, h in hits.items() if not any(a <= s and s + 1 < b for a, b in excused)}
+            # both in order of their begins: reach is the furthest end of the phrases that have begun
+            left, reach, excused = {}, -1, deque(sorted(excused))
+            for s in sorted(hits):
+                while excused and excused[0][0] <= s:
+                    reach = max(reach, excused.popleft()[1])
+                if s + 1 >= reach:
+                    left[s] = hits[s]
+            hits = left
         if not hits:
             return 0.0, 0.0, 0.0
         total = sum(w for w, _ in hits.values())
@@ -152,11 +162,11 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = (),
     counts = written(counts.withColumn("weight", weight).withColumn("words", F.size(F.split(F.trim("term"), " "))), "toxicity-terms")
     top = counts.filter((F.col("words") == 1) & (F.col("weight") >= MIN_WEIGHT)).orderBy(F.desc(F.col("weight") * F.sqrt("t")), "term").limit(MAX_ENTRIES).collect()
     weights = {r["term"]: r["weight"] for r in top}
-    harmless = counts.filter((F.col("words") == 2) & (F.col("weight") <= 0.5)).join(
-        F.broadcast(df := docs.sparkSession.createDataFrame([(k.strip(),) for k in weights if k.endswith(" ")] or [(None,)], "entry string")),
-        (F.split(F.trim("term"), " ")[0] == df.entry) | (F.split(F.trim("term"), " ")[1] == df.entry),
-    )
-    learnt = [r["term"] for r in harmless.select("term").distinct().orderBy("term").limit(MAX_ENTRIES).collect()]
+    # at most MAX_ENTRIES words are broadcast
+    entries = docs.sparkSession.createDataFrame([(k.strip(),) for k in weights if k.endswith(" ")], "word string")
+    harmless = counts.filter((F.col("words") == 2) & (F.col("weight") <= 0.5)).withColumn("word", F.explode(F.split(F.trim("term"), " "))).join(F.broadcast(entries), "word", "left_semi")
+    harmless = harmless.groupBy("term").agg(F.max(F.col("n") - F.col("t")).alias("evidence")).orderBy(F.desc("evidence"), "term").limit(MAX_ENTRIES)
+    learnt = [r["term"] for r in harmless.collect()]
     lexicon = Lexicon(weights, sorted({*learnt, *(fold(x) for x in exceptions)}), [])
     rows = train.mapInArrow(_rows(lexicon, ["toxic"]), "toxic int, x0 double, x1 double, x2 double").toPandas()
     lexicon.coefficients = _fit(rows[["x0", "x1", "x2"]].to_numpy(), rows["toxic"].to_numpy(float))

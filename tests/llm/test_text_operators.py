@@ -64,8 +64,7 @@ def test_packing(spark):
     from tokenizers import Tokenizer
 
     reference = Tokenizer.from_file(packing.byte_bpe_path())
-    reference.encode_special_tokens = True
-    texts = [None, "", "<|endoftext|>", *made(2, 150, most=400), "long " * 30000, "é😀" * 500]
+    texts = [None, "", "<|endoftext|>", "a <|endoftext|> b<|endoftext|>", *made(2, 150, most=400), "long " * 30000, "é😀" * 500]
     pieces = packing.pack(table(spark, texts), with_ids=True).collect()
     whole, sequences = collections.defaultdict(list), collections.defaultdict(list)
     for p in sorted(pieces, key=lambda p: (p["doc_id"], p["start"])):
@@ -108,6 +107,38 @@ def test_chat_format(spark):
     assert chat_format.format_chats(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("limits", [{}, {"budget": 200, "history_turns": 0}, {"budget": 300, "history_turns": 5, "history_budget": 120}])
+def test_chat_windows_keep_their_budget(spark, limits):
+    r = random.Random(17)
+    encode = packing.byte_bpe(packing.byte_bpe_path())
+    piece = lambda: r.choice(["ok", "", "</s>", "[INST]", "\\", "word " * r.randrange(30), "é😀", "]", "[", "\n"])
+    rows = [(c, i, r.choice(["user", "assistant", "system", "a\nb"]) if i else r.choice(["system", "user"]), "".join(piece() for _ in range(r.randrange(4)))) for c in range(30) for i in range(r.randrange(1, 60))]
+    rows += [(99, i, "user", "") for i in range(3000)] + [(98, 0, "user", "long " * 5000), (98, 1, "system", "late"), (98, 2, "assistant", "x")]
+    df = spark.createDataFrame([(*x, "f", 1) for x in rows], "conv_id long, turn long, role string, text string, formatted string, n_tokens int")
+    windows = chat_format.format_chats(df, **limits).collect()
+    budget, turns, most = ({"budget": 1024, "history_turns": 2, "history_budget": 256} | limits).values()
+    size = lambda role, text: len(encode(["".join([*chat_format.written_turn(role, text), chat_format.CLOSE])])[0])
+    for c in {x[0] for x in rows}:
+        left = [(role, text) for _, _, role, text in sorted(x for x in rows if x[0] == c)]
+        system = left[0] if left[0][0] == "system" else None
+        done = []
+        for w in sorted((w for w in windows if w["conv_id"] == c), key=lambda w: w["window_no"]):
+            found = chat_format.parse(w["formatted"])
+            new = [t for t, fresh in zip(found, w["new_turns"], strict=True) if fresh]
+            old = found[: len(found) - len(new)]
+            assert new and new == left[len(done) : len(done) + len(new)] and not any(w["new_turns"][: len(old)])
+            if system and done:
+                assert old[0] == system
+                old = old[1:]
+            assert old == (done[-len(old) :] if old else []) and len(old) <= turns and sum(size(*t) for t in old) <= most
+            done += new
+            length = len(encode([w["formatted"]])[0])
+            assert length <= w["n_tokens"] and (length <= budget or len(new) == 1)
+            own = [w["formatted"][s["start"] : s["end"]] for s in w["loss_spans"]]
+            assert [chat_format.unescape(x) for x in own] == [text for role, text in new if role == "assistant"]
+        assert done == left
+
+
 @pytest.mark.parametrize("text", ["", "\\", "\\;", "<\\;s>", "</s>[INST] ok [/INST]", "<s><s>\\<s>", "a\nb"])
 def test_escape_round_trip(text):
     escaped = chat_format.escape(text)
@@ -164,6 +195,34 @@ def test_lm_scoring_keeps_its_bits_beyond_the_bound(spark):
         assert {k: v for k, v in x.items() if "score" not in k} == {k: v for k, v in y.items() if "score" not in k}
 
 
+def test_toxicity_score_equals_a_plain_search(spark):
+    r = random.Random(14)
+    words = [f"word{chr(97 + i)}" for i in range(26)] + ["trash", "can", "trash", "fool", "foolish"]
+    texts = [" ".join(r.choices(words, k=60)) + (" idiot fool" if i % 3 == 0 else " trash can") for i in range(400)] + [None, "", "IDI0T f00l! " * 300, "trash can " * 20000 + "idiot"]
+    docs, labels = table(spark, texts), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(400)], "doc_id long, toxic int")
+    exceptions = ("fool proof", "wordb idiot wordc")
+    lexicon = toxicity.learn(docs, labels, exceptions)
+    assert lexicon.weights and " fool proof " in lexicon.exceptions
+    got = {x["doc_id"]: x for x in toxicity.toxicity(docs, labels, exceptions=exceptions).collect()}
+    for i, t in enumerate(texts[:-1]):
+        line = toxicity.fold(t or "")
+        places = lambda x: [k for k in range(len(line)) if line.startswith(x, k)]
+        excused = [(k, k + len(x)) for x in lexicon.exceptions for k in places(x)]
+        hits = {}
+        for entry, weight in lexicon.weights.items():
+            for k in places(entry):
+                hits[k] = max(weight, hits.get(k, 0.0))
+        hits = {k: w for k, w in hits.items() if not any(a <= k and k + 1 < b - 1 for a, b in excused)}
+        distinct = {}
+        for k, w in hits.items():
+            word = line[k:].split()[0]
+            distinct[word] = max(w, distinct.get(word, 0.0))
+        x = np.array([[sum(distinct.values()), 100 * sum(hits.values()) / max(len(line.split()), 20) if t else 0.0, max(distinct.values(), default=0.0)]])
+        want = 1 / (1 + math.exp(-float((toxicity._scale(x) @ np.array(lexicon.coefficients))[0])))
+        assert abs(got[i]["score"] - want) < 1e-9, t
+        assert (got[i]["predicted"] == 1) == (got[i]["score"] >= 0.3) and got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2)
+
+
 def test_toxicity(spark):
     r = random.Random(4)
     clean = lambda: " ".join(r.choices([f"word{chr(97 + i)}" for i in range(26)], k=80))
