@@ -1,17 +1,22 @@
 """Main text of web pages by tag-path ratios.
 
-The page is scanned once into text nodes, each with the path of tags (and classes) from the root.
-Text length, punctuation and link text are summed for each path; a node's value is its path's mean
-length times mean punctuation, times the part that isn't link text. Values are smoothed over
-neighbouring nodes, fused with the unsmoothed ones, and nodes over a threshold (a part of the
-values' deviation) are content. The main element is the deepest one that holds nearly all content
-text, or the article or main element around it; all its text is the result, except parts that
-their tag, role or class marks as menus, headers, footers, sidebars, notices, adverts, forms or
-comments. Those parts also take no part in the ratios.
-
-Pages are independent rows: no shuffle, and work is linear in a page's length. Null or empty pages
-give an empty text. Unclosed and misnested tags are closed as browsers do for paragraphs, list
-items and table cells; an unclosed script or comment ends with the page.
+The page is scanned once into blocks of text, each with the path of block-level tags (and classes) from
+the root. Text length, punctuation and link text are summed for each path; a block's value is its path's
+mean length times mean punctuation, times the part that isn't link text. Values are smoothed over
+neighbouring blocks, fused with the unsmoothed ones, and weighted by what the path's tags, roles and class
+names say of it (a class name alone never decides). Blocks over a threshold, a part of the values'
+deviation, are content, and all of them are the result.
+
+Short blocks of prose have low ratios, so those whose tag says what they are (headings, list items, table
+cells, captions, quotations, paragraphs) are content too inside the region of the content: the deepest
+element with nearly all of its text, or the article or main element around it; and so is a heading right
+before content. Others there, such as an advert in an element without a name, are not. Menus, headers and
+footers, sidebars, forms, scripts and styles, told by their tags and roles, have the weight zero.
+
+Pages are independent rows: no shuffle, and work is linear in a page's length, whatever its nesting. Null
+or empty pages give an empty text; repeated rows are extracted again; null ids and urls stay; an empty
+table gives no rows; extra columns are ignored. Unclosed and misnested tags are closed as browsers do for
+paragraphs, list items and table cells; an unclosed script or comment ends with the page.
 """
 
 from __future__ import annotations
@@ -24,49 +29,97 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataline.llm.text_arrays import slices
+
 # What HTML says of elements.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg iframe object select option button math canvas audio video".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-BOILERPLATE_TAGS = frozenset("head nav header footer aside form dialog menu fieldset".split())
+RAW = frozenset("script style noscript template textarea title svg iframe select option audio video".split())
+BLOCKS = frozenset(
+    "address article aside blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li "
+    "link listing main menu meta nav noframes ol optgroup p param plaintext pre search section summary table tbody td tfoot th thead tr ul xmp".split()
+) | RAW
+BOILERPLATE_TAGS = frozenset("head nav footer aside form dialog menu fieldset button".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
+PROSE_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th caption figcaption blockquote pre".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Closed by the start of these.
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
-BOILERPLATE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|sidebar|side|breadcrumbs?|header|masthead|footer|foot|cookies?|consent|gdpr|notices?|notification|popup|modal|"
-    r"overlay|newsletter|subscribe|signup|login|comments?|disqus|replies|respond|share|sharing|social|related|recommended|widget|toolbar|pagination|pager|copyright|legal)(?:$|[\s_-])",
+#: Words in class names and ids that tell against content, and such as tell little; their weights.
+AGAINST = re.compile(
+    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|sidebar|breadcrumbs?|masthead|footer|cookies?|consent|gdpr|notices?|notification|popup|modal|"
+    r"overlay|newsletter|subscribe|signup|login|comments?|disqus|discussion|replies|share|sharing|social|recommended|widget|toolbar|pagination|pager)(?:$|[\s_-])",
     re.I,
 )
+DOUBTFUL = re.compile(r"(?:^|[\s_-])(?:header|foot|side|related|respond|copyright|legal)(?:$|[\s_-])", re.I)
+AGAINST_WEIGHT, DOUBTFUL_WEIGHT = 0.05, 0.5
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?]")
 _SPACES = re.compile(r"\s+")
 
-#: Of the values' standard deviation: the threshold; of the content text: what the main element must hold.
-DEVIATION, MOSTLY = 0.3, 0.9
+#: Of the values' standard deviation: the threshold; of the content's text: what its region must hold.
+DEVIATION, MOSTLY = 0.6, 0.9
 
 
 class Element:
-    __slots__ = ("tag", "parent", "depth", "path", "skip", "link", "block")
+    __slots__ = ("tag", "parent", "depth", "path", "weight", "link", "base", "solid", "article")
 
-    def __init__(self, tag: str, parent: Element | None, names: str, skip: bool, path: int, block: int):
+    def __init__(self, tag: str, parent: Element | None, path: int, weight: float):
         self.tag, self.parent, self.depth = tag, parent, parent.depth + 1 if parent else 0
-        self.path, self.skip, self.link, self.block = path, skip, tag == "a" or bool(parent and parent.link), block
+        self.path, self.weight, self.link = path, weight, tag == "a" or bool(parent and parent.link)
+        #: The nearest element, itself included, that isn't inline; and the nearest that is no paragraph either.
+        self.base: Element = parent.base if parent and tag not in BLOCKS else self
+        self.solid: Element = parent.solid if parent and (tag not in BLOCKS or tag == "p") else self
+        self.article: Element | None = self if tag in ("article", "main") else parent.article if parent else None
+
 
+def _weight(tag: str, names: str, parent: Element) -> float:
+    """What a tag, its role and its names leave of its parent's weight."""
+    if tag in BOILERPLATE_TAGS:
+        return 0.0
+    if tag == "header":
+        return parent.weight * DOUBTFUL_WEIGHT if parent.article else 0.0
+    if not names or tag in ("html", "body", "article", "main"):
+        return parent.weight
+    if any(w in BOILERPLATE_ROLES for w in names.lower().split()):
+        return 0.0
+    return parent.weight * (AGAINST_WEIGHT if AGAINST.search(names) else DOUBTFUL_WEIGHT if DOUBTFUL.search(names) else 1.0)
 
-def _scan(page: str) -> list[tuple[Element, int, str]]:
-    """Text nodes in page order: element, number of the block, decoded text. Marked parts are left out."""
+
+def _scan(page: str) -> list[tuple[Element, str, int]]:
+    """Blocks in page order: element, text with single spaces, characters of it that are link text. Parts of no weight are left out."""
     paths: dict[tuple[int, str], int] = {}
-    at = Element("", None, "", False, 0, 0)
-    blocks = 0
-    nodes: list[tuple[Element, int, str]] = []
+    at = Element("", None, 0, 1.0)
+    opened: dict[str, int] = {}
+    blocks: list[tuple[Element, str, int]] = []
+    parts: list[str] = []
+    linked = 0
     here, n = 0, len(page)
     lower = None
 
     def text(a: int, b: int) -> None:
-        if a < b and not at.skip:
-            nodes.append((at, blocks, entities.unescape(page[a:b])))
+        nonlocal linked
+        if a < b and at.weight:
+            s = entities.unescape(page[a:b])
+            parts.append(s)
+            if at.link:
+                linked += len(s.strip())
+
+    def cut() -> None:
+        nonlocal linked
+        if parts:
+            line = _SPACES.sub(" ", "".join(parts)).strip()
+            if line:
+                blocks.append((at.base, line, linked))
+            parts.clear()
+        linked = 0
+
+    def close(to: Element) -> None:
+        nonlocal at
+        while at is not to:
+            opened[at.tag] -= 1
+            at = at.parent
 
     while here < n:
         m = _TOKEN.search(page, here)
@@ -78,35 +131,24 @@ def _scan(page: str) -> list[tuple[Element, int, str]]:
         closing, opening = m[1], m[2]
         if closing:
             tag = closing.lower()
-            x = at
-            while x.parent and x.tag != tag:
-                x = x.parent
-            if x.parent:
-                at = x.parent
-            if tag not in INLINE:
-                blocks += 1
-        elif opening:
-            tag = opening.lower()
-            if tag not in INLINE:
-                blocks += 1
+            if tag in BLOCKS:
+                cut()
+            if opened.get(tag):  # else it closes nothing
                 x = at
-                while x.parent and (x.tag in INLINE or x.tag == "p"):  # a block ends a paragraph, and what is open in it
+                while x.tag != tag:
                     x = x.parent
-                    if x.tag != "p" and x.tag not in INLINE:
-                        break
-                inner = at
-                while inner.parent and inner.tag in INLINE:
-                    inner = inner.parent
-                if inner.tag == "p":
-                    at = x
-                for y in (at, inner):
-                    while y.parent and y.tag in INLINE:
-                        y = y.parent
-                    if tag in CLOSED_BY.get(y.tag, ()):
-                        at = y.parent
-                        break
-            elif tag == "br" and not at.skip:
-                nodes.append((at, blocks, " "))
+                if tag not in BLOCKS or x.base is x:
+                    close(x.parent)
+        elif opening:
+            tag = opening.lower()
+            if tag in BLOCKS:
+                cut()
+                if at.base.tag == "p":  # a block ends a paragraph, and what is open in it
+                    close(at.solid)
+                if tag in CLOSED_BY.get(at.base.tag, ()):
+                    close(at.base.parent)
+            elif tag == "br" and at.weight:
+                parts.append(" ")
             attributes = m[3] or ""
             if tag in VOID or attributes.endswith("/"):
                 continue
@@ -115,100 +157,99 @@ def _scan(page: str) -> list[tuple[Element, int, str]]:
                 end = lower.find(f"</{tag}", here)
                 here = n if end < 0 else (page.find(">", end) + 1 or n)
                 continue
-            names = " ".join(a[1] or a[2] or a[3] for a in _NAMES.findall(attributes)) if "=" in attributes else ""
-            skip = at.skip or tag in BOILERPLATE_TAGS
-            if names and not skip and tag not in ("html", "body", "article", "main"):
-                skip = bool(BOILERPLATE_NAMES.search(names)) or any(w in BOILERPLATE_ROLES for w in names.lower().split())
-            key = at.path, f"{tag}.{names}"
-            at = Element(tag, at, names, skip, paths.setdefault(key, len(paths) + 1), blocks)
-    return nodes
-
-
-def _content(nodes: list[tuple[Element, int, str]]) -> list[int]:
-    """The numbers of nodes whose tag path has the ratios of content."""
-    length: dict[int, int] = {}
-    marks: dict[int, int] = {}
-    count: dict[int, int] = {}
-    linked: dict[int, int] = {}
-    sizes = []
-    for element, _, s in nodes:
-        n, p = len(s.strip()), element.path
-        sizes.append(n)
-        if n:
-            length[p] = length.get(p, 0) + n
-            marks[p] = marks.get(p, 0) + len(_PUNCTUATION.findall(s))
-            count[p] = count.get(p, 0) + 1
-            linked[p] = linked.get(p, 0) + n * element.link
-    value = {p: (length[p] / count[p]) * (1 + marks[p] / count[p]) * (1 - linked[p] / length[p]) for p in length}
-    full = [i for i, n in enumerate(sizes) if n]
-    raw = [value[nodes[i][0].path] for i in full]
-    if not raw:
-        return []
+            if tag not in BLOCKS:
+                at = Element(tag, at, at.path, 0.0 if tag in BOILERPLATE_TAGS else at.weight)
+            else:
+                names = " ".join(a[1] or a[2] or a[3] for a in _NAMES.findall(attributes)) if "=" in attributes else ""
+                at = Element(tag, at, paths.setdefault((at.path, f"{tag}.{names}"), len(paths) + 1), _weight(tag, names, at))
+            opened[tag] = opened.get(tag, 0) + 1
+    cut()
+    return blocks
+
+
+def _content(blocks: list[tuple[Element, str, int]]) -> list[bool]:
+    """Whether each block has the ratios of content."""
+    sums: dict[int, list[int]] = {}
+    for element, s, linked in blocks:
+        path = sums.setdefault(element.path, [0, 0, 0, 0])
+        for i, x in enumerate((len(s), len(_PUNCTUATION.findall(s)), 1, min(linked, len(s)))):
+            path[i] += x
+    value = {p: (length / count) * (1 + marks / count) * (1 - linked / length) for p, (length, marks, count, linked) in sums.items()}
+    raw = [value[element.path] for element, _, _ in blocks]
     # a window of three, and the geometric mean of smoothed and raw values
     smooth = [sum(raw[max(0, i - 1) : i + 2]) / len(raw[max(0, i - 1) : i + 2]) for i in range(len(raw))]
-    fused = [(a * b) ** 0.5 for a, b in zip(raw, smooth, strict=True)]
-    mean = sum(fused) / len(fused)
-    least = DEVIATION * (sum((x - mean) ** 2 for x in fused) / len(fused)) ** 0.5
-    return [i for i, x in zip(full, fused, strict=True) if x >= least and x > 0] or full
+    # where there is an article, names tell more against what is outside
+    article = any(element.article for element, _, _ in blocks)
+    weights = [element.weight * (AGAINST_WEIGHT if article and not element.article and element.weight < 1 else 1) for element, _, _ in blocks]
+    fused = [(a * b) ** 0.5 * w for a, b, w in zip(raw, smooth, weights, strict=True)]
+    mean = sum(fused) / max(len(fused), 1)
+    least = DEVIATION * (sum((x - mean) ** 2 for x in fused) / max(len(fused), 1)) ** 0.5
+    # names against a block count until its value is near the mean in spite of them
+    found = [x > 0 and x >= (least if element.weight > AGAINST_WEIGHT else max(least, 0.9 * mean)) for x, (element, _, _) in zip(fused, blocks, strict=True)]
+    return found if any(found) else [True] * len(found)
+
+
+def _region(blocks: list[tuple[Element, str, int]], content: list[bool]) -> Element:
+    """The deepest element that holds nearly all content text, or the article or main element around it."""
+    held: dict[Element, int] = {}
+    levels: dict[int, list[Element]] = {}
+
+    def add(x: Element, n: int) -> None:
+        if x not in held:
+            levels.setdefault(x.depth, []).append(x)
+        held[x] = held.get(x, 0) + n
+
+    for (element, s, _), good in zip(blocks, content, strict=True):
+        if good:
+            add(element, len(s))
+    total = sum(held.values())
+    # from the deepest on, each element's text is added to its parent's once
+    for depth in range(max(levels), -1, -1):
+        for x in levels.get(depth, ()):
+            if held[x] >= MOSTLY * total:
+                return x.article or x
+            add(x.parent, held[x])
+    raise AssertionError("the root holds everything")
+
+
+def _inside(region: Element, x: Element, known: dict[Element, bool]) -> bool:
+    way = []
+    while x is not None and x not in known:
+        way.append(x)
+        x = x.parent
+    found = known[x] if x is not None else False
+    for y in way:
+        known[y] = found
+    return found
 
 
 def main_text(page: str | None) -> str:
     """The main text of one page: a line for each block."""
-    if not page:
-        return ""
-    nodes = _scan(page)
-    content = _content(nodes)
-    if not content:
+    blocks = _scan(page) if page else []
+    if not blocks:
         return ""
-    held: dict[Element, int] = {}
-    weights: dict[Element, int] = {}
-    for i in content:
-        x = nodes[i][0]
-        weights[x] = weights.get(x, 0) + len(nodes[i][2].strip())
-    for x, w in weights.items():
-        while x:
-            held[x] = held.get(x, 0) + w
-            x = x.parent
-    total = sum(weights.values())
-    main = max((x for x, w in held.items() if w >= MOSTLY * total), key=lambda x: x.depth)
-    x = main
-    while x and x.tag not in ("article", "main"):
-        x = x.parent
-    if x:
-        main = x
-    else:
-        while main.parent and (main.tag in INLINE or re.fullmatch("p|h[1-6]|li|blockquote|pre|td|tr|ul|ol|tbody|dd|dt", main.tag)):
-            main = main.parent
-    inside: dict[Element, bool] = {main: True}
-
-    def within(x: Element) -> bool:
-        way = []
-        while x is not None and x not in inside:
-            way.append(x)
-            x = x.parent
-        known = inside[x] if x is not None else False
-        for y in way:
-            inside[y] = known
-        return known
-
-    lines: list[str] = []
-    block, parts = -1, []
-    for element, number, s in [*nodes, (main, -2, "")]:
-        if number != block:
-            line = _SPACES.sub(" ", "".join(parts)).strip()
-            if line:
-                lines.append(line)
-            block, parts = number, []
-        if number >= 0 and within(element):
-            parts.append(s)
-    return "\n".join(lines)
+    content = _content(blocks)
+    region = _region(blocks, content)
+    if region.tag in ("p", "li", "td", "th", "dt", "dd", *HEADINGS) and region.parent:
+        region = region.parent
+    known = {region: True}
+    out: list[str] = []
+    following = False
+    for (element, s, linked), good in zip(reversed(blocks), reversed(content), strict=True):
+        if not good and element.tag in PROSE_TAGS and 2 * linked <= len(s):
+            doubtful = element.weight >= DOUBTFUL_WEIGHT and (element.weight == 1 or region.tag not in ("", "html", "body"))
+            good = (doubtful and _inside(region, element, known)) or (following and element.weight == 1 and element.tag in HEADINGS)
+        following = good
+        if good:
+            out.append(s)
+    return "\n".join(reversed(out))
 
 
 def extract(pages: DataFrame, *, html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars for each row of pages."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2, 500):
             texts = [main_text(x) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 

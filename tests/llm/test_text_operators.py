@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -250,10 +251,70 @@ PAGES = [
 ]
 
 
+PAGES += [
+    ("<article><div class='post-header'><h1>Title</h1></div><p>Long prose, that goes on, and on; it has commas. And more.</p><div class=related-work><p>Prior prose, with a comma, is here. It is long enough.</p></div>"
+     "<div>Buy now</div><p>Text with <math><mi>x</mi></math> inside, <foo-bar>yes</foo-bar>.</p><p class=legal>Law, long, and dull; the article cites it. Fine.</p><button>Go</button></article>",
+     "Title\nLong prose, that goes on, and on; it has commas. And more.\nPrior prose, with a comma, is here. It is long enough.\nText with x inside, yes.\nLaw, long, and dull; the article cites it. Fine."),
+    ("<div class=ad>Buy this, now, and that. Today!</div><article><h1>A</h1><p>B</article>", "A\nB"),
+    ("<header><h1>Site</h1></header><h2>Head</h2><div><p>Some prose, with commas, and dots. More of it.</p><p>Short.</p></div><footer>c</footer>", "Head\nSome prose, with commas, and dots. More of it.\nShort."),
+]
+
+
 def test_html_extraction(spark):
-    df = spark.createDataFrame([(i, "u", h, "t") for i, (h, _) in enumerate(PAGES)], "page_id long, url string, html string, text string")
+    df = spark.createDataFrame([(i, "u", h, "t", 1) for i, (h, _) in enumerate([*PAGES, PAGES[0]])], "page_id long, url string, html string, text string, n_chars int")
     for r in html_extraction.extract(df).collect():
-        assert r["text"] == PAGES[r["page_id"]][1] and r["n_chars"] == len(r["text"])
+        assert r["text"] == [*PAGES, PAGES[0]][r["page_id"]][1] and r["n_chars"] == len(r["text"])
+    assert html_extraction.extract(df.limit(0)).count() == 0
+    assert html_extraction.extract(spark.createDataFrame([(None, None, "<p>x")], "page_id long, url string, html string")).first()[:3] == (None, None, "x")
+
+
+def restated(tree):
+    """The operator's rules on a tree of (tag, class, children or text), written down plainly."""
+    blocks = []
+
+    def walk(node, way):
+        tag, name, inner = node
+        way = [*way, (tag, name)]
+        if isinstance(inner, str):
+            blocks.append((way, inner))
+        else:
+            for child in inner:
+                walk(child, way)
+
+    walk(tree, [])
+    blocks = [(way, s) for way, s in blocks if not any(t in html_extraction.BOILERPLATE_TAGS for t, _ in way)]
+    value = {}
+    for way, _ in blocks:
+        own = [s for w, s in blocks if w == way]
+        value[tuple(way)] = sum(map(len, own)) / len(own) * (1 + sum(c in ".,;:!?" for s in own for c in s) / len(own))
+    raw = [value[tuple(way)] for way, _ in blocks]
+    weight = [0.05 ** (2 * sum(name in ("ad", "comments") for _, name in way)) for way, _ in blocks]
+    near = [raw[max(0, i - 1) : i + 2] for i in range(len(raw))]
+    fused = [(x * sum(y) / len(y)) ** 0.5 * w for x, y, w in zip(raw, near, weight)]
+    mean = sum(fused) / len(fused)
+    least = 0.6 * (sum((x - mean) ** 2 for x in fused) / len(fused)) ** 0.5
+    good = [x >= (least if w == 1 else max(least, 0.9 * mean)) for x, w in zip(fused, weight)]
+    region = next(w[: i + 1] for w, _ in blocks for i, x in enumerate(w) if x[0] == "article")
+    return [s for g, w, (way, s) in zip(good, weight, blocks) if g or (w == 1 and way[: len(region)] == region and way[-1][0] in html_extraction.PROSE_TAGS)]
+
+
+def test_html_extraction_equals_a_restatement():
+    r = random.Random(11)
+    say = lambda least, most: " ".join("".join(r.choices("abcdef", k=r.randrange(1, 8))) + r.choice(["", "", "", ",", "."]) for _ in range(r.randrange(least, most)))
+    shown = lambda node: f"<{node[0]}" + (f' class="{node[1]}"' if node[1] else "") + f">{node[2] if isinstance(node[2], str) else ''.join(map(shown, node[2]))}</{node[0]}>"
+    for _ in range(300):
+        inner = [("h1", "", say(2, 9))]
+        for _ in range(r.randrange(2, 12)):
+            inner.append(r.choice([("p", "", say(20, 90)), ("p", "", say(1, 5)), ("ul", "", [("li", "", say(1, 6)) for _ in range(3)]), ("div", "", say(1, 4)), ("section", "", [("h2", "", say(1, 4)), ("p", "", say(30, 60))])]))
+        page = ("body", "", [("nav", "", [("p", "", say(3, 9))]), ("div", "ad", say(3, 20)), ("article", "", inner), ("div", "comments", [("p", "", say(3, 25)) for _ in range(2)]), ("footer", "", say(3, 9))])
+        assert html_extraction.main_text(shown(page)).split("\n") == restated(page)
+
+
+def test_html_extraction_is_linear():
+    for x in ("<div>" * 40000 + "deep", "<b>" * 30000 + "<div>x</div>" * 30000, "<i>x</p>" * 30000, "<li>a<ul>" * 30000, "<span>" * 30000 + "</div>" * 30000):
+        began = time.time()
+        html_extraction.main_text(x)
+        assert time.time() - began < 10, x[:20]
 
 
 BASE = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
