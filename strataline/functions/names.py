@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from strataline.functions.sources import matches
+
 # Characters that no portable file name has.
 UNPORTABLE = r'<>:"/\|?*%'
 
@@ -89,11 +91,7 @@ def between(text: Column, begin: str, end: str) -> Column:
 
 def occurrences(text: Column, pattern: str) -> Column:
     """Array of (at, found): every match of a pattern that matches no empty text, with its offset in characters."""
-    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    gaps = F.transform(F.split(text, pattern, -1), lambda s: F.length(s))
-    total = lambda xs, n: F.aggregate(F.slice(xs, F.lit(1), n), F.lit(0), lambda a, x: a + x)
-    lengths = F.transform(found, lambda s: F.length(s))
-    return F.transform(found, lambda s, i: F.struct((total(gaps, i + 1) + total(lengths, i)).alias("at"), s.alias("found")))
+    return F.transform(matches(text, pattern), lambda m: F.struct(m["at"].alias("at"), m["found"].alias("found")))
 
 
 def unsupported_numbers(prose: Column, allowed: Column) -> Column:

@@ -8,14 +8,17 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def ready(spark: SparkSession) -> None:
-    """Makes checkpoint() usable where no folder is configured (tests, one machine)."""
+    """Makes checkpoint() usable: with spark.checkpoint.dir, or, in local mode only (tests), a temporary folder."""
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp())
 
 
 def merge_nodes(nodes: DataFrame, key: str, seq: str, scalars: list[str], sets: list[str]) -> DataFrame:
@@ -97,13 +100,17 @@ def topological_levels(edges: DataFrame, before: str, after: str) -> DataFrame:
 
 
 def greedy_match(scored: DataFrame, left: str, right: str, score: str) -> DataFrame:
-    """One-to-one pairs by falling score, ties by the ids: in each round pairs that are best for both sides are taken."""
+    """One-to-one pairs by falling score, ties by the ids: in each round pairs that are best for both sides are taken.
+
+    The best of each side is an aggregate, combined before the shuffle, so a side with very many pairs is no one task's.
+    """
     ready(scored.sparkSession)
     rest, out = scored.select(left, right, score).checkpoint(), None
-    order = [F.desc(score), F.col(left), F.col(right)]
+    rank = F.struct((-F.col(score)).alias("s"), F.col(left).alias("l"), F.col(right).alias("r"))
     while out is None or not rest.isEmpty():
-        best = rest.withColumns({"_l": F.row_number().over(Window.partitionBy(left).orderBy(*order)), "_r": F.row_number().over(Window.partitionBy(right).orderBy(*order))})
-        taken = best.filter("_l = 1 and _r = 1").drop("_l", "_r").checkpoint()
+        best = lambda side: rest.groupBy(side).agg(F.min(rank).alias("_best")).select("_best.*")  # noqa: B023, E731
+        both = best(left).intersect(best(right))
+        taken = both.select(F.col("l").alias(left), F.col("r").alias(right), (-F.col("s")).alias(score)).checkpoint()
         out = taken if out is None else out.unionByName(taken)
         rest = rest.join(taken.select(left), left, "left_anti").join(taken.select(right), right, "left_anti").checkpoint()
     return out

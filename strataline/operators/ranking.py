@@ -6,9 +6,12 @@ partition key are avoided: totals come from an aggregate, top lists from TakeOrd
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 
 def first_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int = 1, rank: str | None = None) -> DataFrame:
@@ -50,17 +53,24 @@ def head_tail(df: DataFrame, group: str, order: list[Column], most: int, head: i
 def budgeted(df: DataFrame, group: str, order: str, size: str, budget: int) -> DataFrame:
     """Adds taken: rows in order are taken while they fit in what is left of the group's budget; one that doesn't fit is skipped.
 
-    The fold depends on its own outcome, so it is not a window; a group's (order, size) columns go through one task.
+    The fold depends on its own outcome, so it is not a window. Groups are dealt out and sorted, and a task streams over
+    them: its state is what is left of one group's budget, whatever the group's size.
     """
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, left, taken = rows.sort_values(order), budget, []
-        for n in rows[size]:
-            taken.append(bool(n <= left))
-            left -= n if n <= left else 0
-        return rows.assign(taken=taken)
-
-    return df.select(group, order, size).groupBy(group).applyInPandas(fold, f"{group} {dict(df.dtypes)[group]}, {order} {dict(df.dtypes)[order]}, {size} {dict(df.dtypes)[size]}, taken boolean")
+    schema = StructType([*df.select(group, order, size).schema, StructField("taken", BooleanType())])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, left = object(), budget
+        for batch in batches:
+            taken = []
+            for key, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if key != now:
+                    now, left = key, budget
+                fits = n is not None and n <= left
+                left -= n if fits else 0
+                taken.append(fits)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(taken, pa.bool_())], schema=pa.schema([*batch.schema, pa.field("taken", pa.bool_())]))
+
+    return df.select(group, order, size).repartition(group).sortWithinPartitions(group, order).mapInArrow(fold, schema)
 
 
 def with_grand_total(df: DataFrame, key: str, sums: dict[str, Column]) -> DataFrame:

@@ -15,8 +15,8 @@ def _named(segs: Column) -> Column:
 def matched(routes: DataFrame, calls: DataFrame) -> DataFrame:
     """Route rows with each call that they match, by columns r and c of segments.
 
-    Calls are expanded to all their prefixes in which any segments may be a wildcard only where the
-    route has one; so the join is on length and on the first named segment of the route, not a cross join.
+    Both are expanded to their named segments with their places: a route and a call that match agree in one of them,
+    so the join is on place and segment, not a cross join. Where that is common, such pairs are all compared.
     """
     first = lambda segs: F.filter(F.transform(segs, lambda s, i: F.struct(i.alias("at"), s.alias("s"))), lambda x: x["s"] != "*")
     r = routes.withColumn("r", segments(F.col("path"))).filter(_named(F.col("r"))).withColumn("_key", F.explode(first(F.col("r"))))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataline.functions import sources as S
 from strataline.functions import text as T
 from strataline.operators import compare, graph, history, ledger, ranking, routes
 from strataline.plans.registry import query
@@ -336,7 +337,7 @@ def route_linkage(table):
 
 @query()
 def redaction(table):
-    return table("documents").select("doc_id", T.redact(F.col("text")).alias("text")).withColumn("n", F.regexp_count("text", F.lit(r"\[REDACTED\]"))).filter("n > 0").select("doc_id", "n", F.sha2("text", 256).alias("sha"))
+    return table("documents").select("doc_id", T.redact(F.col("text")).alias("text")).withColumn("n", F.regexp_count("text", F.lit("<REDACTED>"))).filter("n > 0").select("doc_id", "n", F.sha2("text", 256).alias("sha"))
 
 
 @query("""SELECT conv_id, turn, length(text) AS chars, ceil(length(text) / 4.0)::BIGINT AS tokens, len(list_filter(string_split_regex(text, '[ \\t\\n\\r\\f\\v]+'), lambda s: s <> ''))::INT AS words, 'c-' || substr(sha1(conv_id || chr(0) || turn), 1, 16) AS id FROM conversations""")
@@ -359,7 +360,7 @@ def numbers_and_json(table):
 FROM (SELECT CASE page_id % 4 WHEN 0 THEN 'node_modules/x.js' WHEN 1 THEN 'a/dist/x.js' WHEN 2 THEN 'svc/run_test.go' ELSE 'svc/run.go' END AS path FROM pages) GROUP BY 1, 3""")
 def exclusions(table):
     path = F.element_at(F.array(*map(F.lit, ("node_modules/x.js", "a/dist/x.js", "svc/run_test.go", "svc/run.go"))), (F.col("page_id") % 4 + 1).cast("int"))
-    return table("pages").select(path.alias("path")).groupBy("path", T.exclusion_reason(F.col("path")).alias("reason")).agg(F.count("*").alias("files"))
+    return table("pages").select(path.alias("path")).groupBy("path", S.exclusion_reason(F.col("path")).alias("reason")).agg(F.count("*").alias("files"))
 
 
 # Event log

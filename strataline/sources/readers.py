@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strataline.functions.sources import is_bot
+
 CALL_EDGE = "lang string, resolution string, kind string, caller_symbol string, caller_citation string, callee_symbol string, callee_citation string, callsite_citation string"
 CALLGRAPH = "dyn string, descr string, caller_sym string, caller_pkg string, caller_decl string, callsite string, callee_sym string, callee_pkg string, callee_decl string"
 
@@ -21,9 +23,10 @@ def callgraph(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).filter(F.size(parts) >= len(names)).select(*[parts[i].alias(n) for i, n in enumerate(names)])
 
 
-def numstat(spark: SparkSession, path: str, marker: str = "@@") -> DataFrame:
+def numstat(spark: SparkSession, path: str, marker: str = "@@", *, bots: bool = True) -> DataFrame:
     """file, commit_no, name, email, added, deleted, path from `marker<TAB>name<TAB>email` headers and numstat lines; - counts as 0.
 
+    Without bots, commits of automatic committers are left out.
     A header holds for the lines below it in its file, so files are read whole and cut into numbered lines.
     """
     files = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
@@ -33,6 +36,8 @@ def numstat(spark: SparkSession, path: str, marker: str = "@@") -> DataFrame:
     part, head = F.split("line", "\t"), F.split("header", "\t")
     number = lambda c: F.coalesce(c.try_cast("long"), F.lit(0))
     rows = held.filter(~F.col("head") & (F.size(part) == 3) & F.col("header").isNotNull())
+    if not bots:
+        rows = rows.filter(~is_bot(head[1], head[2]))
     return rows.select("file", "commit_no", head[1].alias("name"), head[2].alias("email"), number(part[0]).alias("added"), number(part[1]).alias("deleted"), renamed(part[2]).alias("path"))
 
 
@@ -43,9 +48,20 @@ def renamed(path):
 
 
 def json_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Objects written one after the other with no separator: cut where a closing brace at the start of a line meets an opening one."""
+    """Objects written one after the other with no separator: cut where a brace closes the outermost object, outside strings."""
     files = spark.read.text(path, wholetext=True)
-    objects = files.select(F.explode(F.split("value", r"(?<=\})\s*(?=\{)")).alias("one"))
+    # pieces of the text: strings (with escapes), braces, and what is between them
+    pieces = F.regexp_extract_all("value", F.lit(r'(?s)"(?:[^"\\]|\\.)*+"?|[{}]|[^"{}]++'), F.lit(0))
+
+    def step(acc: Column, p: Column) -> Column:
+        depth = acc["depth"] + F.when(p == "{", 1).when(p == "}", -1).otherwise(0)
+        # an object's number is that of the closing braces at depth zero before it
+        return F.struct(depth.alias("depth"), (acc["at"] + F.length(p)).alias("at"), F.when((p == "}") & (depth == 0), F.concat(acc["cuts"], F.array(acc["at"] + 1))).otherwise(acc["cuts"]).alias("cuts"))
+
+    begin = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("cuts"))
+    cut = files.select("value", F.aggregate(pieces, begin, step, lambda acc: acc["cuts"]).alias("cuts"))
+    start = F.coalesce(F.get("cuts", F.col("i") - 1), F.lit(0))
+    objects = cut.select("value", "cuts", F.posexplode("cuts").alias("i", "end")).select(F.substring("value", start + 1, F.col("end") - start).alias("one"))
     return objects.select(F.from_json("one", schema).alias("o")).filter("o is not null").select("o.*")
 
 

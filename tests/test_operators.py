@@ -1,8 +1,10 @@
 import random
 
 from pyspark.sql import functions as F
+from strataline.functions import sources as S
 from strataline.functions import text as T
 from strataline.operators import compare, graph, history, ranking, routes
+from strataline.operators import extraction as X
 from strataline.sources import readers
 from strataline.streaming import ledger_stream
 
@@ -60,21 +62,40 @@ def test_self_diff_is_empty(spark):
 
 def test_routes(spark):
     make = lambda *p: spark.createDataFrame([p], "a string, b string").select(T.segments(F.col("a")).alias("a"), T.segments(F.col("b")).alias("b"))
-    assert make("/v2/leaves/:id", "${base}/v2/leaves/123?x=1").first() == (["leaves", "*"], ["leaves", "123"])
-    for a, b, want in (("/leaves", "/leaves/123", True), ("/leaves/:id", "/leaves/123", True), ("/leaves/5", "/leaves", False), ("/billing", "/leaves", False), ("/:x", "/anything", False)):
+    assert make("/v3/shelves/:no/books", "${main}/v3/shelves/7/books#top").first() == (["shelves", "*", "books"], ["shelves", "7", "books"])
+    for a, b, want in (("/shelves", "/shelves/7/books", True), ("/shelves/:no/books", "/shelves/7/books/2", True), ("/shelves/7/books", "/shelves/7", False), ("/loans", "/shelves", False), ("/:a/:b", "/one/two", False)):
         assert make(a, b).select(T.route_matches(F.col("a"), F.col("b"))).first()[0] is want
-    r = spark.createDataFrame([("api", m, p, "route") for m, p in (("GET", "/items"), ("POST", "/items"), ("GET", "/health"), ("GET", "/orphan"), ("GET", "/:id"))], "repo string, method string, path string, kind string")
-    c = spark.createDataFrame([("x", "/items", "GET", "e1"), ("x", "/health", "GET", "e2")], "base string, call_path string, call_method string, call_evidence string")
+    r = spark.createDataFrame([("api", m, p, "route") for m, p in (("GET", "/books"), ("PUT", "/books"), ("GET", "/loans/:no"), ("GET", "/unused"), ("GET", "/:any"))], "repo string, method string, path string, kind string")
+    c = spark.createDataFrame([("x", "/books", "GET", "e1"), ("x", "/loans/9", "GET", "e2")], "base string, call_path string, call_method string, call_evidence string")
     bases = routes.attribute_bases(r, c)
     assert [tuple(x) for x in bases.collect()] == [("x", "api")]
     found = {(x["method"], x["path"]): x["status"] for x in routes.classify(r, c, bases).collect()}
-    assert found == {("GET", "/items"): "ui-called", ("POST", "/items"): "method-unresolved", ("GET", "/health"): "ui-called", ("GET", "/orphan"): "no-direct-path-match", ("GET", "/:id"): "match-ambiguous"}
+    assert found == {("GET", "/books"): "ui-called", ("PUT", "/books"): "method-unresolved", ("GET", "/loans/:no"): "ui-called", ("GET", "/unused"): "no-direct-path-match", ("GET", "/:any"): "match-ambiguous"}
 
 
 def test_redaction(spark):
-    texts = ['password = "abc"', "DB_PASSWORD=x1;", "Authorization: Bearer abc.def", "https://u:p@h/x", "jsonwebtoken = 5"]
-    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.redact(F.col("t"))).collect()]
-    assert got == ['password = "[REDACTED]"', "DB_PASSWORD=[REDACTED];", "Authorization: Bearer [REDACTED]", "https://[REDACTED]@h/x", "jsonwebtoken = 5"]
+    cases = {
+        "client_secret: 'it\\'s q9', next": "client_secret: '<REDACTED>', next", 'MY-API-KEY="z\ny"': 'MY-API-KEY="<REDACTED>"', "x.session_id=77)": "x.session_id=<REDACTED>)", "basic Zm9v== done": "basic <REDACTED> done",
+        "ftp://ann@host/p": "ftp://<REDACTED>@host/p", "git://a:b:c@h": "git://<REDACTED>@h", "mytokens = 5": "mytokens = 5", "authorization=Basic Q1;": "authorization=Basic <REDACTED>;", "no@mail.org": "no@mail.org", 'pwd = "open': 'pwd = "open',
+        'token = "' + "q" * 100_000 + '"': 'token = "<REDACTED>"', "secret='" + "\\'" * 50_000 + "'": "secret='<REDACTED>'", "://" + "u" * 100_000: "://" + "u" * 100_000,
+    }
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in cases], "t string").select(T.redact(F.col("t"))).collect()]
+    assert got == list(cases.values())
+
+
+def test_matches_have_offsets_and_lines(spark):
+    text = "ab\n" * 700 + "é😀ab"
+    m = spark.createDataFrame([(text,), ("",), (None,)], "t string").select(S.matches(F.col("t"), "ab").alias("m")).collect()
+    assert [(x["at"], x["line"], x["found"]) for x in m[0]["m"]] == [(3 * i, i + 1, "ab") for i in range(700)] + [(2102, 701, "ab")]
+    assert m[0]["m"][-1]["before"] == text[:-2][-120:] and m[1]["m"] == [] and not m[2]["m"]
+    aliases = spark.createDataFrame([("const x = config.one; let y = `${config.two}/v`; var { three, four: x } = config;",)], "t string").select(X.config_aliases(F.col("t"))).first()[0]
+    assert [tuple(a) for a in aliases] == [("x", "one"), ("y", "two"), ("three", "three"), ("x", "four")]
+
+
+def test_components_of_a_long_path(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000 + i, 1001 + i) for i in range(0, 40, 2)], "a int, b int").orderBy(F.hash("a"))
+    got = {r["id"]: r["component"] for r in graph.connected_components(edges, "a", "b").collect()}
+    assert got == {**dict.fromkeys(range(301), 0), **{1000 + i: 1000 + i - i % 2 for i in range(40)}}
 
 
 def test_citations_and_budget(spark):
@@ -90,6 +111,8 @@ def test_readers(spark, tmp_path):
     assert got == [(1, "Ann", "a@x", 0, 0, "b.png"), (1, "Ann", "a@x", 1, 2, "src/new/f.js"), (2, "Bob", "b@x", 3, 0, "a.go")]
     (tmp_path / "s.json").write_text('{"ImportPath": "a"}{"ImportPath": "b"}\n{\n"ImportPath": "c"}')
     assert [r[0] for r in readers.json_stream(spark, str(tmp_path / "s.json"), "ImportPath string").collect()] == ["a", "b", "c"]
+    (tmp_path / "t.json").write_text('{"ImportPath": "x}{y"} {"ImportPath": "a\\\\"}{"ImportPath": "q\\"}{"}')
+    assert [r[0] for r in readers.json_stream(spark, str(tmp_path / "t.json"), "ImportPath string").collect()] == ["x}{y", "a\\", 'q"}{']
     (tmp_path / "clones.txt").write_text("Clone found (go):\n - a.go [10:1 - 20:2] (10 lines)\n   b.go [5:1 - 15:2]\n")
     assert [tuple(r) for r in readers.clone_pairs(spark, str(tmp_path / "clones.txt")).collect()] == [("go", "a.go", 10, 20, "b.go", 5, 15, 10)]
     (tmp_path / "cg.tsv").write_text("\t".join("abcdefghi") + "\nshort\trow\n")
