@@ -20,7 +20,7 @@ of a group only as far as its texts are not linked. Every reported link is confi
 Copies are never expanded into pairs: rows are proportional to texts times trees. A text of any length is hashed in
 one pass; its set has 8 bytes a shingle. Nulls and texts
 without words have an empty set, are linked with nothing and are kept. Rows with a null id take the
-component of their class; they are kept only if nothing has an id. Rows of one id with different
+component of their class (a class without any id is compared with nothing); they are kept only if nothing has an id. Rows of one id with different
 texts count as linked. Extra columns are ignored.
 """
 
@@ -337,7 +337,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, node_rows: int = 512,
     linked = connected_components(compared(by_component.unionByName(by_node).withColumn("label", F.col("cid"))))
     if not large.isEmpty():
         members = large.select(F.col("component").alias("group"), "cid", "n_shingles")
-        pairs = _across(_labelled(members, linked), percent, max(1, component_rows // 2), TASK_SHINGLES // 2)
+        pairs = _across(_labelled(members, linked), percent, max(1, component_rows // 2), max(1, TASK_SHINGLES // 2))
         if pairs is not None:
             linked = _more_components(linked, compared(pairs.groupBy("cid", "label").agg(F.collect_set("key").alias("keys"))))
     deleted(leaves)

@@ -1,14 +1,17 @@
 """Deduplication, the codec and the pipeline against brute force."""
 
+import collections
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
-from strataline.llm import exact_dedup, minhash_dedup, sentencepiece_codec
+from strataline.llm import exact_dedup, minhash_dedup, packing, quality_rules, sentencepiece_codec
 
-from tests.llm.test_text_operators import LOWER, WORD, made, table
+from tests.llm.test_text_operators import LOWER, WORD, longest, made, table
 from tests.oracle import rows, sql_rows
 
 SF = "/root/testdata/sf0.001"
@@ -25,7 +28,7 @@ def test_exact_dedup(spark):
     left = exact_dedup.distinct_documents(table(spark, texts, ids))
     assert left.count() == len(set(norm)) and left.columns[1:] == ["text", "spans", "kept", "email"]
     assert exact_dedup.exact_dedup(table(spark, [])).count() == 0
-    long = "é😀 x" * 500_000
+    long = "é😀 x" * 100_000
     assert [r["group_size"] for r in exact_dedup.exact_dedup(table(spark, [long, long, long + "y"])).orderBy("doc_id").collect()] == [2, 2, 1]
     with_null = exact_dedup.exact_dedup(spark.createDataFrame([(None, "a"), (4, "a"), (None, "b")], "doc_id long, text string")).collect()
     assert sorted((str(r["doc_id"]), str(r["keep_id"]), r["kept"]) for r in with_null) == [("4", "4", True), ("None", "4", False), ("None", "None", False)]
@@ -152,11 +155,68 @@ def test_codec_equals_sentencepiece(spark):
 
 def test_pipeline(spark):
     import corpus_pipeline as c
+    from strataline.llm import pii
+    from tokenizers import Tokenizer
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert [n for n, _ in c.STAGES] == ["quality rules", "exact dedup", "MinHash near-dedup", "PII", "packing"]
-    ids = {r["doc_id"] for r in c.run(spark, SF).select("doc_id").collect()}
-    good = c.quality(spark, docs, SF).toPandas().sort_values("doc_id")
-    first = good.assign(n=good.text.map(lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t))).drop_duplicates("n")
+    pieces = c.run(spark, SF).collect()
+    # quality: its rules written down plainly
+    rows_ = docs.toPandas().sort_values("doc_id")
+    good = []
+    for t in rows_.text:
+        w = WORD.findall(t or "")
+        at = collections.defaultdict(list)
+        for j in range(len(w) - 2):
+            at[tuple(w[j : j + 3])].append(j)
+        repeated = {j + k for v in at.values() if len(v) > 1 for j in v for k in range(3)}
+        fine = len(w) >= 50 and 100 * len(repeated) <= 50 * len(w)
+        if fine and len(w) <= 600:
+            reach = longest(w)
+            fine = len({j + k for j, n in enumerate(reach) if n >= 8 for k in range(n)}) <= 0.4 * len(w) and max(reach) <= max(50, 0.2 * len(w))
+        elif fine:  # too long for the plain search
+            fine = bool(quality_rules.verdicts(pa.array([t]))["kept"][0])
+        good.append(fine)
+    kept = c.quality(spark, docs, SF)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == rows_.doc_id[good].tolist()
+    first = rows_[good].assign(n=rows_[good].text.map(lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t))).drop_duplicates("n")
     component = brute(first.text.tolist(), 80)
-    assert ids == {int(d) for i, d in enumerate(first.doc_id) if component[i][1] == i}
+    left = {int(d): t for i, (d, t) in enumerate(zip(first.doc_id, first.text)) if component[i][1] == i}
+    assert {r["doc_id"] for r in pieces} == set(left)
+    # personal data: the spans of the operator, replaced plainly; packing: ids of the tokenizer
+    found = pii.pii(spark.createDataFrame(list(left.items()), "doc_id long, text string")).collect()
+    changed = 0
+    for r in found:
+        text, out, at = left[r["doc_id"]], [], 0
+        for kind, x, y in (s.split(":") for s in r["spans"].split(",") if s):
+            if int(x) >= at:
+                out += [text[at : int(x)], f"[{kind.upper()}]"]
+            at = max(at, int(y))
+        left[r["doc_id"]] = "".join([*out, text[at:]])
+        changed += bool(out)
+    assert changed
+    tokenizer = Tokenizer.from_file(packing.byte_bpe_path())
+    own = collections.defaultdict(list)
+    for p in sorted(pieces, key=lambda p: p["start"]):
+        own[p["doc_id"]].append(p)
+    for doc_id, text in left.items():
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 1], "<u4")
+        assert sum(p["length"] for p in own[doc_id]) == len(ids) == own[doc_id][0]["doc_tokens"]
+        assert all(p["ids_crc32"] == zlib.crc32(ids[p["start"] : p["start"] + p["length"]].tobytes()) for p in own[doc_id])
+
+
+def test_pipeline_stages_meet_nulls_copies_and_extra_columns(spark):
+    import corpus_pipeline as c
+
+    r = random.Random(3)
+    long = " ".join(f"w{r.randrange(10**6)}" for _ in range(200))
+    rows_ = [(1, None, None, 0), (2, "", "x", 0), (3, long, None, 1), (3, long, None, 1), (4, long + " a@b.cc", "x", 2), (None, long + " zz", "x", 3), (5, "z " * 100_000, "x", 4)]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string, kept string, n_chars long")
+    for rows_in in (docs, docs.limit(0)):
+        now = rows_in
+        for name, stage in c.STAGES:
+            now = stage(spark, now, SF)
+            if name != "packing":
+                assert now.columns == docs.columns
+        ids = {x["doc_id"] for x in now.collect()}
+        assert ids == (set() if rows_in is not docs else {3, None})  # a text without any id is compared with nothing
