@@ -3,6 +3,11 @@
 STAGES are (name, function) pairs; a function takes (spark, docs, sf_dir) and returns the next
 stage's docs with the columns of documents, the last one the packed pieces. Each stage's rows are
 written as Parquet and read again for the next.
+
+Null and empty texts don't pass the quality rules. Of equal or near texts the row with the smallest id
+stays (of equal ids, one row; a null id comes last; a text that has no id is compared for near copies with
+nothing). Other columns are kept, whatever their names. No
+documents give no pieces. A very long text stays whole in every stage.
 """
 
 from __future__ import annotations
