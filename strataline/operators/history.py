@@ -99,21 +99,27 @@ def ambiguous_labels(log: DataFrame, group: str, label: str) -> DataFrame:
     return log.select(group, label).distinct().groupBy(label).agg(F.count("*").alias("groups")).filter("groups > 1")
 
 
+def _ends(step: DataFrame, rounds: int) -> DataFrame:
+    """(name, next) with next after 2 ** rounds steps, or where the walk ends before: each round doubles the way."""
+    for _ in range(rounds):
+        ahead = step.select(F.col("name").alias("next"), F.col("next").alias("after"))
+        step = step.join(ahead, "next", "left").select("name", F.coalesce("after", "next").alias("next")).checkpoint()
+    return step
+
+
 def rename_closure(renames: DataFrame, old: str, new: str, seq: str) -> DataFrame:
     """name, final: where each renamed item ends; the last rename of a name counts, a cycle ends where it first repeats.
 
-    Chains are walked a step a round, all at once, until no chain goes on.
+    Rounds grow with the logarithm of the number of names. Where walks still go on after more steps than there are
+    names, they stand on a cycle; its names are ends then, and themselves aren't renamed.
     """
-    step = first_per_group(renames.filter(F.col(old) != F.col(new)), [old], [F.desc(seq)]).select(F.col(old).alias("name"), F.col(new).alias("next"), F.array(old).alias("seen"))
-    walk = step
-    while True:
-        ahead = step.select(F.col("name").alias("next"), F.col("next").alias("after"))
-        joined = walk.join(ahead, "next", "left")
-        go = F.col("after").isNotNull() & ~F.array_contains("seen", F.col("next"))
-        walk = joined.select("name", F.when(go, F.col("after")).otherwise(F.col("next")).alias("next"), F.when(go, F.concat("seen", F.array("next"))).otherwise(F.col("seen")).alias("seen")).checkpoint()
-        if walk.join(ahead, "next").filter(~F.array_contains("seen", F.col("next"))).isEmpty():
-            break
-    return walk.filter(F.col("name") != F.col("next")).select("name", F.col("next").alias("final"))
+    step = first_per_group(renames.filter(F.col(old) != F.col(new)), [old], [F.desc(seq)]).select(F.col(old).alias("name"), F.col(new).alias("next")).checkpoint()
+    rounds = step.count().bit_length()
+    found = _ends(step, rounds)
+    cyclic = found.join(step.select(F.col("name").alias("next")), "next", "left_semi").select(F.col("next").alias("name")).distinct().checkpoint()
+    if not cyclic.isEmpty():
+        found = _ends(step.join(cyclic, "name", "left_anti"), rounds)
+    return found.select("name", F.col("next").alias("final"))
 
 
 def completeness(txns: DataFrame, at: str, merge: Column) -> DataFrame:

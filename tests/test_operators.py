@@ -10,8 +10,9 @@ from strataline.streaming import ledger_stream
 
 
 def test_rename_cycle_ends_where_it_repeats(spark):
-    log = spark.createDataFrame([("a", "b", 1), ("b", "a", 2), ("x", "y", 3), ("y", "z", 4)], "o string, n string, s int")
-    assert {tuple(r) for r in history.rename_closure(log, "o", "n", "s").collect()} == {("x", "z"), ("y", "z")}
+    log = spark.createDataFrame([("a", "b", 1), ("b", "a", 2), ("x", "y", 3), ("y", "z", 4), ("q", "p", 5), ("p", "a", 6)], "o string, n string, s int")
+    assert {tuple(r) for r in history.rename_closure(log, "o", "n", "s").collect()} == {("x", "z"), ("y", "z"), ("p", "a"), ("q", "a")}
+    assert history.rename_closure(log.limit(0), "o", "n", "s").count() == 0
 
 
 def test_long_rename_chains_end_at_their_last_name(spark):
