@@ -1,4 +1,4 @@
 """All queries of the library's own operators: importing this package registers them."""
 
-from strataline.plans import catalog, reports, sources  # noqa: F401
+from strataline.plans import catalog, manifests, modeling, reports, sources  # noqa: F401
 from strataline.plans.registry import QUERIES, SQL, oracle_sql, queries  # noqa: F401
