@@ -120,7 +120,7 @@ def tests_of(files: DataFrame, group: str, path: str = "path", most: int = 200)
     return total.join(few, group).select(group, "total_count", F.size("paths").alias("included_count"), (F.col("total_count") > most).alias("truncated"), "paths")
 
 
-def excerpts(references: DataFrame, files: DataFrame, keys: list[str], path: str, line: str, revision: str, text: str, *, around: int = 20, most_chars: int = 400, most_bytes: int = 8000) -> DataFrame:
+def excerpts(references: DataFrame, files: DataFrame, keys: list[str], path: str, line: str, revision: str, text: str, *, around: int = 40, most_chars: int = 2000, most_bytes: int = 8192) -> DataFrame:
     """References with status and excerpt: the lines around a cited one, cut, redacted and bounded in bytes.
 
     Status is ok, or why there is no excerpt: an unsafe path, an environment file, no such file, another revision, a line out of range.

@@ -23,21 +23,29 @@ def callgraph(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).filter(F.size(parts) >= len(names)).select(*[parts[i].alias(n) for i, n in enumerate(names)])
 
 
-def numstat(spark: SparkSession, path: str, marker: str = "@@", *, bots: bool = True) -> DataFrame:
+def numstat(spark: SparkSession, path: str, marker: str = "@@", *, bots: bool = True, since: str | None = None) -> DataFrame:
     """file, commit_no, name, email, added, deleted, path from `marker<TAB>name<TAB>email` headers and numstat lines; - counts as 0.
 
     Without bots, commits of automatic committers are left out.
-    A header holds for the lines below it in its file, so files are read whole and cut into numbered lines.
+    since keeps commits whose header has a date (a fourth part) that isn't before it.
+    A header holds for the lines below it. It is carried within a split of the file, and the last one of earlier splits
+    into the lines before a split's first: no task sees more than its split.
     """
-    files = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
-    lines = files.select("file", F.posexplode(F.split("value", "\n")).alias("at", "line")).withColumn("head", F.col("line").startswith(marker))
-    w = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    held = lines.withColumns({"commit_no": F.sum(F.col("head").cast("int")).over(w), "header": F.last(F.when(F.col("head"), F.col("line")), ignorenulls=True).over(w)})
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    lines = lines.withColumn("head", F.col("line").startswith(marker))
+    w = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    own = lines.withColumns({"own_no": F.sum(F.col("head").cast("int")).over(w), "own": F.last(F.when(F.col("head"), F.col("line")), ignorenulls=True).over(w)})
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = lines.groupBy("file", "block").agg(F.count_if("head").alias("n"), F.max_by("line", F.when(F.col("head"), F.col("at"))).alias("last"))
+    before = ends.select("file", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("no_before"), F.last("last", ignorenulls=True).over(earlier).alias("before"))
+    held = own.join(before, ["file", "block"]).withColumns({"commit_no": F.col("own_no") + F.col("no_before"), "header": F.coalesce("own", "before")})
     part, head = F.split("line", "\t"), F.split("header", "\t")
     number = lambda c: F.coalesce(c.try_cast("long"), F.lit(0))
     rows = held.filter(~F.col("head") & (F.size(part) == 3) & F.col("header").isNotNull())
     if not bots:
         rows = rows.filter(~is_bot(head[1], head[2]))
+    if since:
+        rows = rows.filter(F.try_to_timestamp(F.get(head, F.lit(3))) >= F.lit(since).cast("timestamp"))
     return rows.select("file", "commit_no", head[1].alias("name"), head[2].alias("email"), number(part[0]).alias("added"), number(part[1]).alias("deleted"), renamed(part[2]).alias("path"))
 
 
@@ -67,9 +75,9 @@ def json_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def clone_pairs(spark: SparkSession, path: str) -> DataFrame:
     """format, span, a_file, a_from, a_to, b_file, b_from, b_to from a header and two location lines."""
-    pattern = r"Clone found \(([^)]*)\)[^\n]*\n\s*-?\s*(\S+) \[(\d+):\d+ - (\d+):\d+\][^\n]*\n\s*-?\s*(\S+) \[(\d+):\d+ - (\d+):\d+\]"
-    files = spark.read.text(path, wholetext=True)
-    found = files.select(F.explode(F.regexp_extract_all("value", F.lit(pattern), F.lit(0))).alias("m"))
+    begin = "Clone found"  # as the end of records, so that large reports are read in splits
+    pattern = r"^ \(([^)]*)\)[^\n]*\n\s*-?\s*(\S+) \[(\d+):\d+ - (\d+):\d+\][^\n]*\n\s*-?\s*(\S+) \[(\d+):\d+ - (\d+):\d+\]"
+    found = spark.read.option("lineSep", begin).text(path).select(F.regexp_extract("value", pattern, 0).alias("m")).filter("m <> ''")
     group = lambda i: F.regexp_extract("m", pattern, i)
     rows = found.select(group(1).alias("format"), group(2).alias("a_file"), group(3).cast("int").alias("a_from"), group(4).cast("int").alias("a_to"), group(5).alias("b_file"), group(6).cast("int").alias("b_from"), group(7).cast("int").alias("b_to"))
     return rows.withColumn("span", F.col("a_to") - F.col("a_from"))
