@@ -16,6 +16,7 @@ MODULES = {
     "op8_exact_dedup": "exact_dedup",
     "op9_html_extraction": "html_extraction",
     "op10_pii": "pii",
+    "op11_periodic_runs": "periodic_runs",
 }
 
 
