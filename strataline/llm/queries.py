@@ -17,6 +17,7 @@ MODULES = {
     "op9_html_extraction": "html_extraction",
     "op10_pii": "pii",
     "op11_periodic_runs": "periodic_runs",
+    "op12_warc": "warc",
     "op13_spelling_variants": "spelling_variants",
 }
 
