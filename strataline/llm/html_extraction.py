@@ -7,11 +7,14 @@ neighbouring blocks, fused with the unsmoothed ones, and weighted by what the pa
 names say of it (a class name alone never decides). Blocks over a threshold, a part of the values'
 deviation, are content, and all of them are the result.
 
-Short blocks of prose have low ratios, so those whose tag says what they are (headings, list items, table
-cells, captions, quotations, paragraphs) are content too inside the region of the content: the deepest
-element with nearly all of its text, or the article or main element around it; and so is a heading right
-before content. Others there, such as an advert in an element without a name, are not. Menus, headers and
-footers, sidebars, forms, scripts and styles, told by their tags and roles, have the weight zero.
+Short blocks have low ratios, so inside the region of the content (the deepest element with nearly all of
+its text, or the article or main element around it) everything is content that nothing tells against:
+neutral elements, bare text, details, bylines and lists of links too. What tells against a block there is its
+weight, a call to buy or subscribe as its only text, or text of buttons alone. Where the region is the whole body, only tags of prose
+(headings, list items, cells, captions, quotations, paragraphs) are; and so is a heading right before content. A heading that counts
+replies, or names them behind an article, begins reader comments up to the end of its element. Menus, headers and footers,
+sidebars, scripts and styles, told by their tags and roles, have the weight zero, and so has a form, but
+for one that holds most of the page's text.
 
 Pages are independent rows: no shuffle, and work is linear in a page's length, whatever its nesting. Null
 or empty pages give an empty text; repeated rows are extracted again; null ids and urls stay; an empty
@@ -38,8 +41,8 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li "
     "link listing main menu meta nav noframes ol optgroup p param plaintext pre search section summary table tbody td tfoot th thead tr ul xmp".split()
 ) | RAW
-BOILERPLATE_TAGS = frozenset("head nav footer aside form dialog menu fieldset button".split())
-BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
+BOILERPLATE_TAGS = frozenset("head nav footer aside dialog menu".split())
+BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu".split())
 PROSE_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th caption figcaption blockquote pre".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Closed by the start of these.
@@ -52,6 +55,11 @@ AGAINST = re.compile(
 )
 DOUBTFUL = re.compile(r"(?:^|[\s_-])(?:header|foot|side|related|respond|copyright|legal)(?:$|[\s_-])", re.I)
 AGAINST_WEIGHT, DOUBTFUL_WEIGHT = 0.05, 0.5
+#: The whole text of a neutral element that is a call to the reader and no part of an article.
+CALL = re.compile(r"(?:buy|shop|order|subscribe|sign up|join|download|donate|register|click|read|learn)(?: (?:it|us|for))?(?: (?:now|here|today|free|more))[ !.>»]*", re.I)
+#: A heading of reader comments: anywhere, and behind an article.
+COUNTED_REPLIES = re.compile(r"\W*(?:\d+ (?:reader )?(?:repl(?:y|ies)|comments?|responses?)|(?:reader )?(?:replies|comments|responses) \(\d+\)|leave a (?:reply|comment))\W*", re.I)
+REPLIES = re.compile(r"\W*(?:reader )?(?:replies|comments|responses)\W*", re.I)
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -63,11 +71,13 @@ DEVIATION, MOSTLY = 0.6, 0.9
 
 
 class Element:
-    __slots__ = ("tag", "parent", "depth", "path", "weight", "link", "base", "solid", "article")
+    __slots__ = ("tag", "parent", "depth", "path", "weight", "link", "button", "form", "base", "solid", "article")
 
     def __init__(self, tag: str, parent: Element | None, path: int, weight: float):
         self.tag, self.parent, self.depth = tag, parent, parent.depth + 1 if parent else 0
         self.path, self.weight, self.link = path, weight, tag == "a" or bool(parent and parent.link)
+        self.button = tag == "button" or bool(parent and parent.button)
+        self.form: Element | None = self if tag in ("form", "fieldset") and not (parent and parent.form) else parent.form if parent else None
         #: The nearest element, itself included, that isn't inline; and the nearest that is no paragraph either.
         self.base: Element = parent.base if parent and tag not in BLOCKS else self
         self.solid: Element = parent.solid if parent and (tag not in BLOCKS or tag == "p") else self
@@ -88,32 +98,34 @@ def _weight(tag: str, names: str, parent: Element) -> float:
 
 
 def _scan(page: str) -> list[tuple[Element, str, int]]:
-    """Blocks in page order: element, text with single spaces, characters of it that are link text. Parts of no weight are left out."""
+    """Blocks in page order: element, text with single spaces, characters of it that are link text. Parts of no weight and blocks of buttons alone are left out."""
     paths: dict[tuple[int, str], int] = {}
     at = Element("", None, 0, 1.0)
     opened: dict[str, int] = {}
     blocks: list[tuple[Element, str, int]] = []
     parts: list[str] = []
-    linked = 0
+    linked = plain = 0  # of links; outside buttons
     here, n = 0, len(page)
     lower = None
 
     def text(a: int, b: int) -> None:
-        nonlocal linked
+        nonlocal linked, plain
         if a < b and at.weight:
             s = entities.unescape(page[a:b])
             parts.append(s)
+            if not at.button:
+                plain += len(s.strip())
             if at.link:
                 linked += len(s.strip())
 
     def cut() -> None:
-        nonlocal linked
+        nonlocal linked, plain
         if parts:
             line = _SPACES.sub(" ", "".join(parts)).strip()
-            if line:
+            if line and plain:
                 blocks.append((at.base, line, linked))
             parts.clear()
-        linked = 0
+        linked = plain = 0
 
     def close(to: Element) -> None:
         nonlocal at
@@ -164,11 +176,22 @@ def _scan(page: str) -> list[tuple[Element, str, int]]:
                 at = Element(tag, at, paths.setdefault((at.path, f"{tag}.{names}"), len(paths) + 1), _weight(tag, names, at))
             opened[tag] = opened.get(tag, 0) + 1
     cut()
-    return blocks
+    return _without_forms(blocks)
+
+
+def _without_forms(blocks: list[tuple[Element, str, int]]) -> list[tuple[Element, str, int]]:
+    """All blocks but those in forms, except a form with more than half of the text that nothing tells against."""
+    held: dict[Element | None, int] = {}
+    for element, s, linked in blocks:
+        held[element.form] = held.get(element.form, 0) + (max(0, len(s) - linked) if element.weight >= DOUBTFUL_WEIGHT else 0)
+    total = sum(held.values())
+    return [b for b in blocks if b[0].form is None or 2 * held[b[0].form] > total]
 
 
 def _content(blocks: list[tuple[Element, str, int]]) -> list[bool]:
-    """Whether each block has the ratios of content."""
+    """Whether each block has the ratios of content. None has where names tell against all of them."""
+    if all(element.weight <= AGAINST_WEIGHT for element, _, _ in blocks):
+        return [False] * len(blocks)
     sums: dict[int, list[int]] = {}
     for element, s, linked in blocks:
         path = sums.setdefault(element.path, [0, 0, 0, 0])
@@ -186,7 +209,7 @@ def _content(blocks: list[tuple[Element, str, int]]) -> list[bool]:
     least = DEVIATION * (sum((x - mean) ** 2 for x in fused) / max(len(fused), 1)) ** 0.5
     # names against a block count until its value is near the mean in spite of them
     found = [x > 0 and x >= (least if element.weight > AGAINST_WEIGHT else max(least, 0.9 * mean)) for x, (element, _, _) in zip(fused, blocks, strict=True)]
-    return found if any(found) else [True] * len(found)
+    return found if any(found) else [element.weight > AGAINST_WEIGHT for element, _, _ in blocks]
 
 
 def _region(blocks: list[tuple[Element, str, int]], content: list[bool]) -> Element:
@@ -226,23 +249,42 @@ def _inside(region: Element, x: Element, known: dict[Element, bool]) -> bool:
 def main_text(page: str | None) -> str:
     """The main text of one page: a line for each block."""
     blocks = _scan(page) if page else []
-    if not blocks:
+    content = _content(blocks) if blocks else []
+    if not any(content):
         return ""
-    content = _content(blocks)
     region = _region(blocks, content)
     if region.tag in ("p", "li", "td", "th", "dt", "dd", *HEADINGS) and region.parent:
         region = region.parent
+    whole = region.tag in ("", "html", "body")
+    articles = {element.article for (element, _, _), good in zip(blocks, content, strict=True) if good and element.article}
     known = {region: True}
-    out: list[str] = []
+
+    def belongs(element: Element, s: str, linked: int) -> bool:
+        """Whether what isn't content by its ratios stays where it stands."""
+        prose = element.tag in PROSE_TAGS
+        if element.weight < DOUBTFUL_WEIGHT or (not prose and CALL.fullmatch(s)):
+            return False
+        if element.article in articles or (not whole and _inside(region, element, known)):
+            return element.weight == 1 or (prose and 2 * linked <= len(s))
+        return whole and element.weight == 1 and prose and 2 * linked <= len(s)
+
+    stays = [good or belongs(*b) for b, good in zip(blocks, content, strict=True)]
     following = False
-    for (element, s, linked), good in zip(reversed(blocks), reversed(content), strict=True):
-        if not good and element.tag in PROSE_TAGS and 2 * linked <= len(s):
-            doubtful = element.weight >= DOUBTFUL_WEIGHT and (element.weight == 1 or region.tag not in ("", "html", "body"))
-            good = (doubtful and _inside(region, element, known)) or (following and element.weight == 1 and element.tag in HEADINGS)
-        following = good
-        if good:
+    for i in range(len(blocks) - 1, -1, -1):
+        element, s, linked = blocks[i]
+        stays[i] = stays[i] or (following and element.weight == 1 and element.tag in HEADINGS and 2 * linked <= len(s))
+        following = stays[i]
+    out: list[str] = []
+    replies: Element | None = None  # whose rest is reader comments
+    within: dict[Element, bool] = {}
+    for (element, s, _), good in zip(blocks, stays, strict=True):
+        if replies is not None and not _inside(replies, element, within):
+            replies = None
+        if replies is None and element.tag in HEADINGS and (COUNTED_REPLIES.fullmatch(s) or (articles and element.article not in articles and REPLIES.fullmatch(s))):
+            replies, within = element.parent, {element.parent: True}
+        if good and replies is None:
             out.append(s)
-    return "\n".join(reversed(out))
+    return "\n".join(out)
 
 
 def extract(pages: DataFrame, *, html_col: str = "html") -> DataFrame:

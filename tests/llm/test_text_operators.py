@@ -295,7 +295,45 @@ def restated(tree):
     least = 0.6 * (sum((x - mean) ** 2 for x in fused) / len(fused)) ** 0.5
     good = [x >= (least if w == 1 else max(least, 0.9 * mean)) for x, w in zip(fused, weight)]
     region = next(w[: i + 1] for w, _ in blocks for i, x in enumerate(w) if x[0] == "article")
-    return [s for g, w, (way, s) in zip(good, weight, blocks) if g or (w == 1 and way[: len(region)] == region and way[-1][0] in html_extraction.PROSE_TAGS)]
+    return [s for g, w, (way, s) in zip(good, weight, blocks) if g or (w == 1 and way[: len(region)] == region)]
+
+
+LONG = "<p>Ordinary prose, with commas, goes on and on; it has dots. It has more of them. And it goes on still, for some lines.</p>"
+PROSE = "Ordinary prose, with commas, goes on and on; it has dots. It has more of them. And it goes on still, for some lines."
+
+
+@pytest.mark.parametrize(
+    ("part", "text"),
+    [
+        ("<div>Short neutral line</div>", "Short neutral line"),
+        ("<div class=lead>A lead sentence of moderate length stands here.</div>", "A lead sentence of moderate length stands here."),
+        ("Bare text", "Bare text"),
+        ("Bare <b>text</b> with <i>parts</i>", "Bare text with parts"),
+        ("<details><summary>More</summary>What is in it<p>and below</p></details>", "More\nWhat is in it\nand below"),
+        ("<div class=byline>By A. Writer</div>", "By A. Writer"),
+        ("<ul><li><a href=a>One</a></li><li><a href=b>Two</a></li></ul>", "One\nTwo"),
+        ("<p>Press the <button>OK</button> button.</p>", "Press the OK button."),
+        ("<section><div><span>Deep</span></div></section>", "Deep"),
+        ("<table><tr><td>1<td>2</table>", "1\n2"),
+        ("<h2>Comments</h2><p>Remarks on the method.</p>", "Comments\nRemarks on the method."),
+        # and what isn't the article's
+        ("<div>Subscribe now!</div>", ""), ("<button>Go</button>", ""), ("<div class=ad>Anything, at all.</div>", ""), ("<nav><p>Menu</p></nav>", ""), ("<form><label>Name</label></form>", ""), ("<aside>Aside</aside>", ""),
+    ],
+)
+def test_the_whole_article_stays(part, text):
+    want = lambda *parts: "\n".join(x for x in parts if x)
+    assert html_extraction.main_text(f"<body><nav>m</nav><article>{part}{LONG * 3}{part}</article><footer>f</footer>") == want(text, *[PROSE] * 3, text)
+    assert html_extraction.main_text(f"<body><nav>m</nav><div id=content><h1>T</h1>{LONG}{part}{LONG}</div><footer>f</footer>") == want("T", PROSE, text, PROSE)
+
+
+def test_forms_notices_and_replies():
+    assert html_extraction.main_text(f"<body><form id=page><div><h1>T</h1>{LONG * 2}<label>x</label></div></form><form><label>Search</label></form>") == f"T\n{PROSE}\n{PROSE}\nx"
+    assert html_extraction.main_text("<div class='cookie-banner'><p>We use cookies, and more.</div>") == ""
+    assert html_extraction.main_text("<body><form><p>Name, please. And more.</p></form><nav>m</nav>") == "Name, please. And more."
+    page = "<body><article><h1>T</h1>" + LONG * 3 + "{}</article><div><h2>{}</h2><p>Nice post, thanks, really! It goes on, and on, for long; x, y, z.</p></div><footer>f</footer>"
+    for heading in ("3 replies", "Comments", "12 comments", "Leave a reply", "Reader comments (4)"):
+        assert html_extraction.main_text(page.format("", heading)) == f"T\n{PROSE}\n{PROSE}\n{PROSE}"
+    assert html_extraction.main_text(page.format("<section><h3>2 comments</h3><p>Well, yes, but no; I agree, in part.</p></section><p>End of it.</p>", "1 reply")).endswith("\nEnd of it.")
 
 
 def test_html_extraction_equals_a_restatement():
