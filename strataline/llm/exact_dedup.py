@@ -14,7 +14,8 @@ Lookups are sort-merge joins, whose hot keys Spark splits at run time; naming pr
 one group of copies may hold any part of the rows.
 
 Nulls count as empty texts, which are all equal. Rows with equal doc_id are rows of their own with
-the same keep_id; a null doc_id is ordered last. Extra columns are ignored (kept by ``distinct_documents``, whatever their names). An empty table gives an
+the same keep_id; a null doc_id is ordered last; of a group
+without any id no row is marked as kept here, as none can be named (``distinct_documents`` keeps one). Extra columns are ignored (kept by ``distinct_documents``, whatever their names). An empty table gives an
 empty result.
 """
 
