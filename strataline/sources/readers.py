@@ -55,22 +55,60 @@ def renamed(path):
     return F.when(path.contains("{") & path.contains(" => "), braces).when(path.contains(" => "), F.element_at(F.split(path, " => "), -1)).otherwise(path)
 
 
+def _pieces(spark: SparkSession, path: str) -> DataFrame:
+    """Files cut at each closing brace: file, split, place in it, text with its brace, and whether it is the last one.
+
+    For each piece what it does to a reader that is outside strings at its begin, and to one inside: whether
+    it ends inside, and by how much it changes the depth of braces.
+    """
+    meta = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("_metadata.file_size").alias("size")
+    text = spark.read.option("lineSep", "}").text(path).select(*meta, "value")
+    # without escaped characters each quote begins or ends a string
+    plain = text.withColumn("plain", F.regexp_replace("value", r"(?s)\\.", ""))
+    odd = (F.length("plain") - F.length(F.replace("plain", F.lit('"'), F.lit("")))) % 2 == 1
+    outside = lambda c: F.regexp_replace(c, r'"[^"]*(?:"|$)', "")
+    opened = lambda c: F.length(c) - F.length(F.replace(c, F.lit("{"), F.lit("")))
+    depth = lambda c, inside: opened(c) - F.when(inside, 0).otherwise(1)
+    counted = plain.select("file", "block", "at", "size", "value", odd.alias("odd"), depth(outside(F.col("plain")), odd).alias("from_outside"), depth(outside(F.regexp_replace("plain", r'^[^"]*(?:"|$)', "")), ~odd).alias("from_inside"))
+    return counted
+
+
 def json_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Objects written one after the other with no separator: cut where a brace closes the outermost object, outside strings."""
-    files = spark.read.text(path, wholetext=True)
-    # pieces of the text: strings (with escapes), braces, and what is between them
-    pieces = F.regexp_extract_all("value", F.lit(r'(?s)"(?:[^"\\]|\\.)*+"?|[{}]|[^"{}]++'), F.lit(0))
-
-    def step(acc: Column, p: Column) -> Column:
-        depth = acc["depth"] + F.when(p == "{", 1).when(p == "}", -1).otherwise(0)
-        # an object's number is that of the closing braces at depth zero before it
-        return F.struct(depth.alias("depth"), (acc["at"] + F.length(p)).alias("at"), F.when((p == "}") & (depth == 0), F.concat(acc["cuts"], F.array(acc["at"] + 1))).otherwise(acc["cuts"]).alias("cuts"))
-
-    begin = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("cuts"))
-    cut = files.select("value", F.aggregate(pieces, begin, step, lambda acc: acc["cuts"]).alias("cuts"))
-    start = F.coalesce(F.get("cuts", F.col("i") - 1), F.lit(0))
-    objects = cut.select("value", "cuts", F.posexplode("cuts").alias("i", "end")).select(F.substring("value", start + 1, F.col("end") - start).alias("one"))
-    return objects.select(F.from_json("one", schema).alias("o")).filter("o is not null").select("o.*")
+    """Objects written one after the other, with or without white space between: cut where a brace closes the outermost object, outside strings.
+
+    Files are read in splits. Whether a piece begins inside a string, and at which depth, follows from sums: within a split by a running
+    sum for either state at its begin, and over splits from one row for each. So rows are the same for any cutting, work is
+    linear, and no task holds more than its split's pieces one by one and one object. Objects that can't be read, and one that the end of
+    a file cuts off, are left out; rows come in the order of the files. (Of a compressed file, whose length isn't known, a last
+    object that lacks only its last brace is read.)
+    """
+    pieces, split = _pieces(spark, path), ["file", "block"]
+    running = Window.partitionBy(*split).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    odds = F.sum(F.col("odd").cast("long"))
+    # what a piece does if the split begins outside (0) or inside (1) a string
+    before = (odds.over(running) - F.col("odd").cast("long")) % 2
+    local = pieces.withColumns({f"step{i}": F.when(before == i, F.col("from_outside")).otherwise(F.col("from_inside")) for i in (0, 1)})
+    ends = local.groupBy(*split).agg(odds.alias("odds"), F.sum("step0").alias("sum0"), F.sum("step1").alias("sum1"), F.sum(F.octet_length("value") + 1).alias("bytes"), F.max("at").alias("last"), F.max("size").alias("size"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    begins = ends.withColumn("state", F.coalesce(F.sum("odds").over(earlier), F.lit(0)) % 2)
+    # bytes without the brace that a file's last piece may lack
+    whole = F.sum("bytes").over(Window.partitionBy("file")) <= F.col("size")
+    final = F.col("block") == F.max("block").over(Window.partitionBy("file"))
+    begins = begins.withColumns({"step": F.when(F.col("state") == 0, F.col("sum0")).otherwise(F.col("sum1")), "cut_off": F.when(final & ~whole & ~F.col("file").rlike(r"\.(gz|bz2|zst|zstd|snappy|lz4|deflate)$"), F.col("last"))})
+    begins = begins.select(*split, "state", F.coalesce(F.sum("step").over(earlier), F.lit(0)).alias("depth"), "cut_off")
+    placed = local.join(begins, split)
+    after = F.col("depth") + F.sum(F.when(F.col("state") == 0, F.col("step0")).otherwise(F.col("step1"))).over(running)
+    # the brace counts if the piece ends outside a string
+    ends_inside = (F.col("state") + odds.over(running)) % 2 == 1
+    cut = (after == 0) & ~ends_inside & (F.col("cut_off").isNull() | (F.col("at") != F.col("cut_off")))
+    cuts = placed.withColumn("cut", cut)
+    no = F.sum(F.col("cut").cast("long")).over(running) - F.col("cut").cast("long")
+    numbered = cuts.withColumn("no", no)
+    counts = cuts.groupBy(*split).agg(F.sum(F.col("cut").cast("long")).alias("n")).select(*split, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("cuts_before"))
+    owned = numbered.join(counts, split).select("file", (F.col("no") + F.col("cuts_before")).alias("no"), F.struct("block", "at", "value").alias("piece"), "cut")
+    texts = owned.groupBy("file", "no").agg(F.array_sort(F.collect_list("piece")).alias("pieces"), F.max("cut").alias("closed")).filter("closed")
+    one = F.concat(F.array_join(F.transform("pieces", lambda p: p["value"]), "}"), F.lit("}"))
+    return texts.select("file", "no", F.from_json(one, schema).alias("o")).filter("o is not null").orderBy("file", "no").select("o.*")
 
 
 def clone_pairs(spark: SparkSession, path: str) -> DataFrame:
