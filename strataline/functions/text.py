@@ -20,11 +20,16 @@ def parse_citation(c: Column) -> Column:
 
 
 def segments(path: Column) -> Column:
-    """A route or call path as segments: no query, leading base or version segment; parameters are *."""
-    bare = F.regexp_replace(F.regexp_replace(path, r"[?#].*$", ""), r"^\$\{[^}]*\}", "")
+    """A route or call path as segments: no query or fragment, no interpolations or wildcards at its begin, then no version segment.
+
+    Segments that stand for a value (they begin with a colon, a brace or a dollar sign) are *.
+    """
+    bare = F.substring_index(F.substring_index(path, "?", 1), "#", 1)
     parts = F.filter(F.split(bare, "/"), lambda s: s != "")
-    starred = F.transform(parts, lambda s: F.when(s.rlike(r"^(:.*|\{.*\}|\$\{.*\}|\*.*)$"), "*").otherwise(s))
-    return F.filter(starred, lambda s, i: ~((i == 0) & s.rlike(r"^v[0-9]+$")))
+    begin = F.array_position(F.transform(parts, lambda s: ~(s.startswith("${") | (s == "*"))), True).cast("int")
+    named = F.when(begin > 0, F.slice(parts, F.greatest(begin, F.lit(1)), F.greatest(F.size(parts), F.lit(1)))).otherwise(F.array().cast("array<string>"))
+    unversioned = F.filter(named, lambda s, i: ~((i == 0) & s.rlike(r"^v[0-9]+$")))
+    return F.transform(unversioned, lambda s: F.when(F.substring(s, 1, 1).isin(":", "{", "$"), "*").otherwise(s))
 
 
 def route_matches(route: Column, call: Column) -> Column:
