@@ -114,8 +114,8 @@ def repositories(df: DataFrame, producer: str = "discovery/repository") -> DataF
 def calls(df: DataFrame, producer: str = "callgraph") -> DataFrame:
     """From call edges: resolution, lang, kind, symbols and citations of caller, callee and call site."""
     sides = {side: F.col(f"{side}_citation") for side in ("caller", "callee", "callsite")}
-    # each citation is parsed once, then named
-    read = df.select("*", *[parse_citation(c).alias(f"{side}_at") for side, c in sides.items()])
+    # each citation is parsed once: what a generator gives is a column, not an expression that is put in wherever it is named
+    read = df.select("*", F.inline(F.array(F.struct(*[F.struct(parse_citation(c)["repo"].alias("repo"), parse_citation(c)["path"].alias("path")).alias(f"{side}_at") for side, c in sides.items()]))))
     nodes, edges, ids = [], [], []
     for side, cited in sides.items():
         r, symbol = F.col(f"{side}_at.repo"), F.col(f"{side}_symbol")
@@ -272,25 +272,26 @@ def _path(site: Column) -> Column:
     return F.regexp_replace(site, r"(:[0-9]+){1,2}$", "")
 
 
-_SCALARS = ("kind", "label", "status", "repository", "basis", "confidence", "key")
+#: Scalars that every part gives, taken together from the first one; of label and repository the first that isn't empty counts.
+_WHOLE = "kind string, key array<string>, status string, basis string, confidence double"
 
 
 def _merged_nodes(rows: DataFrame) -> DataFrame:
     """One row for each id. First by id and field: what many rows say of one node is summed before it is brought together."""
     said = lambda field, name, value: F.struct(F.lit(field).alias("field"), name.alias("name"), value.cast("string").alias("value"))
-    scalars = [F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) != "", said(c, F.lit(""), F.col(c))) for c in _SCALARS if c != "key"]
-    scalars.append(said("key", F.lit(""), F.to_json("key")))
-    lists = F.concat(F.array(*scalars, said("producer", F.col("producer"), F.lit(""))), F.transform("evidence", lambda c: said("evidence", c, F.lit(""))))
+    filled = [F.when(F.col(c) != "", said(c, F.lit(""), F.col(c))) for c in ("label", "repository")]
+    whole = said("whole", F.lit(""), F.to_json(F.struct(*[x.split(" ")[0] for x in _WHOLE.split(", ")])))
+    lists = F.concat(F.array(whole, said("producer", F.col("producer"), F.lit("")), *filled), F.transform("evidence", lambda c: said("evidence", c, F.lit(""))))
     plain = rows.select("id", "order", F.inline(F.array_compact(lists)))
     spark = rows.sparkSession
-    open_ = rows.select("id", "order", "attrs").lateralJoin(spark.tvf.variant_explode(F.col("attrs").outer())).select("id", "order", F.lit("attr").alias("field"), F.col("key").alias("name"), F.to_json("value").alias("value"))
+    given = rows.filter(F.to_json("attrs") != "{}")
+    open_ = given.select("id", "order", "attrs").lateralJoin(spark.tvf.variant_explode(F.col("attrs").outer())).select("id", "order", F.lit("attr").alias("field"), F.col("key").alias("name"), F.to_json("value").alias("value"))
     first = plain.unionByName(open_).groupBy("id", "field", "name").agg(F.min(F.struct("order", "value"))["value"].alias("value"))
     one = lambda field: F.max(F.when(F.col("field") == field, F.col("value")))
     names = lambda field: F.array_sort(F.collect_list(F.when((F.col("field") == field) & (F.col("name") != ""), F.col("name"))))
     attrs = F.map_from_entries(F.collect_list(F.when(F.col("field") == "attr", F.struct("name", "value"))))
-    merged = first.groupBy("id").agg(*[one(c).alias(c) for c in _SCALARS], names("producer").alias("producers"), names("evidence").alias("evidence"), attrs.alias("attrs"))
-    none = F.lit("")
-    return merged.select("id", "kind", F.from_json("key", "array<string>").alias("key"), F.coalesce("label", none).alias("label"), "status", F.coalesce("repository", none).alias("repository"), "producers", "evidence", "basis", F.col("confidence").cast("double"), F.to_variant_object(F.transform_values("attrs", lambda _, v: F.parse_json(v))).alias("attrs"))
+    merged = first.groupBy("id").agg(F.from_json(one("whole"), _WHOLE).alias("whole"), *[F.coalesce(one(c), F.lit("")).alias(c) for c in ("label", "repository")], names("producer").alias("producers"), names("evidence").alias("evidence"), attrs.alias("attrs"))
+    return merged.select("id", "whole.kind", "whole.key", "label", "whole.status", "repository", "producers", "evidence", "whole.basis", "whole.confidence", F.to_variant_object(F.transform_values("attrs", lambda _, v: F.parse_json(v))).alias("attrs"))
 
 
 def _merged_edges(rows: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ def _calls(table) -> DataFrame:
         _cat("f", p % 50).alias("caller_symbol"), F.concat(a, _cat("src/a", p % 20, ".go:", p % 50)).alias("caller_citation"),
         _cat("g", s % 7).alias("callee_symbol"), F.concat(b, _cat("src/b", s % 10, ".go:", s % 7)).alias("callee_citation"),
         F.concat(a, _cat("src/c", F.col("l_linenumber"), ".go:", F.col("l_quantity").cast("int"))).alias("callsite_citation"),
-    )
+    ).distinct()
 
 
 def _imports(table) -> DataFrame:
@@ -37,7 +37,7 @@ def _imports(table) -> DataFrame:
 
 def _stores(table) -> DataFrame:
     access = F.when(F.col("l_returnflag") == "A", "declaration").when(F.col("l_returnflag") == "R", "read").otherwise("write")
-    return table("lineitem").select(_cat("r", F.col("l_suppkey") % 30).alias("repository"), F.lit("").alias("head"), _cat("t", F.col("l_partkey") % 15).alias("store"), access.alias("access"), _cat("src/d", F.col("l_linenumber"), ".go:", F.col("l_quantity").cast("int")).alias("site"))
+    return table("lineitem").select(_cat("r", F.col("l_suppkey") % 30).alias("repository"), F.lit("").alias("head"), _cat("t", F.col("l_partkey") % 15).alias("store"), access.alias("access"), _cat("src/d", F.col("l_linenumber"), ".go:", F.col("l_quantity").cast("int")).alias("site")).distinct()
 
 
 def _facts(table) -> DataFrame:
