@@ -266,14 +266,14 @@ def group_topology(table):
     return graph.group_topology(ends, owners, "src", "dst", "item", "g")
 
 
-_SPANS = "SELECT l_suppkey k, l_orderkey o, (min(epoch(l_shipdate)) // 86400)::BIGINT AS lo, (max(epoch(l_shipdate)) // 86400)::BIGINT AS hi FROM lineitem WHERE l_returnflag = '{}' GROUP BY 1, 2"
+_SPANS = "SELECT l_suppkey k, l_orderkey o, (min(epoch(l_shipdate)) // 86400)::BIGINT AS lo, (max(epoch(l_shipdate)) // 86400)::BIGINT AS hi FROM lineitem WHERE l_returnflag {} 'R' GROUP BY 1, 2"
 
 
-@query(f"WITH a AS ({_SPANS.format('R')}), b AS ({_SPANS.format('A')}) SELECT a.o AS a_id, b.o AS b_id, count(*) AS overlaps FROM a JOIN b ON a.k = b.k AND a.lo <= b.hi + 5 AND b.lo <= a.hi + 5 GROUP BY 1, 2")
+@query(f"WITH a AS ({_SPANS.format('=')}), b AS ({_SPANS.format('<>')}) SELECT a.o AS a_id, b.o AS b_id, count(*) AS overlaps FROM a JOIN b ON a.k = b.k AND a.lo <= b.hi + 5 AND b.lo <= a.hi + 5 GROUP BY 1, 2")
 def interval_overlaps(table):
     day = F.floor(F.unix_timestamp("l_shipdate") / 86400)
-    spans = table("lineitem").groupBy("l_suppkey", "l_orderkey", "l_returnflag").agg(F.min(day).alias("lo"), F.max(day).alias("hi"))
-    a, b = spans.filter("l_returnflag = 'R'").withColumn("hi", F.col("hi") + 5), spans.filter("l_returnflag = 'A'").withColumn("hi", F.col("hi") + 5)
+    spans = table("lineitem").groupBy("l_suppkey", "l_orderkey", (F.col("l_returnflag") == "R").alias("returned")).agg(F.min(day).alias("lo"), F.max(day).alias("hi"))
+    a, b = spans.filter("returned").withColumn("hi", F.col("hi") + 5), spans.filter("NOT returned").withColumn("hi", F.col("hi") + 5)
     return graph.interval_overlaps(a, b, ["l_suppkey"], "l_orderkey", "l_orderkey", "lo", "hi", 30)
 
 
@@ -292,10 +292,10 @@ def health_pivot(table):
     return table("customer").join(o, "c_custkey", "left").groupBy("c_mktsegment").pivot("p", ["p1", "p2", "other"]).count().fillna(0)
 
 
-@query("""SELECT p_brand, count(*) AS stores, count(DISTINCT s_nationkey) AS owners FROM (SELECT DISTINCT p_brand, l_suppkey, s_nationkey FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON s_suppkey = l_suppkey WHERE l_quantity = 50) GROUP BY 1 HAVING count(DISTINCT s_nationkey) > 1""")
+@query("""SELECT p_brand, count(*) AS stores, count(DISTINCT s_nationkey) AS owners FROM (SELECT DISTINCT p_brand, l_suppkey, s_nationkey FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON s_suppkey = l_suppkey) GROUP BY 1 HAVING count(DISTINCT s_nationkey) > 1""")
 def shared_stores(table):
     s = table("supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
-    rows = table("lineitem").filter("l_quantity = 50").select("l_partkey", "l_suppkey").join(table("part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey").join(s, "l_suppkey")
+    rows = table("lineitem").select("l_partkey", "l_suppkey").join(table("part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey").join(s, "l_suppkey")
     return rows.select("p_brand", "l_suppkey", "s_nationkey").distinct().groupBy("p_brand").agg(F.count("*").alias("stores"), F.count_distinct("s_nationkey").alias("owners")).filter("owners > 1")
 
 

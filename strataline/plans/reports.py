@@ -176,12 +176,12 @@ def merged_definitions(table):
     return evidence.merged_definitions(parts, "p_brand", ["p_type"], "sure", {"low": 0, "medium": 1, "high": 2}, "p_name")
 
 
-@query("""WITH h AS (SELECT DISTINCT o_custkey AS c, o_orderpriority AS q, o_orderkey AS k FROM orders WHERE o_totalprice > 100000), r AS (SELECT *, row_number() OVER (PARTITION BY c, q ORDER BY k) AS i FROM h),
+@query("""WITH h AS (SELECT DISTINCT o_custkey AS c, o_orderpriority AS q, o_orderkey AS k FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY c, q ORDER BY k) AS i FROM h),
 f AS (SELECT c, q, string_agg(k::VARCHAR, '|' ORDER BY k) AS hits FROM r WHERE i <= 3 GROUP BY 1, 2)
 SELECT c_custkey, question, CASE WHEN hits IS NOT NULL THEN 'confirmed' WHEN question IN ('1-URGENT', '2-HIGH') THEN 'no concern' ELSE 'unknown' END AS status, coalesce(hits, '') AS hits
 FROM customer CROSS JOIN (VALUES ('1-URGENT'), ('2-HIGH'), ('3-MEDIUM')) v(question) LEFT JOIN f ON c = c_custkey AND q = question""")
 def changeability(table):
-    hits = table("orders").filter("o_totalprice > 100000").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderpriority").alias("question"), "o_orderkey")
+    hits = table("orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderpriority").alias("question"), "o_orderkey")
     return evidence.questions(table("customer"), hits, ["1-URGENT", "2-HIGH"], ["1-URGENT", "2-HIGH", "3-MEDIUM"], "c_custkey", "question", "o_orderkey")
 
 
@@ -260,16 +260,16 @@ def artifact_keys(table):
 
 
 @query("""SELECT conv_id, turn, coalesce(array_to_string(list_transform(range(1, len(p)), lambda i: (list_sum(list_transform(p[1:i], lambda s: length(s))) + (i - 1) * 2)::BIGINT), ','), '') AS at
-FROM (SELECT conv_id, turn, string_split(text, 'le') AS p FROM conversations WHERE text IS NOT NULL)""")
+FROM (SELECT conv_id, turn, string_split(coalesce(text, ''), 'le') AS p FROM conversations)""")
 def forbidden_words(table):
-    found = names.occurrences(F.col("text"), "le")
-    return table("conversations").filter("text is not null").select("conv_id", "turn", F.array_join(F.transform(found, lambda x: x["at"].cast("string")), ",").alias("at"))
+    found = names.occurrences(F.coalesce("text", F.lit("")), "le")
+    return table("conversations").select("conv_id", "turn", F.array_join(F.transform(found, lambda x: x["at"].cast("string")), ",").alias("at"))
 
 
 @query("""SELECT conv_id, turn, CASE WHEN octet_length(encode(text)) <= 40 THEN text END AS whole, least(40, octet_length(encode(text))) >= octet_length(encode(cut)) AND octet_length(encode(cut)) > least(36, octet_length(encode(text)) - 1) AS tight, starts_with(text, cut) AS prefix
-FROM (SELECT *, (SELECT left(text, max(i)) FROM range(0, 41) r(i) WHERE octet_length(encode(left(text, i::BIGINT))) <= 40) AS cut FROM conversations WHERE text IS NOT NULL)""")
+FROM (SELECT *, (SELECT left(text, max(i)) FROM range(0, 41) r(i) WHERE octet_length(encode(left(text, i::BIGINT))) <= 40) AS cut FROM (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations))""")
 def byte_caps(table):
-    rows = table("conversations").filter("text is not null").withColumn("cut", names.byte_prefix(F.col("text"), 40))
+    rows = table("conversations").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("cut", names.byte_prefix(F.col("text"), 40))
     size, cut = F.octet_length("text"), F.octet_length("cut")
     tight = (F.least(F.lit(40), size) >= cut) & (cut > F.least(F.lit(36), size - 1))
     return rows.select("conv_id", "turn", F.when(size <= 40, F.col("text")).alias("whole"), tight.alias("tight"), F.col("text").startswith(F.col("cut")).alias("prefix"))
