@@ -12,27 +12,35 @@ _KEYS = [parity.Keyed("/orders", ("id",)), parity.Keyed("/orders[]/tags", (parit
 _NOISE = [parity.Noise("/scan_date"), parity.Noise(r"/orders\[\]/cache"), parity.Noise("/root", "scrub")]
 
 
+# objects and arrays within each other: document, orders, order, lines, line
+_LEVELS = 5
+
+
 def _documents(table, run: str) -> DataFrame:
-    """A document for each customer; the candidate run differs by rules over the keys."""
+    """A document for each customer; the candidate run differs by rules over the keys. Both are made of the same groups, so that Spark shuffles the tables once."""
     new = run == "candidate"
-    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    c = F.col("o_custkey")
     when = lambda condition, a, b: F.when(condition, a).otherwise(b) if new else b
-    line = F.struct(F.col("l_linenumber").alias("no"), F.col("l_partkey").alias("part"), when(F.col("l_orderkey") % 19 == 0, F.col("l_quantity") + 1, F.col("l_quantity")).alias("quantity"))
+    line = F.struct(F.col("l_linenumber").alias("no"), F.col("l_partkey").alias("part"), F.col("l_quantity").alias("quantity"))
     lines = table("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(line).alias("lines"))
     orders = table("orders").join(lines, "o_orderkey", "left")
-    status = when(k % 7 == 0, F.lit("X"), F.col("o_orderstatus"))
-    # the sides list sets and items in other orders
-    tags = [F.lit("a"), F.col("o_orderpriority"), when(k % 23 == 0, F.lit("new"), F.lit("old"))]
-    order = F.struct(k.alias("id"), status.alias("status"), when(k % 11 == 0, F.col("o_totalprice") + 1, F.col("o_totalprice")).alias("price"), F.array(*(tags[::-1] if new else tags)).alias("tags"), "lines", F.lit(run).alias("cache"))
-    kept = orders.filter(k % 13 != 0) if new else orders.filter(k % 29 != 0)
-    grouped = kept.groupBy("o_custkey").agg(F.sort_array(F.collect_list(order), asc=not new).alias("orders"))
-    body = F.struct(F.lit(run).alias("scan_date"), F.concat(F.lit(f"/{run}/work/"), c.cast("string")).alias("root"), when(c % 5 == 0, F.lit("moved"), F.lit("here")).alias("head"), F.struct(F.lit(None).cast("int").alias("none"), F.array().cast("array<int>").alias("empty")).alias("more"), "orders")
-    docs = grouped.select(F.concat(F.lit("repos/"), c.cast("string"), F.lit(".json")).alias("artifact"), F.to_variant_object(body).alias("doc"), "o_custkey")
-    return (docs.filter(c % 17 != 0) if new else docs.filter(c % 31 != 0)).drop("o_custkey")
-
-
-def _flat(table, run: str) -> DataFrame:
-    return parity.flattened(_documents(table, run), _KEYS, _NOISE, {f"/{run}/work": "$WORK"})
+    grouped = orders.groupBy("o_custkey").agg(F.collect_list(F.struct("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority", "lines")).alias("given"))
+
+    def order(o):
+        k, quantity = o["o_orderkey"], lambda x: when(k % 19 == 0, x["quantity"] + 1, x["quantity"])
+        # the sides list sets and items in other orders
+        tags = [F.lit("a"), o["o_orderpriority"], when(k % 23 == 0, F.lit("new"), F.lit("old"))]
+        held = F.transform(o["lines"], lambda x: F.struct(x["no"].alias("no"), x["part"].alias("part"), quantity(x).alias("quantity")))
+        price = when(k % 11 == 0, o["o_totalprice"] + 1, o["o_totalprice"])
+        return F.struct(k.alias("id"), when(k % 7 == 0, F.lit("X"), o["o_orderstatus"]).alias("status"), price.alias("price"), F.array(*(tags[::-1] if new else tags)).alias("tags"), held.alias("lines"), F.lit(run).alias("cache"))
+
+    kept = grouped.select("o_custkey", F.filter("given", lambda o: o["o_orderkey"] % (13 if new else 29) != 0).alias("given")).filter((F.size("given") > 0) & (c % (17 if new else 31) != 0))
+    body = F.struct(F.lit(run).alias("scan_date"), F.concat(F.lit(f"/{run}/work/"), c.cast("string")).alias("root"), when(c % 5 == 0, F.lit("moved"), F.lit("here")).alias("head"), F.struct(F.lit(None).cast("int").alias("none"), F.array().cast("array<int>").alias("empty")).alias("more"), F.sort_array(F.transform("given", order), asc=not new).alias("orders"))
+    return kept.select(F.concat(F.lit("repos/"), c.cast("string"), F.lit(".json")).alias("artifact"), F.to_variant_object(body).alias("doc"))
+
+
+def _flat(table, run: str) -> parity.Flattened:
+    return parity.flattened(_documents(table, run), _KEYS, _NOISE, {f"/{run}/work": "$WORK"}, _LEVELS)
 
 
 _ENTRIES = """WITH o AS (SELECT *, o_orderkey AS k, o_custkey AS c FROM orders),
