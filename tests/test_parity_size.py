@@ -21,7 +21,7 @@ def checkpoints(spark):
     return {os.path.join(d, f) for d, _, files in os.walk(folder) for f in files}
 
 
-@pytest.mark.parametrize("name", ["fact_entries"])
+@pytest.mark.parametrize("name", ["fact_entries", "run_verdict"])
 def test_nothing_is_written_on_the_way(spark, name):
     P.levels_of(docs(spark, "{}"))
     spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
