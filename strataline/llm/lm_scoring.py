@@ -13,8 +13,9 @@ Counting: each Arrow batch is counted with numpy, a few megabytes at a time, and
 each of P shards of the hash space; a shard's counts are merged in one task, which also makes its part of the filter.
 Words and pairs are hashed, so hot ones are merged in their batch and shards are even. The filter
 has ``BITS`` bits for each entry, whatever their number. One of at most ``max_filter_bytes`` is sent
-to the driver and broadcast. A larger one stays in its shards: each piece of text asks them for the
-levels of its distinct words and pairs, and the answers come back to it. Both ways give the same scores.
+to the driver and broadcast. A larger one stays in its shards, which are put into groups: each piece of text, some
+megabytes, asks every group once for the levels and counts of its distinct words and the levels of its distinct pairs, and the
+answers come back to it. A group looks up the questions of many pieces at once. Both ways give the same scores.
 
 The base score needs exact counts. Words that make up at least one in ``FREQUENT`` of the training
 tokens (so at most FREQUENT of them) are broadcast; occurrences of the others go to the shard that
@@ -44,6 +45,8 @@ MAX_FILTER_BYTES = 256 << 20
 FREQUENT = 200_000
 #: Exact counts of about so many words are looked up in one task.
 WORDS_A_GROUP = 1_000_000
+#: Where the filter stays in its shards, one task answers for about so many tokens, and looks up about so many pairs at once.
+TOKENS_A_GROUP, PAIRS_AT_ONCE = 8_000_000, 1_000_000
 #: Pairs after a word seen c times get the weight PAIR_WEIGHT * c / (c + PAIR_PRIOR).
 PAIR_WEIGHT, PAIR_PRIOR = 0.5, 20.0
 
@@ -198,9 +201,11 @@ class Filter:
     frequent_counts: np.ndarray
 
     def levels(self, hashes: np.ndarray, kind: int) -> np.ndarray:
-        shard = (hashes % _U(self.shards)).astype(np.int64)
-        entry, size, begin = _entry(shard, hashes >> _U(32), kind), self.sizes[shard], self.begins[shard]
-        levels, left, level = np.zeros(len(hashes), np.int64), np.flatnonzero(size), 0
+        return self.levels_of((hashes % _U(self.shards)).astype(np.int64), hashes >> _U(32), kind)
+
+    def levels_of(self, shard: np.ndarray, short: np.ndarray, kind: int) -> np.ndarray:
+        entry, size, begin = _entry(shard, short, kind), self.sizes[shard], self.begins[shard]
+        levels, left, level = np.zeros(len(shard), np.int64), np.flatnonzero(size), 0
         while len(left):
             level += 1
             for probe in range(PROBES):
@@ -227,6 +232,31 @@ class Filter:
 
 
 _SCORED = "row_key long, doc_id long, n_tokens long, base double, known long, score double, shard int, words binary, rows binary, times binary"
+_SCORED_NAMES = [x.split()[0] for x in _SCORED.split(", ")]
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """All first bytes, then all second ones, and so on: those that are zero take no room when compressed."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def _from_planes(b: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def _piece(start: int, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Of a slice of texts: a row for each, and one with its distinct words, each token's place among them, and where texts begin."""
+    found = [_tokens(t) for t in chunks(batch.column(1))]
+    if not found:
+        return
+    lengths = np.concatenate([np.diff(offsets) for _, _, offsets in found])
+    once, where = np.unique(np.concatenate([tokens for tokens, _, _ in found]), return_inverse=True)
+    offsets = np.concatenate(([0], np.cumsum(lengths)))
+    n, empty = len(lengths), lambda k, kinds: [pa.nulls(k, kind) for kind in kinds]
+    real = (pa.float64(), pa.int64(), pa.float64())
+    yield pa.RecordBatch.from_arrays([pa.array(start + np.arange(n)), batch.column(0), pa.array(lengths), *empty(n, (*real, pa.int32(), *[pa.binary()] * 3))], _SCORED_NAMES)
+    yield pa.RecordBatch.from_arrays([pa.array([start], pa.int64()), *empty(1, (pa.int64(), pa.int64(), *real)), pa.array([PIECE], pa.int32()), *(pa.array([x], pa.binary()) for x in (once.tobytes(), _planes(where.astype(np.uint32)), offsets.astype(np.int64).tobytes()))], _SCORED_NAMES)
 
 
 def _score(model, groups: int):
@@ -238,16 +268,17 @@ def _score(model, groups: int):
         done = TaskContext.get().partitionId() << 40
         logs = np.log10(f.frequent_counts + 0.5)
         for batch in slices(batches, 1):
-            n, parts, pieces = batch.num_rows, [], []
+            n, parts = batch.num_rows, []
+            if f.bits is None:
+                yield from _piece(done, batch)
+                done += n
+                continue
             length, base, known, score = np.zeros(n, np.int64), np.zeros(n), np.zeros(n, np.int64), np.zeros(n)
             for t in chunks(batch.column(1)):
                 tokens, before, offsets = _tokens(t)
                 here = slice(t.first, t.first + t.n)
                 length[here] = np.diff(offsets)
-                if f.bits is None:
-                    pieces.append((done + t.first, tokens.tobytes(), offsets.astype(np.int64).tobytes()))
-                else:
-                    score[here] = np.add.reduceat(f.scores(tokens, before), offsets[:-1])
+                score[here] = np.add.reduceat(f.scores(tokens, before), offsets[:-1])
                 text = np.repeat(np.arange(t.first, t.first + t.n), np.diff(offsets))
                 at = np.minimum(np.searchsorted(f.frequent, tokens), max(len(f.frequent) - 1, 0))
                 found = f.frequent[at] == tokens if len(f.frequent) else np.zeros(len(tokens), bool)
@@ -262,13 +293,8 @@ def _score(model, groups: int):
             base -= length * denominator
             empty = pa.nulls(n, pa.binary())
             columns = [pa.array(done + np.arange(n)), batch.column(0), pa.array(length), pa.array(base), pa.array(known), pa.array(score), pa.nulls(n, pa.int32()), empty, empty, empty]
-            names = [x.split()[0] for x in _SCORED.split(", ")]
+            names = _SCORED_NAMES
             yield pa.RecordBatch.from_arrays(columns, names)
-            if pieces:
-                k = len(pieces)
-                nothing = [pa.nulls(k, kind) for kind in (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64())]
-                starts, words, rows = zip(*pieces, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(starts, pa.int64()), *nothing, pa.array([PIECE] * k, pa.int32()), pa.array(words, pa.binary()), pa.array(rows, pa.binary()), pa.nulls(k, pa.binary())], names)
             if parts:
                 words, owner, times = (np.concatenate(x) for x in zip(*parts, strict=True))
                 group = (words % _U(f.shards) % _U(groups)).astype(np.int64)
@@ -334,99 +360,140 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row_batch(now, base, known)
 
 
-def _distinct(tokens: np.ndarray, offsets: np.ndarray, shards: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of a piece's words (tokens and predecessors) and pairs: distinct hashes, their places in what has them, their order by shard, and where shards begin in it."""
-    before = np.concatenate(([BEGIN], tokens[:-1]))
-    before[offsets[:-1]] = BEGIN
-    out = []
-    for hashes in (np.concatenate((tokens, before)), _pairs(before, tokens)):
-        once, where = np.unique(hashes, return_inverse=True)
-        shard = once % _U(shards)
-        by = np.argsort(shard, kind="stable")
-        out.append((once, where, by, np.searchsorted(shard[by], np.arange(shards + 1))))
-    return out
+def _unpacked(words: bytes, where: bytes, offsets: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A piece's distinct words, the places of its tokens and of their predecessors among them (BEGIN is put last), and where texts begin."""
+    once, offsets = np.append(np.frombuffer(words, _U), BEGIN), np.frombuffer(offsets, np.int64)
+    at = _from_planes(where, np.uint32).astype(np.int64)
+    before = np.concatenate(([len(once) - 1], at[:-1]))
+    before[offsets[:-1]] = len(once) - 1
+    return once, at, before, offsets
+
 
+def _by_group(hashes: np.ndarray, shards: int, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of distinct hashes by group and shard, where groups begin in it, and the hashes' shards in that order."""
+    shard = (hashes % _U(shards)).astype(np.int64)
+    by = np.argsort(shard % groups * shards + shard, kind="stable")
+    return by, np.searchsorted((shard % groups)[by], np.arange(groups + 1)), shard[by]
 
-_ASKED = "shard int, row_key long, kind int, hashes binary, size long"
 
+_ASKED = "shard int, row_key long, kind int, part int, size long, words binary, more binary, bits binary"
+_ASKED_NAMES = [x.split()[0] for x in _ASKED.split(", ")]
 
-def _asking(shards: int):
-    """Pieces (row_key, words, rows) to what they ask each shard."""
+
+def _asking(shards: int, groups: int):
+    """Pieces (row_key, words, rows, times) to what they ask each group: words, and of pairs their shards and 32 more bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, words, rows in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                out = []
-                for kind, (once, _, by, cuts) in enumerate(_distinct(np.frombuffer(words, _U), np.frombuffer(rows, np.int64), shards), 1):
-                    out += [(s, kind, once[by[cuts[s] : cuts[s + 1]]].tobytes()) for s in range(shards) if cuts[s] < cuts[s + 1]]
-                s, kind, hashes = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array([start] * len(s), pa.int64()), pa.array(kind, pa.int32()), pa.array(hashes, pa.binary()), pa.nulls(len(s), pa.int64())], ["shard", "row_key", "kind", "hashes", "size"])
+            for i in range(batch.num_rows):
+                start, *piece = (batch.column(c)[i].as_py() for c in range(4))
+                once, at, before, _ = _unpacked(*piece)
+                by, cuts, _ = _by_group(once, shards, groups)
+                pairs = np.unique(_pairs(once[before], once[at]))
+                pair_by, pair_cuts, shard = _by_group(pairs, shards, groups)
+                once, short, shard = once[by], (pairs[pair_by] >> _U(32)).astype(np.uint32), (shard // groups).astype(np.uint16)
+                asked = [g for g in range(groups) if cuts[g] < cuts[g + 1] or pair_cuts[g] < pair_cuts[g + 1]]
+                k, cut = len(asked), lambda x, c: pa.array([x[c[g] : c[g + 1]].tobytes() for g in asked], pa.binary())  # noqa: B023
+                yield pa.RecordBatch.from_arrays([pa.array(asked, pa.int32()), pa.array([start] * k, pa.int64()), pa.array([1] * k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), cut(once, cuts), cut(shard, pair_cuts), cut(short, pair_cuts)], _ASKED_NAMES)
             release()
 
     return run
 
 
-def _answered(shards: int):
-    """A shard's filter (kind 0, first) and what it is asked to levels, a byte each. A shard without a filter answers 0."""
+def _answered(shards: int, groups: int):
+    """A group's shards (kind 0, first) and what it is asked to levels, a byte each, and word counts. Without shards all are 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, f = None, None
+        now, tables, asked, waiting, known = None, [], [], 0, None
+
+        def model() -> tuple[Filter, np.ndarray, np.ndarray]:
+            sizes, begins = np.zeros(shards, np.int64), np.zeros(shards, np.int64)
+            bits = np.frombuffer(b"".join(t[4] for t in tables), np.uint8)
+            for t, begin in zip(tables, np.cumsum([0, *(len(t[4]) for t in tables)]), strict=False):
+                sizes[t[0]], begins[t[0]] = t[1], 8 * begin
+            words, counts = (np.frombuffer(b"".join(t[i] for t in tables), kind) for i, kind in ((2, _U), (3, np.int64)))
+            order = np.argsort(words)
+            return Filter(shards, bits, begins, sizes, 0, 0, 0.0, np.zeros(0, _U), np.zeros(0, np.int64)), words[order], counts[order]
+
+        def answers() -> pa.RecordBatch:
+            f, words, counts = known
+            hashes, short = (np.frombuffer(b"".join(x[i] for x in asked), kind) for i, kind in ((1, _U), (3, np.uint32)))
+            shard = np.frombuffer(b"".join(x[2] for x in asked), np.uint16).astype(np.int64) * groups + now
+            at = np.minimum(np.searchsorted(words, hashes), max(len(words) - 1, 0))
+            n = np.where(words[at] == hashes, counts[at], 0) if len(words) else np.zeros(len(hashes), np.int64)
+            levels, pairs = f.levels(hashes, 1).astype(np.uint8), f.levels_of(shard, short, 2).astype(np.uint8)
+            a, b = np.cumsum([0, *(len(x[1]) // 8 for x in asked)]), np.cumsum([0, *(len(x[3]) // 4 for x in asked)])
+            cut = lambda x, c: pa.array([x[i:j].tobytes() for i, j in zip(c[:-1], c[1:], strict=True)], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in asked], pa.int64()), pa.array([now] * len(asked), pa.int32()), cut(levels, a), pa.array([_planes(n[i:j]) for i, j in zip(a[:-1], a[1:], strict=True)], pa.binary()), cut(pairs, b)], ["row_key", "shard", "words", "rows", "times"])
+
         for batch in batches:
-            out = []
-            for shard, start, kind, hashes, size in zip(*batch.columns, strict=True):
-                shard, start, kind = shard.as_py(), start.as_py(), kind.as_py()
-                if shard != now:
-                    now, f = shard, None
+            for i in range(batch.num_rows):
+                group, start, kind, part, size, words, more, bits = (batch.column(c)[i].as_py() for c in range(8))
+                if group != now:
+                    if asked:
+                        yield answers()
+                    now, tables, asked, waiting, known = group, [], [], 0, None
                 if kind == 0:
-                    f = Filter(shards, np.frombuffer(hashes.as_py(), np.uint8), np.zeros(shards, np.int64), np.full(shards, size.as_py()), 0, 0, 0.0, np.zeros(0, _U), np.zeros(0, np.int64))
+                    tables.append((part, size, words, more, bits))
                     continue
-                asked = np.frombuffer(hashes.as_py(), _U)
-                out.append((start, shard, kind, (f.levels(asked, kind) if f else np.zeros(len(asked))).astype(np.uint8).tobytes()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["row_key", "shard", "kind", "words"])
+                known = known or model()
+                asked.append((start, words, more, bits))
+                waiting += len(bits) // 4
+                if waiting >= PAIRS_AT_ONCE:
+                    yield answers()
+                    asked, waiting = [], 0
             release()
+        if asked:
+            yield answers()
 
     return run
 
 
-def _piece_scores(shards: int, distinct: int, mass: float):
-    """A piece (first) and all answers to it, by kind and shard, to a row for each text."""
+def _piece_scores(shards: int, groups: int, tokens: int, distinct: int, mass: float):
+    """A piece (first) and all answers to it, by group, to a row for each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = Filter(shards, None, np.zeros(0), np.zeros(0), 0, distinct, mass, np.zeros(0, _U), np.zeros(0, np.int64))
-
-        def scored(start: int, words: bytes, rows: bytes, answers: dict[int, list[bytes]]) -> pa.RecordBatch:
-            offsets = np.frombuffer(rows, np.int64)
-            (once, where, by, _), (pairs, pair_where, pair_by, _) = _distinct(np.frombuffer(words, _U), offsets, shards)
-            seen, pair = np.zeros(len(once), np.uint8), np.zeros(len(pairs), np.uint8)
-            seen[by], pair[pair_by] = (np.frombuffer(b"".join(answers[kind]), np.uint8) for kind in (1, 2))
-            score = np.add.reduceat(f.scores_of(seen, where, pair[pair_where]), offsets[:-1])
-            return pa.RecordBatch.from_arrays([pa.array(start + np.arange(len(score))), pa.array(score)], ["row_key", "score"])
+        f = Filter(shards, None, np.zeros(0), np.zeros(0), tokens, distinct, mass, np.zeros(0, _U), np.zeros(0, np.int64))
+        denominator = np.log10(tokens + 0.5 * (distinct + 1)) if tokens else np.log10(0.5)
+
+        def scored(start: int, piece: tuple, answers: list[tuple]) -> pa.RecordBatch:
+            once, at, before, offsets = _unpacked(*piece)
+            by, _, _ = _by_group(once, shards, groups)
+            pairs, pair_at = np.unique(_pairs(once[before], once[at]), return_inverse=True)
+            pair_by, _, _ = _by_group(pairs, shards, groups)
+            seen, counts, pair = np.zeros(len(once), np.uint8), np.zeros(len(once), np.int64), np.zeros(len(pairs), np.uint8)
+            seen[by], pair[pair_by] = (np.frombuffer(b"".join(x[i] for x in answers), np.uint8) for i in (0, 2))
+            counts[by] = np.concatenate([_from_planes(x[1], np.int64) for x in answers])
+            score = np.add.reduceat(f.scores_of(seen, np.concatenate((at, before)), pair[pair_at]), offsets[:-1])
+            base = np.add.reduceat(np.log10(counts + 0.5)[at], offsets[:-1]) - np.diff(offsets) * denominator
+            known = np.add.reduceat((counts > 0).astype(np.int64)[at], offsets[:-1])
+            return pa.RecordBatch.from_arrays([pa.array(start + np.arange(len(score))), pa.array(score), pa.array(base), pa.array(known)], ["row_key", "score", "base", "known"])
 
         held = None
         for batch in batches:
-            for start, kind, words, rows in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
-                if kind == 0:
+            for i in range(batch.num_rows):
+                start, kind, *binary = (batch.column(c)[i].as_py() for c in (0, 1, 2, 3, 4))
+                if kind == PIECE:
                     if held:
                         yield scored(*held)
-                    held = (start, words, rows, {1: [], 2: []})
+                        release()
+                    held = (start, binary, [])
                 else:
-                    held[3][kind].append(words)
+                    held[2].append(binary)
         if held:
             yield scored(*held)
 
     return run
 
 
-def _scores_by_shard(scored: DataFrame, table: DataFrame, shards: int, distinct: int, mass: float) -> DataFrame:
-    """row_key, score of the texts of all pieces, by a filter that stays in its shards."""
-    pieces = scored.filter(F.col("shard") == PIECE)
-    none = F.lit(0).cast("int").alias("kind")
-    filters = table.select("shard", F.lit(-1).cast("long").alias("row_key"), none, F.col("bits").alias("hashes"), "size")
-    asked = pieces.select("row_key", "words", "rows").mapInArrow(_asking(shards), _ASKED)
-    answers = filters.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(_answered(shards), "row_key long, shard int, kind int, words binary")
-    both = pieces.select("row_key", "shard", none, "words", "rows").unionByName(answers.withColumn("rows", F.lit(None).cast("binary")))
-    return both.repartition("row_key").sortWithinPartitions("row_key", "kind", "shard").mapInArrow(_piece_scores(shards, distinct, mass), "row_key long, score double")
+def _scores_by_shard(scored: DataFrame, table: DataFrame, shards: int, groups: int, tokens: int, distinct: int, mass: float) -> DataFrame:
+    """row_key, score, base, known of the texts of all pieces, by a filter and counts that stay in their shards."""
+    pieces = scored.filter(F.col("shard") == PIECE).select("row_key", "shard", "words", "rows", "times")
+    int_ = lambda c: c.cast("int")
+    filters = table.select(int_(F.expr(f"shard % {groups}")).alias("shard"), F.lit(-1).cast("long").alias("row_key"), int_(F.lit(0)).alias("kind"), F.col("shard").alias("part"), "size", "words", F.col("word_counts").alias("more"), "bits")
+    asked = pieces.select("row_key", "words", "rows", "times").mapInArrow(_asking(shards, groups), _ASKED)
+    answers = filters.unionByName(asked).repartition(groups, "shard").sortWithinPartitions("shard", "kind").mapInArrow(_answered(shards, groups), "row_key long, shard int, words binary, rows binary, times binary")
+    return pieces.unionByName(answers).repartition("row_key").sortWithinPartitions("row_key", "shard").mapInArrow(_piece_scores(shards, groups, tokens, distinct, mass), "row_key long, score double, base double, known long")
 
 
 def _frequent(least: int):
@@ -460,6 +527,12 @@ def lm_scores(docs: DataFrame, *, max_filter_bytes: int = MAX_FILTER_BYTES, bits
     bits = np.frombuffer(b"".join(parts.get(s, b"") for s in range(shards)), np.uint8) if sent else None
     model = spark.sparkContext.broadcast(Filter(shards, bits, np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes, tokens, distinct, float(mass), words[order], frequent["n"].to_numpy(np.int64)[order]))
     scored = written(docs.mapInArrow(_score(model, groups), _SCORED), "lm-scored")
+    if not sent:
+        # as many groups as keep what a group is asked small
+        groups = min(shards, max(groups, -(-tokens // TOKENS_A_GROUP)))
+        found = _scores_by_shard(scored, table, shards, groups, tokens, distinct, float(mass))
+        out = scored.filter("shard is null").select("row_key", "doc_id", "n_tokens").join(found.hint("merge"), "row_key")
+        return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", F.col("known").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
     group = F.expr(f"cast(shard % {groups} as int)")
     known = table.select(group.alias("shard"), F.lit(0).cast("long").alias("row_key"), "words", F.lit(None).cast("binary").alias("rows"), F.col("word_counts").alias("times"))
     asked = scored.filter("shard >= 0").select("shard", "row_key", "words", "rows", "times")
@@ -467,8 +540,6 @@ def lm_scores(docs: DataFrame, *, max_filter_bytes: int = MAX_FILTER_BYTES, bits
     parts = both.mapInArrow(_look_up, "row_key long, rows binary, base binary, known binary").repartition("row_key").sortWithinPartitions("row_key")
     sums = parts.mapInArrow(_added, "row_key long, more_base double, more_known long")
     out = scored.filter("shard is null").select("row_key", "doc_id", "n_tokens", "base", "known", "score").join(sums.hint("merge"), "row_key", "left")
-    if not sent:
-        out = out.drop("score").join(_scores_by_shard(scored, table, shards, distinct, mass).hint("merge"), "row_key")
     return out.select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
