@@ -13,6 +13,7 @@ fact is compared in one row. One given twice has both values, in order. A null i
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -56,7 +57,12 @@ def read_run(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _matches(pattern: str, text: Column) -> Column:
-    return F.lit(True) if pattern == ".*" else text.rlike(f"^(?:{pattern})$")
+    if pattern == ".*":
+        return F.lit(True)
+    # without anything but escaped signs, it is a text
+    if re.fullmatch(r"(?:[\w/ -]|\\[^\w\s])*", pattern, re.ASCII):
+        return text == re.sub(r"\\(.)", r"\1", pattern)
+    return text.rlike(f"^(?:{pattern})$")
 
 
 def _item_key(keys: list[Keyed], artifact: Column, shape: Column, value: Column) -> tuple[Column, Column]:
