@@ -19,6 +19,11 @@ def parse_citation(c: Column) -> Column:
     return F.struct(part(1).alias("repo"), part(2).alias("commit"), part(3).alias("path"), part(4).try_cast("int").alias("line"), part(5).try_cast("int").alias("col"))
 
 
+def cited_repository(c: Column) -> Column:
+    """parse_citation's repo, in one short match."""
+    return F.regexp_extract(c, r"^(.*)@[^:@]*:.*$", 1)
+
+
 def segments(path: Column) -> Column:
     """A route or call path as segments: no query or fragment, no interpolations or wildcards at its begin, then no version segment.
 

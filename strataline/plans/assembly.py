@@ -25,19 +25,22 @@ def _calls(table) -> DataFrame:
         _cat("f", p % 50).alias("caller_symbol"), F.concat(a, _cat("src/a", p % 20, ".go:", p % 50)).alias("caller_citation"),
         _cat("g", s % 7).alias("callee_symbol"), F.concat(b, _cat("src/b", s % 10, ".go:", s % 7)).alias("callee_citation"),
         F.concat(a, _cat("src/c", F.col("l_linenumber"), ".go:", F.col("l_quantity").cast("int"))).alias("callsite_citation"),
-    ).distinct()
+    )
 
 
 def _imports(table) -> DataFrame:
     k = F.col("o_orderkey")
     one = F.struct(_cat("m", k % 30).alias("module"), _cat("src/a", k % 23, ".go").alias("resolved"), (F.col("o_orderstatus") == "F").alias("circular"), F.lit(None).cast("boolean").alias("in_repo"), (F.col("o_orderstatus") != "P").alias("local"))
     rows = table("orders").select(_cat("r", F.col("o_custkey") % 25).alias("repository"), F.lit("h").alias("head"), _cat("src/a", F.col("o_custkey") % 20, ".go").alias("source"), one.alias("d"))
-    return rows.groupBy("repository", "head", "source").agg(F.collect_list("d").alias("dependencies"))
+    return rows.distinct().groupBy("repository", "head", "source").agg(F.collect_list("d").alias("dependencies"))
 
 
 def _stores(table) -> DataFrame:
-    access = F.when(F.col("l_returnflag") == "A", "declaration").when(F.col("l_returnflag") == "R", "read").otherwise("write")
-    return table("lineitem").select(_cat("r", F.col("l_suppkey") % 30).alias("repository"), F.lit("").alias("head"), _cat("t", F.col("l_partkey") % 15).alias("store"), access.alias("access"), _cat("src/d", F.col("l_linenumber"), ".go:", F.col("l_quantity").cast("int")).alias("site")).distinct()
+    # distinct as numbers, which are hashed in place; texts are made of what is left
+    code = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "R", 1).otherwise(2)
+    rows = table("lineitem").select((F.col("l_suppkey") % 30).alias("r"), (F.col("l_partkey") % 15).alias("t"), code.alias("code"), F.col("l_linenumber").alias("d"), F.col("l_quantity").cast("int").alias("line")).distinct()
+    access = F.when(F.col("code") == 0, "declaration").when(F.col("code") == 1, "read").otherwise("write")
+    return rows.select(_cat("r", F.col("r")).alias("repository"), F.lit("").alias("head"), _cat("t", F.col("t")).alias("store"), access.alias("access"), _cat("src/d", F.col("d"), ".go:", F.col("line")).alias("site"))
 
 
 def _facts(table) -> DataFrame:
@@ -53,7 +56,7 @@ def _parts(table) -> list[DataFrame]:
 
 
 def _summed(df: DataFrame) -> DataFrame:
-    return df.withColumns({"n_evidence": F.size("evidence"), "evidence": F.md5(F.array_join("evidence", ",").cast("binary")), "attrs": F.to_json("attrs")})
+    return df.withColumns({"n_evidence": F.size("evidence"), "evidence": F.md5(F.array_join("evidence", ",").cast("binary"))})
 
 
 # id and file nodes, as the sources give them; each row of p is one part of a source
@@ -86,7 +89,7 @@ _SOURCES = """WITH c AS (SELECT 'r' || l_suppkey % 25 AS ra, 'r' || l_partkey %
 @query(f"""{_SOURCES}
 SELECT id, kind, label, status, repository, producers, len(ev)::INT AS n_evidence, md5(array_to_string(ev, ',')) AS evidence, basis, attrs FROM nodes""")
 def assembled_nodes(table):
-    nodes = _summed(A.assembled_nodes(_parts(table)))
+    nodes = _summed(A.assembled_nodes(_parts(table))).withColumn("attrs", F.to_json("attrs"))
     return nodes.select("id", "kind", "label", "status", "repository", F.array_join("producers", ",").alias("producers"), "n_evidence", "evidence", "basis", "attrs")
 
 
@@ -107,5 +110,5 @@ j AS (SELECT m.id, x, m.ev, x.status <> 'unresolved' AND a.id IS NULL AS no_src,
 SELECT id, x.type AS type, x.src AS src, x.dst AS dst, CASE WHEN no_src OR no_dst THEN 'unresolved' ELSE x.status END AS status, x.producer AS producer, len(ev)::INT AS n_evidence, md5(array_to_string(ev, ',')) AS evidence, x.basis AS basis, x.confidence::DOUBLE AS confidence, x.attrs AS attrs,
   CASE WHEN no_src OR no_dst THEN '{{' || concat_ws(',', CASE WHEN no_dst THEN '"dst":"' || x.dst || '"' END, CASE WHEN no_src THEN '"src":"' || x.src || '"' END) || '}}' ELSE x.target END AS target FROM j""")
 def assembled_edges(table):
-    edges = _summed(A.assembled_edges(_parts(table)))
-    return edges.select("id", "type", "src", "dst", "status", "producer", "n_evidence", "evidence", "basis", "confidence", "attrs", F.to_json("target").alias("target"))
+    edges = _summed(A.edges_as_text(_parts(table)))
+    return edges.select("id", "type", "src", "dst", "status", "producer", "n_evidence", "evidence", "basis", "confidence", "attrs", "target")
